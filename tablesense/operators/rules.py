@@ -147,17 +147,34 @@ def rule_predicate() -> Column:
 def rule_matches(tp: DataFrame, rules: DataFrame) -> DataFrame:
     """Every (table, rule) pair whose conditions hold (broadcast theta join)."""
     j = tp.alias("p").join(F.broadcast(rules.alias("r")), rule_predicate(), "inner")
-    return j.select(F.col("p.table_name").alias("table_name"), F.col("r.ord").alias("rule_ord"),
+    keys = [F.col(f"p.{k}").alias(k) for k in _keys(tp)]
+    return j.select(*keys, F.col("r.ord").alias("rule_ord"),
                     F.col("r.name").alias("rule"), F.col("r.priority").alias("priority"),
                     F.col("r.target").alias("target"), F.col("r.confidence").alias("confidence"),
                     F.col("r.schedule_hint").alias("schedule_hint"),
                     F.col("r.rationale").alias("rationale"), F.col("r.ddl_hints").alias("ddl_hints"))
 
 
+def _keys(df: DataFrame) -> list[str]:
+    """Row key of a profile: the table, plus the growth factor of a
+    projected profile."""
+    return ["table_name"] + (["scale"] if "scale" in df.columns else [])
+
+
+def projected_profile(tp: DataFrame, factors: list[int]) -> DataFrame:
+    """The profile each table would have at ``factor`` times its rows and
+    bytes (flags and column count unchanged): a what-if for growth, made by
+    ``explode`` (no join)."""
+    f = F.explode(F.array(*[F.lit(x).cast("long") for x in factors])).alias("scale")
+    return (tp.select("*", f)
+              .withColumn("record_count", F.col("record_count") * F.col("scale"))
+              .withColumn("estimated_size_mb", F.col("estimated_size_mb") * F.col("scale")))
+
+
 def best_rule(matches: DataFrame) -> DataFrame:
     """Highest priority, first listed on ties; the default rule (priority 0)
     is taken only when nothing else matches."""
-    w = Window.partitionBy("table_name").orderBy(F.col("priority").desc(), F.col("rule_ord"))
+    w = Window.partitionBy(*_keys(matches)).orderBy(F.col("priority").desc(), F.col("rule_ord"))
     return matches.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -165,7 +182,7 @@ def recommend(tp: DataFrame, rules: DataFrame, checks: DataFrame | None = None)
     """One recommendation per table. Tables with a quality error get the
     error recommendation (V6) instead of the rule result."""
     best = best_rule(rule_matches(tp, rules))
-    rec = tp.select("table_name").join(best, "table_name", "left")
+    rec = tp.select(*_keys(tp)).join(best, _keys(tp), "left")
     if checks is None:
         return rec.withColumn("errors", F.array().cast("array<string>")) \
                   .withColumn("warnings", F.array().cast("array<string>"))

@@ -108,9 +108,26 @@ def words(ws: list[str]) -> str:
     return N.any_word(ws)
 
 
-def flags_sql() -> str:
-    """Per-column flags (intended mode) over cp."""
+def flags_sql(mode: str = "intended") -> str:
+    """Per-column flags over cp."""
     ratio = "CASE WHEN row_count > 0 THEN distinct_count / row_count END"
+    if mode == "observed":
+        return f"""
+SELECT *,
+  coalesce(narrowed = 'object' AND (timestamp_ok OR distinct_count = 0), false) AS is_temporal,
+  coalesce(narrowed IN ('int64', 'int32', 'int16', 'float64', 'float32')
+           OR (narrowed = 'object' AND numeric_hit), false) AS is_numeric,
+  narrowed = 'object' AS is_text,
+  coalesce(narrowed = 'object' AND {ratio} < 0.5, false) AS is_categorical,
+  regexp_matches(lower(column_name), '{words(N.SPATIAL_NAME_WORDS)}') AS is_spatial_name,
+  coalesce(distinct_count = row_count AND row_count > 0
+           AND (regexp_matches(lower(column_name), '{words(N.ID_NAME_WORDS)}')
+                OR narrowed IN ('int64', 'int32')), false) AS is_unique_id,
+  false AS is_nested,
+  lower(column_name) AS lower_name,
+  {ratio} AS ratio
+FROM cp
+"""
     return f"""
 SELECT *,
   coalesce(timestamp_ok AND kind IN ('string', 'timestamp'), false) AS is_temporal,
@@ -135,8 +152,12 @@ def dups_sql(tables: list[str] | None = None) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def table_profile_sql() -> str:
+def table_profile_sql(mode: str = "intended") -> str:
     """tp over cf (flags) and dups."""
+    weight = ("CASE WHEN kind = 'string' THEN 0.3 WHEN kind IN ('int', 'float') THEN 0.6 ELSE 0.8 END"
+              if mode != "observed" else
+              "CASE WHEN narrowed = 'object' THEN 0.3 WHEN narrowed IN ('int64', 'float64') THEN 0.6 "
+              "ELSE 0.8 END")
     return """
 SELECT a.*, coalesce(d.duplicate_rows, 0) AS duplicate_rows,
   CASE WHEN record_count * field_count > 0 THEN null_cells / (record_count * field_count) ELSE 0 END
@@ -162,23 +183,23 @@ FROM (
     sum(byte_size) / 1048576.0 AS estimated_size_mb,
     sum(null_count) AS null_cells,
     CASE WHEN sum(byte_size) > 0 THEN
-      sum(byte_size * CASE WHEN kind = 'string' THEN 0.3 WHEN kind IN ('int', 'float') THEN 0.6
-                        ELSE 0.8 END) / sum(byte_size)
+      sum(byte_size * WEIGHT) / sum(byte_size)
       ELSE 1.0 END AS compression_ratio
   FROM cf GROUP BY table_name) a
 LEFT JOIN dups d USING (table_name)
-"""
+""".replace("WEIGHT", weight)
 
 
-def profile_ctes(tables: list[str] | None = None, with_dups: bool = True) -> str:
+def profile_ctes(tables: list[str] | None = None, with_dups: bool = True,
+                 mode: str = "intended") -> str:
     """WITH-list defining cp0, cp (with narrowed), cf (flags), dups, tp."""
     ctes = [f"cp0 AS (\n{column_profile_sql(tables)}\n)", f"cp AS ({narrowed_sql()})",
-            f"cf AS ({flags_sql()})"]
+            f"cf AS ({flags_sql(mode)})"]
     if with_dups:
         ctes.append(f"dups AS (\n{dups_sql(tables)}\n)")
     else:
         ctes.append("dups AS (SELECT CAST(NULL AS VARCHAR) AS table_name, CAST(0 AS BIGINT) AS duplicate_rows)")
-    ctes.append(f"tp AS ({table_profile_sql()})")
+    ctes.append(f"tp AS ({table_profile_sql(mode)})")
     return "WITH " + ",\n".join(ctes)
 
 
@@ -198,7 +219,7 @@ def rules_sql(mode: str = "intended") -> str:
     """The rule table as a VALUES list with the same columns as Spark's."""
     cols = ["ord", "name", "r_temporal", "r_text", "r_categorical", "r_spatial", "r_nested",
             "mb_gt", "mb_lt", "mb_ge", "mb_le", "rows_gt", "rows_lt", "rows_ge", "rows_le",
-            "fields_gt", "fields_lt", "priority", "target", "confidence", "schedule_hint"]
+            "fields_gt", "fields_lt", "priority", "target", "confidence", "schedule_hint", "hints"]
     rows = []
     for r in R.RULES:
         r = list(r[:21])
@@ -209,6 +230,7 @@ def rules_sql(mode: str = "intended") -> str:
         for k in (7, 8, 9, 10):
             if r[k] is not None:
                 vals[k] = f"CAST({r[k]} AS DOUBLE)"
+        vals.append(lit(" | ".join(R.RULES[r[0] - 1][22])))
         rows.append("(" + ", ".join(vals) + ")")
     return ("SELECT * FROM (VALUES " + ",\n".join(rows) + ") AS r(" + ", ".join(cols) + ")")
 
