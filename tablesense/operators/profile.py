@@ -81,113 +81,172 @@ def leaves(schema: T.StructType, prefix: str = "", parent: Column | None = None,
             yield name, col, f.dataType, depth > 0
 
 
-def _min_max_text(c: Column, kind: str, agg) -> Column:
-    if kind == "string":
-        return agg(c)
-    if kind == "int":
-        return agg(c).cast("string")
-    if kind == "bool":
-        return agg(c).cast("string")
-    if kind == "timestamp":
-        return V.iso_text(agg(c))
-    return F.lit(None).cast("string")
-
-
-def _orderable(dt: T.DataType) -> bool:
+def leaf_paths(schema: T.StructType, prefix: str = "", parent: str | None = None,
+               depth: int = 0):
+    """Like ``leaves`` but with the SQL path text of each leaf."""
+    for f in schema.fields:
+        quoted = "`" + f.name.replace("`", "``") + "`"
+        path = quoted if parent is None else f"{parent}.{quoted}"
+        name = f"{prefix}{f.name}"
+        if isinstance(f.dataType, T.StructType) and len(f.dataType.fields) > 0:
+            yield from leaf_paths(f.dataType, name + ".", path, depth + 1)
+        else:
+            yield name, path, f.dataType, depth > 0
+
+
+def _groupable(dt: T.DataType) -> bool:
     return not isinstance(dt, (T.MapType, T.VariantType))
 
 
-def _measures(v: Column, n: Column, dt: T.DataType, kind: str, hist: bool) -> list[Column]:
-    """Aggregates over (value v, multiplicity n) giving one profile row.
+# Typed value slots of the exploded (ordinal, value) rows: every column's
+# value lands in exactly one slot, chosen by its Spark type.
+_SLOTS = [("l", "long"), ("d", "double"), ("s", "string"), ("b", "boolean"),
+          ("t", "timestamp_ntz"), ("z", "timestamp"), ("dt", "date"), ("j", "string"),
+          ("asz", "long")]
+
+
+def _slot_of(dt: T.DataType) -> str:
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "l"
+    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return "d"
+    if isinstance(dt, (T.StringType, T.VarcharType, T.CharType)):
+        return "s"
+    if isinstance(dt, T.BinaryType):
+        return "s"
+    if isinstance(dt, T.BooleanType):
+        return "b"
+    if isinstance(dt, T.TimestampNTZType):
+        return "t"
+    if isinstance(dt, T.TimestampType):
+        return "z"
+    if isinstance(dt, T.DateType):
+        return "dt"
+    return "j"
+
+
+def _sql_lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _slot_struct_sql(ordinal: int, path: str, dt: T.DataType) -> str:
+    """named_struct(ordinal, nn, one slot filled with the value, others NULL)."""
+    slot = _slot_of(dt)
+    v = path
+    if isinstance(dt, T.BinaryType):
+        v = f"hex({path})"
+    elif slot == "j":
+        v = f"to_json({path})"
+    parts = [f"'ordinal', {ordinal}", f"'nn', ({path}) IS NOT NULL"]
+    for name, typ in _SLOTS:
+        if name == slot:
+            parts.append(f"'{name}', CAST({v} AS {typ})")
+        elif name == "asz" and isinstance(dt, T.ArrayType):
+            parts.append(f"'{name}', CAST(size({path}) AS BIGINT)")
+        else:
+            parts.append(f"'{name}', CAST(NULL AS {typ})")
+    return "named_struct(" + ", ".join(parts) + ")"
 
-    With ``hist`` the input is a (value, count) histogram of the column, so
-    per-value work (regex, timestamp parse, float32 check) runs once per
-    distinct value; otherwise n = 1 per raw row.
-    """
-    rows = F.sum(n).cast("long")
-    if hist:
-        distinct = F.count(v).cast("long")
-    elif _orderable(dt):
-        distinct = F.approx_count_distinct(v).cast("long")
-    else:
-        distinct = F.lit(None).cast("long")
-    num = kind in ("int", "float")
-    w = width_of(dt)
-    if w is not None:
-        nbytes = rows * F.lit(w)
-    elif isinstance(dt, (T.StringType, T.VarcharType, T.CharType, T.BinaryType)):
-        nbytes = F.sum(F.octet_length(v) * n)
-    elif isinstance(dt, T.ArrayType) and width_of(dt.elementType) is not None:
-        nbytes = F.sum(F.when(v.isNotNull(), F.size(v) * n)) * F.lit(width_of(dt.elementType))
-    else:
-        nbytes = F.sum(F.octet_length(F.to_json(v)) * n)
-    if kind == "string":
-        parsed = V.guarded_ts(v)
-        numeric_hit = F.coalesce(F.bool_or(V.numeric_string(v)), F.lit(False))
-        ts_ok = (F.count(v) > 0) & (F.count(parsed) == F.count(v))
-        ts_min, ts_max = F.min(parsed), F.max(parsed)
-    elif kind == "timestamp":
-        numeric_hit = F.lit(False)
-        ts_ok = F.count(v) > 0
-        ts_min, ts_max = F.min(v).cast("timestamp_ntz"), F.max(v).cast("timestamp_ntz")
-    else:
-        numeric_hit = F.lit(False)
-        ts_ok = F.lit(False)
-        ts_min = ts_max = F.lit(None).cast("timestamp_ntz")
-    none_d = F.lit(None).cast("double")
-    return [
-        rows.alias("row_count"),
-        F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).cast("long").alias("null_count"),
-        distinct.alias("distinct_count"),
-        _min_max_text(v, kind, F.min).alias("min_value"),
-        _min_max_text(v, kind, F.max).alias("max_value"),
-        (F.min(v).cast("double") if num else none_d).alias("min_num"),
-        (F.max(v).cast("double") if num else none_d).alias("max_num"),
-        F.coalesce(nbytes.cast("long"), F.lit(0).cast("long")).alias("byte_size"),
-        numeric_hit.alias("numeric_hit"),
-        ts_ok.alias("timestamp_ok"),
-        ts_min.alias("ts_min"),
-        ts_max.alias("ts_max"),
-        (F.max(V.float32_error(v)) if num else none_d).cast("double").alias("f32_err"),
-    ]
+
+def _by_ordinal(values: dict[int, object], typ: str) -> str:
+    """A per-ordinal constant (kind, width, ...) as a literal map lookup."""
+    pairs = ", ".join(f"{k}, CAST({_sql_lit(v)} AS {typ})" for k, v in values.items())
+    return f"element_at(map({pairs}), ordinal)"
 
 
 def column_profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFrame:
     """One row per (flattened) column of ``df``; schema ``COLUMN_PROFILE_SCHEMA``.
 
-    One branch per column, unioned into one plan. With ``distinct='exact'``
-    a branch is ``groupBy(value).count()`` (partial aggregation map-side, so
-    a value held by a third of the rows costs one row per task) followed by
-    a one-row aggregate over that histogram. With ``distinct='approx'`` a
-    branch is a single aggregate over the raw column with HyperLogLog++
-    (5 % relative error): no shuffle of values at all.
-
-    On columnar input each branch reads only its own column, so all
-    branches together read the table once; every branch has about a dozen
-    aggregates and stays inside whole-stage code generation (one aggregate
-    over all columns of a wide table would exceed the codegen field limit
-    and run interpreted).
+    One plan per table. Each row is exploded into one (ordinal, value)
+    record per column, the value held in a typed slot. With
+    ``distinct='exact'`` the records are grouped by (ordinal, value) with
+    partial aggregation map-side, so the shuffle carries each distinct value
+    once per task (a value held by a third of all rows costs one record per
+    task), and every per-value test (numeric pattern, timestamp parse,
+    float32 check) then runs once per distinct value; a second small
+    aggregation by ordinal yields the measures. With ``distinct='approx'``
+    the first grouping is skipped and HyperLogLog++ (5 % relative error)
+    counts the values: one aggregation, no shuffle of values.
+    Decimal columns are counted through their double value.
+
+    Expressions are written as SQL text so a wide table costs a handful of
+    driver calls, not thousands.
     """
-    parts = []
-    for i, (name, c, dt, from_struct) in enumerate(leaves(df.schema)):
-        kind = kind_of(dt)
-        hist = distinct == "exact" and _orderable(dt)
-        src = df.select(c.alias("v"))
-        if hist:
-            src = src.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        else:
-            src = src.withColumn("n", F.lit(1).cast("long"))
-        meas = _measures(F.col("v"), F.col("n"), dt, kind, hist)
-        parts.append(src.agg(*meas).select(
-            F.lit(table).alias("table_name"),
-            F.lit(i + 1).cast("int").alias("ordinal"),
-            F.lit(name).alias("column_name"),
-            F.lit(dt.simpleString()).alias("spark_type"),
-            F.lit(kind).alias("kind"),
-            F.lit(from_struct).alias("from_struct"),
-            "row_count", "null_count", "distinct_count", "min_value", "max_value", "min_num", "max_num",
-            "byte_size", "numeric_hit", "timestamp_ok", "ts_min", "ts_max", "f32_err"))
-    return reduce(DataFrame.unionByName, parts)
+    meta = [(i + 1, name, path, dt, fs) for i, (name, path, dt, fs) in enumerate(leaf_paths(df.schema))]
+    if not meta:
+        return df.sparkSession.createDataFrame([], COLUMN_PROFILE_SCHEMA)
+    recs = df.selectExpr("inline(array(" + ", ".join(
+        _slot_struct_sql(o, path, dt) for o, _, path, dt, _ in meta) + "))")
+    slot_names = [n for n, _ in _SLOTS]
+    if distinct == "exact":
+        hist = recs.groupBy("ordinal", "nn", *slot_names).agg(F.count(F.lit(1)).alias("n"))
+        n = "n"
+        dcount = "count_if(nn)"
+    else:
+        hist = recs.withColumn("n", F.lit(1).cast("long"))
+        n = "n"
+        dcount = f"approx_count_distinct(CASE WHEN nn THEN struct({', '.join(slot_names)}) END)"
+    parsed = f"CASE WHEN s RLIKE '{V.DATE_PREFIX_PATTERN}' THEN try_cast(s AS TIMESTAMP_NTZ) END"
+    num_re = V.NUMERIC_STRING_PATTERN.replace("\\", "\\\\")
+    f32 = ("abs(CAST(CAST(coalesce(d, CAST(l AS DOUBLE)) AS FLOAT) AS DOUBLE) "
+           "- coalesce(d, CAST(l AS DOUBLE)))")
+    aggs = {
+        "row_count": f"CAST(sum({n}) AS BIGINT)",
+        "null_count": f"CAST(coalesce(sum(CASE WHEN NOT nn THEN {n} END), 0) AS BIGINT)",
+        "distinct_count": f"CAST({dcount} AS BIGINT)",
+        "_min_l": "min(l)", "_max_l": "max(l)", "_min_d": "min(d)", "_max_d": "max(d)",
+        "_min_s": "min(s)", "_max_s": "max(s)", "_min_b": "min(b)", "_max_b": "max(b)",
+        "_min_t": "coalesce(min(t), CAST(min(z) AS TIMESTAMP_NTZ), CAST(min(dt) AS TIMESTAMP_NTZ))",
+        "_max_t": "coalesce(max(t), CAST(max(z) AS TIMESTAMP_NTZ), CAST(max(dt) AS TIMESTAMP_NTZ))",
+        "_sbytes": f"sum(octet_length(s) * {n})",
+        "_asum": f"sum(asz * {n})",
+        "_jbytes": f"sum(octet_length(j) * {n})",
+        "_hit": f"coalesce(bool_or(s RLIKE '{num_re}'), false)",
+        "_s_cnt": "count(s)", "_p_cnt": f"count({parsed})",
+        "_ts_min_s": f"min({parsed})", "_ts_max_s": f"max({parsed})",
+        "_f32": f"max({f32})",
+    }
+    agg = hist.groupBy("ordinal").agg(*[F.expr(e).alias(k) for k, e in aggs.items()])
+    kind = _by_ordinal({o: kind_of(dt) for o, _, _, dt, _ in meta}, "STRING")
+    width = _by_ordinal({o: width_of(dt) for o, _, _, dt, _ in meta}, "BIGINT")
+    elem_w = _by_ordinal({o: (width_of(dt.elementType) if isinstance(dt, T.ArrayType) else None)
+                          for o, _, _, dt, _ in meta}, "BIGINT")
+    binary = _by_ordinal({o: isinstance(dt, T.BinaryType) for o, _, _, dt, _ in meta}, "BOOLEAN")
+    iso = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
+
+    def text(lo: str) -> str:
+        return (f"CASE WHEN k = 'string' THEN _{lo}_s WHEN k = 'int' THEN CAST(_{lo}_l AS STRING) "
+                f"WHEN k = 'bool' THEN CAST(_{lo}_b AS STRING) "
+                f"WHEN k = 'timestamp' THEN {iso.format(f'_{lo}_t')} END")
+
+    out = agg.selectExpr("*", f"{kind} AS k", f"{width} AS w", f"{elem_w} AS ew", f"{binary} AS bin")
+    return out.selectExpr(
+        f"{_sql_lit(table)} AS table_name",
+        "CAST(ordinal AS INT) AS ordinal",
+        _by_ordinal({o: name for o, name, _, _, _ in meta}, "STRING") + " AS column_name",
+        _by_ordinal({o: dt.simpleString() for o, _, _, dt, _ in meta}, "STRING") + " AS spark_type",
+        "k AS kind",
+        _by_ordinal({o: fs for o, _, _, _, fs in meta}, "BOOLEAN") + " AS from_struct",
+        "row_count", "null_count", "distinct_count",
+        text("min") + " AS min_value", text("max") + " AS max_value",
+        "CASE WHEN k = 'int' THEN CAST(_min_l AS DOUBLE) WHEN k = 'float' THEN _min_d END AS min_num",
+        "CASE WHEN k = 'int' THEN CAST(_max_l AS DOUBLE) WHEN k = 'float' THEN _max_d END AS max_num",
+        "CAST(coalesce(CASE WHEN w IS NOT NULL THEN row_count * w WHEN bin THEN _sbytes / 2 "
+        "WHEN k = 'string' THEN _sbytes WHEN ew IS NOT NULL THEN _asum * ew ELSE _jbytes END, 0) "
+        "AS BIGINT) AS byte_size",
+        "(k = 'string' AND _hit) AS numeric_hit",
+        "CASE WHEN k = 'string' THEN _s_cnt > 0 AND _p_cnt = _s_cnt "
+        "WHEN k = 'timestamp' THEN row_count > null_count ELSE false END AS timestamp_ok",
+        "CASE WHEN k = 'string' THEN _ts_min_s WHEN k = 'timestamp' THEN _min_t END AS ts_min",
+        "CASE WHEN k = 'string' THEN _ts_max_s WHEN k = 'timestamp' THEN _max_t END AS ts_max",
+        "CASE WHEN k IN ('int', 'float') THEN _f32 END AS f32_err",
+    )
 
 
 def catalog_column_profile(tables: dict[str, DataFrame], distinct: str = "exact") -> DataFrame:
