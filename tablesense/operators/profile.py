@@ -154,70 +154,86 @@ def _slot_struct_sql(ordinal: int, path: str, dt: T.DataType) -> str:
     return "named_struct(" + ", ".join(parts) + ")"
 
 
-def _by_ordinal(values: dict[int, object], typ: str) -> str:
-    """A per-ordinal constant (kind, width, ...) as a literal map lookup."""
+def _by_key(values: dict[int, object], typ: str) -> str:
+    """A per-column constant (kind, width, ...) as a literal map lookup on
+    the column key ``ck`` (table number * 100000 + ordinal)."""
     pairs = ", ".join(f"{k}, CAST({_sql_lit(v)} AS {typ})" for k, v in values.items())
-    return f"element_at(map({pairs}), ordinal)"
+    return f"element_at(map({pairs}), ck)"
 
 
-def column_profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFrame:
-    """One row per (flattened) column of ``df``; schema ``COLUMN_PROFILE_SCHEMA``.
-
-    One plan per table. Each row is exploded into one (ordinal, value)
-    record per column, the value held in a typed slot. With
-    ``distinct='exact'`` the records are grouped by (ordinal, value) with
-    partial aggregation map-side, so the shuffle carries each distinct value
-    once per task (a value held by a third of all rows costs one record per
-    task), and every per-value test (numeric pattern, timestamp parse,
-    float32 check) then runs once per distinct value; a second small
-    aggregation by ordinal yields the measures. With ``distinct='approx'``
-    the first grouping is skipped and HyperLogLog++ (5 % relative error)
-    counts the values: one aggregation, no shuffle of values.
-    Decimal columns are counted through their double value.
-
-    Expressions are written as SQL text so a wide table costs a handful of
-    driver calls, not thousands.
+_KEY = 100000  # column key = table number * _KEY + ordinal
+
+
+def catalog_column_profile(tables: dict[str, DataFrame], distinct: str = "exact") -> DataFrame:
+    """One row per (flattened) column of every table; ``COLUMN_PROFILE_SCHEMA``.
+
+    Each row of each table is exploded into one (column key, value) record
+    per column, the value held in a typed slot, and the records of all
+    tables are unioned before any shuffle. With ``distinct='exact'`` they
+    are grouped by (column key, value) with partial aggregation map-side,
+    so the shuffle carries each distinct value once per task (a value held
+    by a third of all rows costs one record per task) and every per-value
+    test (numeric pattern, timestamp parse, float32 check) runs once per
+    distinct value; a second, small aggregation by column key gives the
+    measures. The whole catalog costs two shuffles, whatever the number of
+    tables. With ``distinct='approx'`` the first grouping is skipped and
+    HyperLogLog++ (5 % relative error) counts values: one shuffle of
+    per-column aggregation buffers only.
+
+    Decimal columns are counted through their double value. Expressions are
+    SQL text, so a wide catalog costs a handful of driver calls.
     """
-    meta = [(i + 1, name, path, dt, fs) for i, (name, path, dt, fs) in enumerate(leaf_paths(df.schema))]
-    if not meta:
-        return df.sparkSession.createDataFrame([], COLUMN_PROFILE_SCHEMA)
-    recs = df.selectExpr("inline(array(" + ", ".join(
-        _slot_struct_sql(o, path, dt) for o, _, path, dt, _ in meta) + "))")
+    meta = []  # (key, table, ordinal, name, path, dt, from_struct)
+    parts = []
+    for tno, (table, df) in enumerate(tables.items()):
+        cols = [(tno * _KEY + i + 1, table, i + 1, name, path, dt, fs)
+                for i, (name, path, dt, fs) in enumerate(leaf_paths(df.schema))]
+        if not cols:
+            continue
+        meta += cols
+        parts.append(df.selectExpr("inline(array(" + ", ".join(
+            _slot_struct_sql(k, path, dt) for k, _, _, _, path, dt, _ in cols) + "))"))
+    if not parts:
+        spark = next(iter(tables.values())).sparkSession if tables else None
+        return spark.createDataFrame([], COLUMN_PROFILE_SCHEMA)
+    recs = reduce(DataFrame.union, parts).withColumnRenamed("ordinal", "ck")
     slot_names = [n for n, _ in _SLOTS]
     if distinct == "exact":
-        hist = recs.groupBy("ordinal", "nn", *slot_names).agg(F.count(F.lit(1)).alias("n"))
-        n = "n"
+        hist = recs.groupBy("ck", "nn", *slot_names).agg(F.count(F.lit(1)).alias("n"))
         dcount = "count_if(nn)"
     else:
         hist = recs.withColumn("n", F.lit(1).cast("long"))
-        n = "n"
         dcount = f"approx_count_distinct(CASE WHEN nn THEN struct({', '.join(slot_names)}) END)"
     parsed = f"CASE WHEN s RLIKE '{V.DATE_PREFIX_PATTERN}' THEN try_cast(s AS TIMESTAMP_NTZ) END"
     num_re = V.NUMERIC_STRING_PATTERN.replace("\\", "\\\\")
     f32 = ("abs(CAST(CAST(coalesce(d, CAST(l AS DOUBLE)) AS FLOAT) AS DOUBLE) "
            "- coalesce(d, CAST(l AS DOUBLE)))")
     aggs = {
-        "row_count": f"CAST(sum({n}) AS BIGINT)",
-        "null_count": f"CAST(coalesce(sum(CASE WHEN NOT nn THEN {n} END), 0) AS BIGINT)",
+        "row_count": "CAST(sum(n) AS BIGINT)",
+        "null_count": "CAST(coalesce(sum(CASE WHEN NOT nn THEN n END), 0) AS BIGINT)",
         "distinct_count": f"CAST({dcount} AS BIGINT)",
         "_min_l": "min(l)", "_max_l": "max(l)", "_min_d": "min(d)", "_max_d": "max(d)",
         "_min_s": "min(s)", "_max_s": "max(s)", "_min_b": "min(b)", "_max_b": "max(b)",
         "_min_t": "coalesce(min(t), CAST(min(z) AS TIMESTAMP_NTZ), CAST(min(dt) AS TIMESTAMP_NTZ))",
         "_max_t": "coalesce(max(t), CAST(max(z) AS TIMESTAMP_NTZ), CAST(max(dt) AS TIMESTAMP_NTZ))",
-        "_sbytes": f"sum(octet_length(s) * {n})",
-        "_asum": f"sum(asz * {n})",
-        "_jbytes": f"sum(octet_length(j) * {n})",
+        "_sbytes": "sum(octet_length(s) * n)",
+        "_asum": "sum(asz * n)",
+        "_jbytes": "sum(octet_length(j) * n)",
         "_hit": f"coalesce(bool_or(s RLIKE '{num_re}'), false)",
         "_s_cnt": "count(s)", "_p_cnt": f"count({parsed})",
         "_ts_min_s": f"min({parsed})", "_ts_max_s": f"max({parsed})",
         "_f32": f"max({f32})",
     }
-    agg = hist.groupBy("ordinal").agg(*[F.expr(e).alias(k) for k, e in aggs.items()])
-    kind = _by_ordinal({o: kind_of(dt) for o, _, _, dt, _ in meta}, "STRING")
-    width = _by_ordinal({o: width_of(dt) for o, _, _, dt, _ in meta}, "BIGINT")
-    elem_w = _by_ordinal({o: (width_of(dt.elementType) if isinstance(dt, T.ArrayType) else None)
-                          for o, _, _, dt, _ in meta}, "BIGINT")
-    binary = _by_ordinal({o: isinstance(dt, T.BinaryType) for o, _, _, dt, _ in meta}, "BOOLEAN")
+    agg = hist.groupBy("ck").agg(*[F.expr(e).alias(k) for k, e in aggs.items()])
+
+    def by(fn, typ):
+        return _by_key({k: fn(t, o, nm, dt, fs) for k, t, o, nm, _, dt, fs in meta}, typ)
+
+    kind = by(lambda t, o, nm, dt, fs: kind_of(dt), "STRING")
+    width = by(lambda t, o, nm, dt, fs: width_of(dt), "BIGINT")
+    elem_w = by(lambda t, o, nm, dt, fs: width_of(dt.elementType)
+                if isinstance(dt, T.ArrayType) else None, "BIGINT")
+    binary = by(lambda t, o, nm, dt, fs: isinstance(dt, T.BinaryType), "BOOLEAN")
     iso = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
 
     def text(lo: str) -> str:
@@ -227,12 +243,12 @@ def column_profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFr
 
     out = agg.selectExpr("*", f"{kind} AS k", f"{width} AS w", f"{elem_w} AS ew", f"{binary} AS bin")
     return out.selectExpr(
-        f"{_sql_lit(table)} AS table_name",
-        "CAST(ordinal AS INT) AS ordinal",
-        _by_ordinal({o: name for o, name, _, _, _ in meta}, "STRING") + " AS column_name",
-        _by_ordinal({o: dt.simpleString() for o, _, _, dt, _ in meta}, "STRING") + " AS spark_type",
+        by(lambda t, o, nm, dt, fs: t, "STRING") + " AS table_name",
+        "CAST(ck % 100000 AS INT) AS ordinal",
+        by(lambda t, o, nm, dt, fs: nm, "STRING") + " AS column_name",
+        by(lambda t, o, nm, dt, fs: dt.simpleString(), "STRING") + " AS spark_type",
         "k AS kind",
-        _by_ordinal({o: fs for o, _, _, _, fs in meta}, "BOOLEAN") + " AS from_struct",
+        by(lambda t, o, nm, dt, fs: fs, "BOOLEAN") + " AS from_struct",
         "row_count", "null_count", "distinct_count",
         text("min") + " AS min_value", text("max") + " AS max_value",
         "CASE WHEN k = 'int' THEN CAST(_min_l AS DOUBLE) WHEN k = 'float' THEN _min_d END AS min_num",
@@ -249,10 +265,9 @@ def column_profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFr
     )
 
 
-def catalog_column_profile(tables: dict[str, DataFrame], distinct: str = "exact") -> DataFrame:
-    """Column profiles of many tables as one plan (one scan branch per table)."""
-    parts = [column_profile(df, name, distinct) for name, df in tables.items()]
-    return reduce(DataFrame.unionByName, parts)
+def column_profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFrame:
+    """The column profile of one table (see ``catalog_column_profile``)."""
+    return catalog_column_profile({table: df}, distinct)
 
 
 # ---------------------------------------------------------------------------
@@ -337,28 +352,54 @@ def _groupable_columns(df: DataFrame) -> list[str]:
             if not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
 
-def duplicate_rows(df: DataFrame, table: str) -> DataFrame:
-    """Rows equal to an earlier row: one row (table, duplicate_rows).
+# Candidate row hashes are broadcast to the exact check only up to this
+# many (16 bytes each); beyond it the check is a shuffle join.
+BROADCAST_CANDIDATES = 2_000_000
 
-    Step 1 shuffles only an 8-byte hash per row (with map-side counting);
-    step 2 compares whole rows for the rows whose hash repeats. The
-    candidate side is small in practice and AQE turns the join into a
-    broadcast at run time when its measured size allows; otherwise it
-    stays a shuffle join (skew split by AQE).
-    """
-    cols = [F.col(f"`{c}`") for c in _groupable_columns(df)]
-    hashed = df.select(*cols, F.xxhash64(*cols).alias("__h"))
-    repeated = (hashed.groupBy("__h").count().where(F.col("count") > 1).select("__h"))
-    candidates = hashed.join(repeated, "__h", "left_semi")
-    groups = candidates.groupBy("__h", *cols).count()
-    return groups.agg(
-        F.lit(table).alias("table_name"),
-        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
-    )
+
+def _row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in _groupable_columns(df)])
 
 
 def catalog_duplicate_rows(tables: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [duplicate_rows(df, t) for t, df in tables.items()])
+    """Rows equal to an earlier row, per table: (table_name, duplicate_rows).
+
+    Step 1, one shuffle for the whole catalog: an 8-byte hash per row,
+    counted map-side, keeps the hashes seen more than once. That small set
+    is written to the checkpoint folder and its size read back. Step 2 runs
+    only for tables that have such hashes: their rows are semi-joined to
+    the repeated hashes (broadcast when the count is at most
+    ``BROADCAST_CANDIDATES``, else a shuffle join) and grouped by all
+    columns to count exact duplicates (hash collisions do not count).
+    """
+    from tablesense.session import materialize
+    spark = next(iter(tables.values())).sparkSession
+    names = list(tables)
+    hashes = reduce(DataFrame.union, [
+        df.select(F.lit(i).alias("tno"), _row_hash(df).alias("__h"))
+        for i, df in enumerate(tables.values())])
+    repeated = materialize(hashes.groupBy("tno", "__h").count().where(F.col("count") > 1)
+                           .select("tno", "__h"))
+    per_table = {r["tno"]: r["n"] for r in
+                 repeated.groupBy("tno").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [spark.createDataFrame([(t, 0) for i, t in enumerate(names) if i not in per_table],
+                                   "table_name string, duplicate_rows long")]
+    for i, n in per_table.items():
+        df = tables[names[i]]
+        cols = [F.col(f"`{c}`") for c in _groupable_columns(df)]
+        cand = repeated.where(F.col("tno") == i).select("__h")
+        if n <= BROADCAST_CANDIDATES:
+            cand = F.broadcast(cand)
+        rows = df.select(*cols, _row_hash(df).alias("__h")).join(cand, "__h", "left_semi")
+        groups = rows.groupBy("__h", *cols).count()
+        parts.append(groups.agg(
+            F.lit(names[i]).alias("table_name"),
+            F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def duplicate_rows(df: DataFrame, table: str) -> DataFrame:
+    return catalog_duplicate_rows({table: df})
 
 
 # ---------------------------------------------------------------------------

@@ -16,14 +16,15 @@ from tablesense.operators import rules as R
 from tablesense.plans import sqlgen as G
 from tablesense.plans.catalog import SCHEMAS, TABLES, load_all
 from tablesense.plans.registry import dec, joined, query
+from tablesense.session import materialize
 
 FACTORS = [1, 10, 100, 1000, 10000, 100000]
 
 
 def _profiles(spark, sf_dir, mode="intended", dups=True):
     tables = load_all(spark, sf_dir)
-    cp = P.catalog_column_profile(tables)
-    tp = P.table_profile(cp, P.catalog_duplicate_rows(tables) if dups else None, mode)
+    cp = materialize(P.catalog_column_profile(tables))
+    tp = materialize(P.table_profile(cp, P.catalog_duplicate_rows(tables) if dups else None, mode))
     return tables, cp, tp
 
 

@@ -38,10 +38,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
     as is. Only when it is unset (local tests) a scratch folder is made.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="tablesense-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -55,3 +52,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark)
     import uuid
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Cut the lineage of a small derived frame (a profile) with a reliable
+    checkpoint in the shared checkpoint folder, so later plans that use it
+    several times start from a small leaf and survive executor loss."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
