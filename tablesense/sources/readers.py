@@ -83,6 +83,18 @@ def without_corrupt(df: DataFrame) -> DataFrame:
     return df
 
 
+def corrupt_count(df: DataFrame) -> DataFrame:
+    """(records, corrupt, content_hash) of a text-format read: the number of
+    records, of corrupt ones, and an order-independent hash of the good
+    ones. (Spark rejects a query that needs only the corrupt-record column;
+    the content hash reads every column, which the parse does anyway.)"""
+    cols = [F.col(f"`{c}`") for c in df.columns if c != CORRUPT]
+    h = F.xxhash64(*cols).cast("decimal(38,0)")
+    bad = F.col(CORRUPT).isNotNull() if CORRUPT in df.columns else F.lit(False)
+    return df.agg(F.count(F.lit(1)).alias("records"), F.count_if(bad).alias("corrupt"),
+                  F.coalesce(F.sum(F.when(~bad, h)), F.lit(0)).cast("string").alias("content_hash"))
+
+
 def find_field(schema: T.StructType, name: str, path: str = "") -> str | None:
     """SQL path of the first field called ``name``, depth first."""
     for f in schema.fields:
