@@ -16,7 +16,11 @@ def _log(spark, sf_dir):
     return ev.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
 
 
-OK = F.col("event_type") != "error"
+def ok():
+    """A request succeeded unless its event type is 'error'."""
+    return F.col("event_type") != "error"
+
+
 OK_SQL = "event_type <> 'error'"
 
 SUMMARY_SQL = f"""
@@ -32,7 +36,7 @@ FROM events GROUP BY 1"""
 
 
 def _summary(spark, sf_dir):
-    return L.latency_summary(_log(spark, sf_dir), ["day"], "ts", OK, "value")
+    return L.latency_summary(_log(spark, sf_dir), ["day"], "ts", ok(), "value")
 
 
 @query("latency_summary", sql=SUMMARY_SQL)
@@ -53,7 +57,7 @@ SELECT CAST(((SELECT value FROM v, d WHERE rn = d.j) * (20 - (SELECT delta FROM
         + (SELECT value FROM v, d WHERE rn = d.j + 1) * (SELECT delta FROM d)) / 20
        AS DECIMAL(38,6)) AS p95""")
 def q_p95_exclusive(spark, sf_dir):
-    ev = _log(spark, sf_dir).where(OK)
+    ev = _log(spark, sf_dir).where(ok())
     return L.p95_exclusive(ev, "value").select(dec("p95").alias("p95"))
 
 
@@ -62,7 +66,7 @@ SELECT strftime(ts, '%Y-%m-%d') AS day,
   CAST(quantile_cont(value, 0.95) AS DECIMAL(38,6)) AS p95
 FROM events WHERE {OK_SQL} GROUP BY 1""")
 def q_p95_inclusive(spark, sf_dir):
-    ev = _log(spark, sf_dir).where(OK)
+    ev = _log(spark, sf_dir).where(ok())
     return L.p95_inclusive(ev, "value", ["day"]).select("day", dec("p95").alias("p95"))
 
 
@@ -70,7 +74,7 @@ def q_p95_inclusive(spark, sf_dir):
 SELECT substr(props, 1, 100) AS error, CAST(count(*) AS BIGINT) AS count
 FROM events WHERE NOT ({OK_SQL}) GROUP BY 1""")
 def q_error_histogram(spark, sf_dir):
-    return L.error_histogram(_log(spark, sf_dir), OK, "props").select(
+    return L.error_histogram(_log(spark, sf_dir), ok(), "props").select(
         "error", F.col("count").cast("long"))
 
 

@@ -83,3 +83,14 @@ def test_entry_runs(spark):
     rows = df.collect()
     assert len(rows) == 14 and {r["target"] for r in rows} == {"postgresql"}
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_contract_imports_without_session():
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, '.'); import __spark_entry__ as E; "
+            "q = E.queries(); o = E.oracle_sql(); assert set(o) <= set(q) and len(q) > 60")
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    r = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=300)
+    assert r.returncode == 0, r.stderr.decode()[-2000:]
