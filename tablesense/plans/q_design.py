@@ -278,3 +278,14 @@ def q_daily_rollup(spark, sf_dir):
     parts = [D.daily_rollup_tall(load(spark, sf_dir, t), t) for t in ROLLUP_TABLES]
     out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@query("index_candidates_observed", sql=BASE + """
+SELECT c.table_name, c.ordinal, c.column_name, 'temporal_name' AS reason
+FROM cf c JOIN tp t USING (table_name)
+WHERE t.has_temporal AND regexp_matches(lower(c.column_name), 'date|time')
+UNION ALL
+SELECT table_name, ordinal, column_name, 'cardinality' FROM cf WHERE ratio BETWEEN 0.1 AND 0.9""")
+def q_index_candidates_observed(spark, sf_dir):
+    cp, tp = _cp_tp(spark, sf_dir)
+    return D.index_candidates(cp, tp, mode="observed")

@@ -350,3 +350,15 @@ def q_bounded_head(spark, sf_dir):
     od = load(spark, sf_dir, "orders")
     return S.bounded_head(od, ["o_orderkey"], HEAD_ROWS).select("o_orderkey", "o_custkey",
                                                                 "o_orderstatus")
+
+
+@query("profile_flags_observed", sql=G.profile_ctes(ALL, with_dups=False, mode="observed") + """
+SELECT table_name, has_temporal, has_numeric, has_text, has_categorical, has_spatial, has_nested,
+  unique_ids, CAST(compression_ratio AS DECIMAL(38,6)) AS compression_ratio
+FROM tp""")
+def q_profile_flags_observed(spark, sf_dir):
+    cp = P.catalog_column_profile(load_all(spark, sf_dir))
+    tp = P.table_profile(cp, None, mode="observed")
+    return tp.select("table_name", "has_temporal", "has_numeric", "has_text", "has_categorical",
+                     "has_spatial", "has_nested", joined("unique_ids").alias("unique_ids"),
+                     dec("compression_ratio").alias("compression_ratio"))

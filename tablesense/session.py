@@ -55,8 +55,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Cut the lineage of a small derived frame (a profile) with a reliable
-    checkpoint in the shared checkpoint folder, so later plans that use it
-    several times start from a small leaf and survive executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of a small derived frame (a profile): write it as a
+    Parquet table in the shared checkpoint folder and read it back. Later
+    plans that use it several times start from that small table, and it
+    survives executor loss. (A reliable ``checkpoint()`` of an unpersisted
+    frame would compute it twice: once to count, once to write.)"""
+    path = scratch_path(df.sparkSession, "materialized")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
