@@ -2,7 +2,8 @@
 
 Runs at $BENCH_SF_DIR (default /root/testdata/sf0.1) on local[$BENCH_CPUS]
 and prints one JSON line. A warm-up pass on sf0.001 compiles the generated
-code first, so the timings are of steady-state execution.
+code first, and each query reports the best of $BENCH_REPEAT (default 2)
+runs, so the timings are of steady-state execution.
 """
 
 from __future__ import annotations
@@ -32,11 +33,16 @@ def main() -> None:
     if os.path.isdir(warm):
         for n in names:
             qs[n](spark, warm).collect()
+    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     times = {}
     for n in names:
-        t0 = time.time()
-        qs[n](spark, sf_dir).collect()
-        times[n] = round(time.time() - t0, 3)
+        best = None
+        for _ in range(repeat):
+            t0 = time.time()
+            qs[n](spark, sf_dir).collect()
+            el = time.time() - t0
+            best = el if best is None else min(best, el)
+        times[n] = round(best, 3)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({
         "metric": "profile_and_recommend_catalog_sec",
@@ -46,6 +52,7 @@ def main() -> None:
         "total_sec": round(sum(times.values()), 3),
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "tables": 14,
+        "timing": f"best of {repeat} runs per query after a warm-up on sf0.001",
         "config": {"master": f"local[{cpus}]", "shuffle_partitions": int(cpus),
                    "driver_memory": "16g", "aqe": True},
     }))
