@@ -323,6 +323,10 @@ def column_flags(cp: DataFrame, mode: str = "intended") -> DataFrame:
         id_col = unique & (N.is_id_name(name) | F.col("narrowed").isin("int64", "int32"))
         range_candidate = kind.isin("int", "float") | F.col("timestamp_ok")
         nested = F.lit(False)
+        # Q3: numbers convert as epoch nanoseconds (microsecond precision kept).
+        as_ts = lambda c: F.timestamp_micros(F.floor(F.col(c) / 1000)).cast("timestamp_ntz")
+        range_min = F.when(kind.isin("int", "float"), as_ts("min_num")).otherwise(F.col("ts_min"))
+        range_max = F.when(kind.isin("int", "float"), as_ts("max_num")).otherwise(F.col("ts_max"))
     else:
         temporal = F.col("timestamp_ok") & kind.isin("string", "timestamp")
         numeric = kind.isin("int", "float") | ((kind == "string") & F.col("numeric_hit"))
@@ -332,6 +336,7 @@ def column_flags(cp: DataFrame, mode: str = "intended") -> DataFrame:
         id_col = unique & (N.is_id_name(name) | (kind == "int"))
         range_candidate = temporal
         nested = (kind == "nested") | F.col("from_struct")
+        range_min, range_max = F.col("ts_min"), F.col("ts_max")
     return (cp.withColumn("is_temporal", F.coalesce(temporal, F.lit(False)))
               .withColumn("is_numeric", F.coalesce(numeric, F.lit(False)))
               .withColumn("is_text", F.coalesce(text, F.lit(False)))
@@ -340,6 +345,8 @@ def column_flags(cp: DataFrame, mode: str = "intended") -> DataFrame:
               .withColumn("is_unique_id", F.coalesce(id_col, F.lit(False)))
               .withColumn("is_range_candidate", F.coalesce(range_candidate, F.lit(False)))
               .withColumn("is_nested", nested)
+              .withColumn("range_min", range_min)
+              .withColumn("range_max", range_max)
               .withColumn("lower_name", F.lower(name)))
 
 
@@ -418,7 +425,8 @@ def table_profile(cp: DataFrame, dups: DataFrame | None = None, mode: str = "int
                   .when(F.col("narrowed").isin("int64", "float64"), WEIGHT_WIDE_NUMBER)
                   .otherwise(WEIGHT_OTHER))
     lname = F.col("lower_name")
-    first_range = F.min_by(F.struct("ts_min", "ts_max"),
+    first_range = F.min_by(F.struct(F.col("range_min").alias("ts_min"),
+                                    F.col("range_max").alias("ts_max")),
                            F.when(F.col("is_range_candidate"), F.col("ordinal")))
     agg = cf.groupBy("table_name").agg(
         F.max("row_count").alias("record_count"),

@@ -117,3 +117,15 @@ def test_union_of_parts_merges(spark):
         if w["min_num"] is not None:
             assert w["min_num"] == min(pa[c]["min_num"], pb[c]["min_num"])
             assert w["max_num"] == max(pa[c]["max_num"], pb[c]["max_num"])
+
+
+def test_observed_range_uses_epoch_nanoseconds(spark):
+    """Q3: in observed mode a leading integer column gives a 1970 range."""
+    import datetime as dt
+    df = spark.createDataFrame([(1000, "2024-01-02"), (5000, "2024-03-04")], "id long, day string")
+    cp = P.column_profile(df, "t")
+    obs = P.table_profile(cp, None, mode="observed").first()
+    assert obs["ts_min"] == dt.datetime(1970, 1, 1, 0, 0, 0, 1)
+    assert obs["ts_max"] == dt.datetime(1970, 1, 1, 0, 0, 0, 5)
+    intended = P.table_profile(cp, None).first()
+    assert intended["ts_min"] == dt.datetime(2024, 1, 2)
