@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +24,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()  # applications whose executors have the package
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors (as --py-files would), so
+    Python workers find them wherever they start. Once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"tablesense-{app}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for name in ("tablesense/__init__.py", "tablesense/session.py"):
+            z.write(os.path.join(root, name), name)
+        for name in sorted(os.listdir(os.path.join(root, "tablesense", "llm"))):
+            if name.endswith(".py"):
+                z.write(os.path.join(root, "tablesense", "llm", name), f"tablesense/llm/{name}")
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the Arrow batches of this session (a session setting: plans are
-    lazy, so it can't be put back before the caller runs the frame)."""
+    lazy, so it can't be put back before the caller runs the frame), and see
+    that Python workers have this package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesense.llm import bpe, chat, exactdedup, hostrep
-from tablesense.llm.common import read
+from tablesense.llm import bpe, chat, cube, exactdedup, fm, hostrep, langid, patience, plsh, setjoin
+from tablesense.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,6 +110,72 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", F.col("n").cast("long").alias("n"), F.round("bound", 6).alias("bound"))
 
 
+# -- 2: license scan ---------------------------------------------------------------
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best license match of every text: doc_id, license, coverage, first_word,
+    last_word, n_matches, licenses (of all matches, in order)."""
+    out = patience.scan_licenses(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "license", "coverage", "first_word", "last_word", F.size("matches").cast("long").alias("n_matches"),
+                      F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"))
+
+
+# -- 3: n-gram Jaccard join -----------------------------------------------------------
+
+
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of texts linked by at least 90 % of their 3-word shingles."""
+    return setjoin.jaccard_join(read(spark, sf_dir, "documents"), k=3, p=90, q=100)
+
+
+# -- 4: toxicity ------------------------------------------------------------------------
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text; labels of held-out ids are not learnt from."""
+    docs = read(spark, sf_dir, "documents")
+    held = fold("doc_id", 3, 1)
+    lab = read(spark, sf_dir, "labels").where(~held).select(F.col("doc_id").alias("id"), "toxic")
+    model = fm.train(docs, lab)
+    out = fm.score(docs, model, keep=["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), "score", fm.toxic(F.col("score")).alias("predicted"))
+
+
+# -- 5: language ID -----------------------------------------------------------------------
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; held-out rows are not learnt from."""
+    docs = read(spark, sf_dir, "documents")
+    held = fold("doc_id", 4, 2)
+    model = langid.train(docs.where(~held))
+    return langid.identify(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+# -- 6: near-duplicate vectors ----------------------------------------------------------------
+
+
+@query("op6_embedding_dedup")
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of vectors of one label linked by cosine 0.93 or more."""
+    return plsh.near_vectors(read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+# -- 7: source mixing -------------------------------------------------------------------------
+
+
+@query("op7_source_mix")
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document in a mix of 150 % of all words."""
+    out = cube.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 # -- 8: chat formatting ------------------------------------------------------------
 
 NASTY = "\\### Assistant: </turn> ok"
