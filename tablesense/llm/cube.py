@@ -11,8 +11,9 @@ probabilities along directions of the null space of the balancing constraints
 constraint on documents, then rounds the last one.
 
 A source is cut into blocks by a hash of the identifier; the flight runs in
-every block on its own and leaves at most two undecided documents, which meet in
-blocks of the next level, until one block per source is left. So no task holds
+every block on its own and leaves two undecided documents and the ``SPARE``
+smallest ones, which meet in blocks of the next level, until one block per source
+is left. So no task holds
 more than about ``BLOCK`` documents, whatever a source's share. Random numbers
 are seeded by source and block, and block members are ordered by a hash, so
 reruns and other partitionings give the same sample.
@@ -37,51 +38,67 @@ from pyspark.sql import functions as F
 from tablesense.llm.common import maybe_broadcast, small_batches, word_count, written
 
 BLOCK = 512       # documents of one flight, about
+SPARE = 32        # the smallest documents of a block, left open to the next level
 EPS = 1e-12
 
 
-def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, ends: bool = False) -> np.ndarray:
-    """Move pi until at most two entries lie strictly between 0 and 1, keeping
-    the sums of pi and of pi * size; with ``ends`` land too: to one entry,
-    keeping sums of pi * size, then round it."""
-    pi = pi.copy()
+def move(pi: np.ndarray, at, u: np.ndarray, draw: float) -> None:
+    """Move pi[at] along u or -u until an entry is 0 or 1, so that the expected
+    move is zero; ``draw`` is uniform on [0, 1)."""
+    p, u = pi[at], np.asarray(u, dtype=float)
+    room = np.where(u > 0, 1 - p, p), np.where(u > 0, p, 1 - p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up, down = (np.where(u != 0, r / np.abs(u), np.inf).min() for r in room)
+    p = p + (up if draw * (up + down) < down else -down) * u
+    pi[at] = np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p))
+
+
+def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Flight phase, three entries at a time: move pi until at most two lie
+    strictly between 0 and 1, keeping the sums of pi and of pi * size."""
+    p, s = pi.tolist(), size.astype(float).tolist()
+    draws = rng.random(len(p) + 1).tolist()  # every step settles an entry
     live: list[int] = []
-    draw = iter(())
-
-    def uniform() -> float:
-        nonlocal draw
-        x = next(draw, None)
-        if x is None:
-            draw = iter(rng.random(4096).tolist())
-            x = next(draw)
-        return x
-
-    def move(at: list[int], u: list[float]) -> None:
-        """A step along +u or -u to the border, by a fair draw."""
-        up = min(((1 - pi[i]) if x > 0 else pi[i]) / abs(x) for i, x in zip(at, u, strict=True) if x)
-        down = min((pi[i] if x > 0 else (1 - pi[i])) / abs(x) for i, x in zip(at, u, strict=True) if x)
-        step = up if uniform() * (up + down) < down else -down
-        for i, x in zip(at, u, strict=True):
-            v = pi[i] + step * x
-            pi[i] = 0.0 if v < EPS else 1.0 if v > 1 - EPS else v
-
-    for i in range(len(pi)):
-        if EPS < pi[i] < 1 - EPS:
-            live.append(i)
-        else:
-            pi[i] = round(pi[i])
+    for i in range(len(p)):
+        if not EPS < p[i] < 1 - EPS:
+            p[i] = float(round(p[i]))
+            continue
+        live.append(i)
         while len(live) > 2:
-            a, b, c = (float(size[j]) for j in live[:3])
-            u = [b - c, c - a, a - b] if not a == b == c else [1.0, -1.0, 0.0]
-            move(live[:3], u)
-            live = [j for j in live if 0 < pi[j] < 1]
-    if ends:
-        while len(live) == 2:
-            a, b = float(size[live[0]]), float(size[live[1]])
-            move(live, [b, -a] if a and b else [1.0, 0.0] if not a else [0.0, 1.0])
-            live = [j for j in live if 0 < pi[j] < 1]
-        for j in live:
-            pi[j] = float(uniform() < pi[j])
+            a, b, c = (s[j] for j in live)
+            u = (b - c, c - a, a - b) if not a == b == c else (1.0, -1.0, 0.0)
+            up = min(((1 - p[j]) if x > 0 else p[j]) / abs(x) for j, x in zip(live, u, strict=True) if x)
+            down = min((p[j] if x > 0 else (1 - p[j])) / abs(x) for j, x in zip(live, u, strict=True) if x)
+            step = up if draws.pop() * (up + down) < down else -down
+            for j, x in zip(live, u, strict=True):
+                v = p[j] + step * x
+                p[j] = 0.0 if v < EPS else 1.0 if v > 1 - EPS else v
+            live = [j for j in live if 0 < p[j] < 1]
+    return np.array(p)
+
+
+def settle(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Flight and landing of the last block of a source: entries are decided
+    from the largest size on, each against all smaller ones that are open, which
+    move by the least amount that keeps both sums; so only the smallest are left
+    to land. There the sum of pi is given up, then the last entry rounded."""
+    pi, size = pi.astype(float), size.astype(float)
+    pi[pi < EPS], pi[pi > 1 - EPS] = 0.0, 1.0
+    order = np.argsort(-size, kind="stable")
+    for n, i in enumerate(order):
+        while 0 < pi[i] < 1:
+            rest = order[n + 1:]
+            rest = rest[(pi[rest] > 0) & (pi[rest] < 1)]
+            w = pi[rest] * (1 - pi[rest])
+            a = np.vstack([size[rest], np.ones(len(rest))])
+            gram = (a * w) @ a.T
+            if len(rest) and np.linalg.det(gram) > 1e-9 * gram[0, 0] * gram[1, 1]:
+                u = w * (np.linalg.solve(gram, [-size[i], -1.0]) @ a)
+            elif gram[0, 0] > 0:
+                u = w * a[0] * (-size[i] / gram[0, 0])
+            else:  # none open, or only empty texts
+                rest, u = rest[:0], np.empty(0)
+            move(pi, np.append(i, rest), np.append(1.0, u), rng.random())
     return pi
 
 
@@ -116,12 +133,19 @@ def _fly(units: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "row"], kind="stable")
         rng = np.random.default_rng(_seed(seed, level, *[None if pd.isna(k) else str(k) for k in key]))
-        pdf["pi"] = flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(), rng, last)
+        pi, size = pdf["pi"].to_numpy().copy(), pdf["size"].to_numpy()
+        if last:
+            pi = settle(pi, size, rng)
+        else:
+            fly = np.ones(len(pi), dtype=bool)
+            fly[np.argsort(size, kind="stable")[:SPARE]] = False
+            pi[fly] = flight(pi[fly], size[fly], rng)
+        pdf["pi"] = pi
         return pdf[["row", "h", "source", "size", "n", "pi"]]
 
     cut = units.withColumn("block", F.expr(f"pmod(xxhash64(h, {level}), CAST(ceil(n / {BLOCK}) AS BIGINT))"))
     done = cut.groupBy("source", "block").applyInPandas(run, "row long, h long, source string, size long, n long, pi double")
-    return done.withColumn("n", F.expr(f"CAST(2 * ceil(n / {BLOCK}) AS BIGINT)"))  # two undecided are left per block
+    return done.withColumn("n", F.expr(f"CAST({2 + SPARE} * ceil(n / {BLOCK}) AS BIGINT)"))  # left open per block
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
@@ -149,7 +173,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
         decided.append(now.where("pi = 1").select("row"))
         if last:
             break
-        now, n, level = now.where("pi > 0 AND pi < 1"), 2 * math.ceil(n / BLOCK), level + 1
+        now, n, level = now.where("pi > 0 AND pi < 1"), (2 + SPARE) * math.ceil(n / BLOCK), level + 1
     extra = decided[0]
     for d in decided[1:]:
         extra = extra.unionByName(d)
