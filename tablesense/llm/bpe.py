@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from tablesense.llm.common import small_batches
 
 BATCH_WORDS = 15_000      # distinct words of one recursive query
-CACHE_CHUNKS = 250_000    # remembered chunks of one Python worker
-CACHE_WORDS = 400_000     # remembered words of one Python worker
+CACHE_CHUNKS = 600_000    # remembered chunks of one Python worker
+CACHE_WORDS = 1_000_000   # remembered words of one Python worker
 DECODE_TOKENS = 400_000   # tokens of one decoding query
 
 ENCODE_SQL = """
