@@ -4,8 +4,9 @@ Labelled page outcomes (good or bad) are counted per host. The tree suffix >
 registered domain > host shares strength: each node's rate of good pages has a
 beta prior centred at its parent's posterior mean, whose weight is fitted per
 level as the beta-binomial moment estimate over all children. The bound of a
-host is a lower quantile of its beta posterior (Laplace approximation on the
-logit scale); the filter blocks hosts whose bound is below ``min_rate``.
+host is an upper quantile of its beta posterior (Laplace approximation on the
+logit scale); the filter blocks hosts whose bound is below ``min_rate``, that is
+those that are bad beyond doubt. Hosts with little evidence follow their domain.
 Explicit rules (host, path) come first; the longest fitting one wins.
 
 Pages are counted per host by partial aggregation before any shuffle, so a
@@ -46,7 +47,7 @@ class Rule:
 @dataclass(frozen=True)
 class Reputation:
     min_rate: float = 0.5        # least rate of good pages
-    z: float = 1.645             # one-sided 95 % bound
+    z: float = 1.645             # one-sided 95 % upper bound
     root_good: float = 2.0       # prior of the root: Beta(good, bad)
     root_bad: float = 1.0
     least_weight: float = 1.0    # bounds of a fitted prior weight
@@ -121,7 +122,7 @@ def host_reputation(outcomes: DataFrame, p: Reputation | None = None) -> DataFra
     d = written(shrink(domains.join(s, "suffix"), p).select("suffix", "domain", F.col("mean").alias("mu")), "domain-means")
     h = shrink(hosts.join(d, ["suffix", "domain"]), p)
     spread = F.sqrt(1 / F.col("alpha") + 1 / F.col("beta"))
-    bound = 1 / (1 + F.exp(-(F.log(F.col("alpha") / F.col("beta")) - p.z * spread)))
+    bound = 1 / (1 + F.exp(-(F.log(F.col("alpha") / F.col("beta")) + p.z * spread)))
     return h.select("host", "n", "good", "mean", bound.alias("bound"))
 
 

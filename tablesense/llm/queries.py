@@ -86,7 +86,7 @@ hst AS (
   SELECT h.*, d.alpha / (d.alpha + d.beta) AS mu FROM hosts h JOIN doms d USING (suffix, domain)),
 {_shrink_sql("hsts", "hst", p)},
 rep AS (
-  SELECT host, n::BIGINT AS n, 1 / (1 + exp(-(ln(alpha / beta) - {p.z} * sqrt(1 / alpha + 1 / beta)))) AS bound FROM hsts),
+  SELECT host, n::BIGINT AS n, 1 / (1 + exp(-(ln(alpha / beta) + {p.z} * sqrt(1 / alpha + 1 / beta)))) AS bound FROM hsts),
 rules AS (SELECT * FROM (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}) t(verdict, host, path)),
 hit AS (
   SELECT h.page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
