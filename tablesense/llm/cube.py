@@ -19,9 +19,10 @@ are seeded by source and block, and block members are ordered by a hash, so
 reruns and other partitionings give the same sample.
 
 Defined results: a null or blank text has size 0; a null source comes last and
-is a source of its own; a source without words has target 0 and takes nothing; rows that
-repeat an identifier are drawn each for itself; a null identifier is drawn like
-any other; an empty table gives an empty result; extra columns are ignored.
+is a source of its own; a source without words has target 0 and takes nothing;
+rows alike in identifier, source and size are drawn together, those without
+identifier too; an empty table gives an empty result; extra columns are kept,
+columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -130,8 +131,8 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, m
 def _fly(units: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
     """One flight per (source, block): units with their new pi. ``n``, the most
     units of a source at this level, gives its number of blocks."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "row"], kind="stable")
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("h", kind="stable")
         rng = np.random.default_rng(_seed(seed, level, *[None if pd.isna(k) else str(k) for k in key]))
         pi, size = pdf["pi"].to_numpy().copy(), pdf["size"].to_numpy()
         if last:
@@ -141,10 +142,10 @@ def _fly(units: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
             fly[np.argsort(size, kind="stable")[:SPARE]] = False
             pi[fly] = flight(pi[fly], size[fly], rng)
         pdf["pi"] = pi
-        return pdf[["row", "h", "source", "size", "n", "pi"]]
+        return pdf[["h", "source", "size", "n", "pi"]]
 
     cut = units.withColumn("block", F.expr(f"pmod(xxhash64(h, {level}), CAST(ceil(n / {BLOCK}) AS BIGINT))"))
-    done = cut.groupBy("source", "block").applyInPandas(run, "row long, h long, source string, size long, n long, pi double")
+    done = cut.groupBy("source", "block").applyInPandas(run, "h long, source string, size long, n long, pi double")
     return done.withColumn("n", F.expr(f"CAST({2 + SPARE} * ceil(n / {BLOCK}) AS BIGINT)"))  # left open per block
 
 
@@ -156,31 +157,34 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     small_batches(docs.sparkSession, 10_000)
     named = ("size", "source_size", "target", "copies", "taken")
     docs = docs.drop(*[c for c in named if c not in (id_col, text, source)])
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("size", word_count(F.col(text).cast("string")))
-    slim = written(rows.select(F.col("__row").alias("row"), F.col(source).cast("string").alias("source"), "size",
-                               F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col("size")).alias("h")), "sizes")
+    src = F.col(source).cast("string")
+    rows = docs.withColumn("size", word_count(F.col(text).cast("string")))
+    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), src, F.col("size")))
+    slim = written(rows.groupBy(F.col("__h").alias("h"), src.alias("source")).agg(F.sum("size").alias("size")), "sizes")
     targets = written(source_targets(slim.select("source", "size"), tuple(weights), share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rates = maybe_broadcast(targets.select(F.col("source").alias("s"), "n", rate.alias("rate")))
     units = slim.join(rates, slim.source.eqNullSafe(F.col("s"))).select(
-        "row", "h", "source", "size", "n", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("pi"))
+        "h", "source", "size", "n", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("pi"))
 
-    now, decided, level = units.select("row", "h", "source", "size", "n", "pi").where("pi > 0"), [], 0
+    now, decided, level = units.select("h", "source", "size", "n", "pi").where("pi > 0"), [], 0
     n = targets.agg(F.max("n")).first()[0] or 0
     while True:
         last = n <= BLOCK
         now = written(_fly(now, seed, level, last), f"flight{level}")
-        decided.append(now.where("pi = 1").select("row"))
+        decided.append(now.where("pi = 1").select(F.col("h").alias("eh"), F.col("source").alias("es")))
         if last:
             break
         now, n, level = now.where("pi > 0 AND pi < 1"), (2 + SPARE) * math.ceil(n / BLOCK), level + 1
     extra = decided[0]
     for d in decided[1:]:
         extra = extra.unionByName(d)
-    chosen = units.select("row", "base", "source").join(extra.withColumn("extra", F.lit(1)), "row", "left")
-    chosen = chosen.select("row", (F.col("base") + F.coalesce("extra", F.lit(0))).alias("copies"))
+    extra = extra.withColumn("extra", F.lit(1))
+    chosen = units.join(extra, (F.col("h") == F.col("eh")) & F.col("source").eqNullSafe(F.col("es")), "left").select(
+        F.col("h").alias("__ch"), F.col("source").alias("__cs"), (F.col("base") + F.coalesce("extra", F.lit(0))).alias("copies"))
     facts = maybe_broadcast(targets.select(F.col("source").alias("__s"), "source_size", "target"))
-    got = rows.join(chosen, rows["__row"] == chosen["row"]).join(facts, F.col(source).cast("string").eqNullSafe(F.col("__s")))
+    got = (rows.join(chosen, (F.col("__h") == F.col("__ch")) & src.eqNullSafe(F.col("__cs")))
+           .join(facts, src.eqNullSafe(F.col("__s"))))
     return got.select(*[rows[c] for c in docs.columns if c not in named or c in (id_col, text, source)], F.col("size"),
                       F.col("source_size").cast("long").alias("source_size"), "target", F.col("copies").cast("long").alias("copies"),
                       (F.col("size") * F.col("copies")).cast("long").alias("taken"))
