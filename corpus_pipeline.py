@@ -1,28 +1,62 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and
+read again as the next one's input.
+
+Every stage works on all rows its predecessor kept. All but the last return the
+columns of documents; the last returns one row per text of the mix, with its
+token ids. ``ORACLE_SQL`` is None: naive Bayes, the Jaccard join, the cube
+method and BPE have no SQL form; tests/llm holds each stage against a
+brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablesense.llm import bpe, cube, exactdedup, langid, setjoin
+from tablesense.llm.common import maybe_broadcast, read, written
 
-from tablesense.llm import bpe, exactdedup
-from tablesense.llm.common import read, written
+LEAST_SCORE = 0.5  # of the language
 
-DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID, learnt from all rows that have a language. Rejects texts
+    without a letter and those whose language is less likely than
+    ``LEAST_SCORE``; a missing language is filled in."""
+    docs = docs.drop("lang_pred", "score")  # would clash with the operator's results
+    out = langid.identify(docs, langid.train(docs))
+    kept = out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of identical texts the row with the largest doc_id stays."""
     return exactdedup.exact_dedup(docs).where("kept").select(*docs.columns)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by 80 % or more of their five-word shingles the smallest
+    doc_id stays; rows without identifier link with nothing and stay."""
+    classes = setjoin.jaccard_join(docs, k=5, p=80, q=100)
+    gone = written(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
+    return docs.join(maybe_broadcast(gone), docs.doc_id == gone.gone, "left_anti").select(*docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the source mix takes it."""
+    out = cube.mix_sources(docs).where("copies > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
     path, pattern = bpe.public_vocabulary()
     return bpe.bpe(docs, path, pattern, keep_decoded=False, keep=["doc_id", "lang", "source"])
 
 
-STAGES = [("exact dedup", dedup_stage), ("byte-level BPE", encode_stage)]
-ORACLE_SQL = None  # the stages learn, sample and encode: tested against brute force
+STAGES = [("language ID", language_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage),
+          ("source mixing", mix_stage), ("byte-level BPE", encode_stage)]
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
