@@ -30,8 +30,11 @@ from tablesense.llm.common import maybe_broadcast, written
 from tablesense.session import scratch_path
 
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_PARTITIONS_CONF = "spark.sql.shuffle.partitions"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # many partitions with a small store each: take no disk before it is needed
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -50,9 +53,9 @@ def located(docs: DataFrame, id_col: str, text: str, digest) -> DataFrame:
 
 def run_state(spark: SparkSession, arrivals: str, checkpoint: str, schema) -> None:
     """Feed the arrivals not yet seen by ``checkpoint`` to its keyed state."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         state = (spark.readStream.schema(schema).parquet(arrivals)
                  .groupBy("digest").agg(F.max("at").alias("at"), F.count(F.lit(1)).alias("n")))
@@ -60,7 +63,8 @@ def run_state(spark: SparkSession, arrivals: str, checkpoint: str, schema) -> No
                  .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
