@@ -1,10 +1,7 @@
-"""Value-level predicates and casts used by the profile (JVM-side)."""
+"""Value-level predicates used by the profile (SQL text, JVM-side)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # ---------------------------------------------------------------------------
 # Patterns and tolerances that must equal the reference's.
 # ---------------------------------------------------------------------------
@@ -14,26 +11,27 @@ NUMERIC_STRING_PATTERN = "^-?[0-9]*\\.?[0-9]+$"
 FLOAT32_TOLERANCE = 5e-4
 # end of fixed values
 
-# A string may be read as a timestamp only when it starts like a date; this
-# keeps bare years ('5800') and time-only text out of Spark's lenient cast.
+# Forms in which text is read as a date or time. A column is temporal if all its
+# values have one form and parse. The prefix keeps bare years ('5800') and
+# time-only text out of Spark's lenient cast.
 DATE_PREFIX_PATTERN = "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
-
-
-def numeric_string(c: Column) -> Column:
-    return c.rlike(NUMERIC_STRING_PATTERN)
-
-
-def guarded_ts(c: Column) -> Column:
-    """Guarded string-to-TIMESTAMP_NTZ cast, NULL when not a date-time."""
-    return F.when(c.rlike(DATE_PREFIX_PATTERN), c.try_cast("timestamp_ntz"))
-
-
-def float32_error(c: Column) -> Column:
-    """How far a value moves when stored as float32."""
-    d = c.cast("double")
-    return F.abs(d.cast("float").cast("double") - d)
-
-
-def iso_text(ts: Column) -> Column:
-    """Timestamp as ISO text with microseconds, independent of the zone."""
-    return F.date_format(ts.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+DOT_PATTERN = "^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}( [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$"
+SLASH_PATTERN = "^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}( [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$"
+OFFSET_PATTERN = "[0-9](Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
+def parsed_sql(s: str) -> str:
+    """TIMESTAMP_NTZ of a text in one of the forms, else null. A time with an
+    offset is taken to UTC."""
+    utc = f"convert_timezone(current_timezone(), 'UTC', CAST(try_cast({s} AS TIMESTAMP) AS TIMESTAMP_NTZ))"
+    back = lambda to, sep: f"try_cast(regexp_replace({s}, '^([0-9]+){sep}([0-9]+){sep}([0-9]+)', '{to}') AS TIMESTAMP_NTZ)"
+    return (f"CASE WHEN {s} RLIKE '{DATE_PREFIX_PATTERN}' THEN CASE WHEN {s} RLIKE 'T|:' AND {s} RLIKE '{OFFSET_PATTERN}' THEN {utc} "
+            f"ELSE try_cast({s} AS TIMESTAMP_NTZ) END "
+            f"WHEN {s} RLIKE '{DOT_PATTERN}' THEN {back('$3-$2-$1', '[.]')} "
+            f"WHEN {s} RLIKE '{SLASH_PATTERN}' THEN {back('$1-$2-$3', '/')} END")
+
+
+def date_form_sql(s: str) -> str:
+    """Number of the form a text has; 0 for none."""
+    return (f"CASE WHEN {s} RLIKE '{DATE_PREFIX_PATTERN}' THEN 1 WHEN {s} RLIKE '{DOT_PATTERN}' THEN 2 "
+            f"WHEN {s} RLIKE '{SLASH_PATTERN}' THEN 3 ELSE 0 END")

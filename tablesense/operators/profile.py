@@ -1,10 +1,10 @@
 """Column and table profiles (A1-A16, P9-P11, P15) by distributed aggregation.
 
-``column_profile(df, table)`` builds one small aggregate branch per column
-and unions them into one plan (see its docstring for why). ``table_profile``
-then works on the tiny ``column_profile`` plus a duplicate-row job that
-shuffles 8-byte row hashes first and compares whole rows only for hashes
-seen more than once.
+``catalog_column_profile`` is one set of plain aggregates per table; distinct
+values are counted by hashes or sketches, never by shuffling values.
+``table_profile`` then works on the tiny ``column_profile`` plus a
+duplicate-row job that shuffles 8-byte row hashes first and compares whole rows
+only for hashes seen more than once.
 """
 
 from __future__ import annotations
@@ -47,8 +47,9 @@ COLUMN_PROFILE_SCHEMA = (
     "table_name string, ordinal int, column_name string, spark_type string, kind string, "
     "from_struct boolean, row_count long, null_count long, distinct_count long, min_value string, "
     "max_value string, min_num double, max_num double, byte_size long, numeric_hit boolean, "
-    "timestamp_ok boolean, ts_min timestamp_ntz, ts_max timestamp_ntz, f32_err double"
+    "nested_hit boolean, timestamp_ok boolean, ts_min timestamp_ntz, ts_max timestamp_ntz, f32_err double"
 )
+_FIELDS = [tuple(f.split()) for f in COLUMN_PROFILE_SCHEMA.split(", ")]
 
 
 def kind_of(dt: T.DataType) -> str:
@@ -65,25 +66,13 @@ def width_of(dt: T.DataType) -> int | None:
     return None
 
 
-def leaves(schema: T.StructType, prefix: str = "", parent: Column | None = None,
-           depth: int = 0):
-    """Depth-first leaves of a schema: (name, Column, DataType, from_struct).
+def leaf_paths(schema: T.StructType, prefix: str = "", parent: str | None = None,
+               depth: int = 0):
+    """Depth-first leaves of a schema: (name, SQL path, DataType, from_struct).
 
     Structs are expanded in place with '.' between names (like a JSON
     normaliser); arrays and maps stay single columns of kind 'nested'.
     """
-    for f in schema.fields:
-        col = F.col(f"`{f.name}`") if parent is None else parent.getField(f.name)
-        name = f"{prefix}{f.name}"
-        if isinstance(f.dataType, T.StructType) and len(f.dataType.fields) > 0:
-            yield from leaves(f.dataType, name + ".", col, depth + 1)
-        else:
-            yield name, col, f.dataType, depth > 0
-
-
-def leaf_paths(schema: T.StructType, prefix: str = "", parent: str | None = None,
-               depth: int = 0):
-    """Like ``leaves`` but with the SQL path text of each leaf."""
     for f in schema.fields:
         quoted = "`" + f.name.replace("`", "``") + "`"
         path = quoted if parent is None else f"{parent}.{quoted}"
@@ -94,175 +83,181 @@ def leaf_paths(schema: T.StructType, prefix: str = "", parent: str | None = None
             yield name, path, f.dataType, depth > 0
 
 
-def _groupable(dt: T.DataType) -> bool:
-    return not isinstance(dt, (T.MapType, T.VariantType))
+def _orderless(dt: T.DataType) -> bool:
+    """Holds a map or variant, whose equal values may differ in form."""
+    if isinstance(dt, T.StructType):
+        return any(_orderless(f.dataType) for f in dt.fields)
+    if isinstance(dt, T.ArrayType):
+        return _orderless(dt.elementType)
+    return isinstance(dt, (T.MapType, T.VariantType))
+
+
+def canonical(path: str, dt: T.DataType, depth: int = 0) -> str:
+    """SQL of a value that hashes, groups and compares like ``path``: map
+    entries as a sorted array of texts, variants as JSON, intervals and other
+    types without hash support as text; all else as it is."""
+    x = f"x{depth}"
+    if isinstance(dt, T.MapType):
+        k, v = (f"CAST({canonical(f'{x}.{n}', t, depth + 1)} AS STRING)" if not isinstance(t, (T.StructType, T.ArrayType, T.MapType))
+                else f"to_json({canonical(f'{x}.{n}', t, depth + 1)})" for n, t in (("key", dt.keyType), ("value", dt.valueType)))
+        return f"array_sort(transform(map_entries({path}), {x} -> named_struct('k', {k}, 'v', {v})))"
+    if isinstance(dt, T.VariantType):
+        return f"to_json({path})"
+    if isinstance(dt, T.ArrayType) and _orderless(dt):
+        return f"transform({path}, {x} -> {canonical(x, dt.elementType, depth + 1)})"
+    if isinstance(dt, T.StructType) and _orderless(dt):
+        fields = ", ".join(f"{_sql_lit(f.name)}, {canonical(f'{path}.`{f.name}`', f.dataType, depth)}" for f in dt.fields)
+        return f"CASE WHEN {path} IS NOT NULL THEN named_struct({fields}) END"
+    if kind_of(dt) == "other" and not isinstance(dt, T.BinaryType):
+        return f"CAST({path} AS STRING)"
+    return path
 
 
-# Typed value slots of the exploded (ordinal, value) rows: every column's
-# value lands in exactly one slot, chosen by its Spark type.
-_SLOTS = [("l", "long"), ("d", "double"), ("s", "string"), ("b", "boolean"),
-          ("t", "timestamp_ntz"), ("z", "timestamp"), ("dt", "date"), ("j", "string"),
-          ("asz", "long")]
+def _sql_lit(v) -> str:
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _slot_of(dt: T.DataType) -> str:
-    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return "l"
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return "d"
-    if isinstance(dt, (T.StringType, T.VarcharType, T.CharType)):
-        return "s"
-    if isinstance(dt, T.BinaryType):
-        return "s"
-    if isinstance(dt, T.BooleanType):
-        return "b"
-    if isinstance(dt, T.TimestampNTZType):
-        return "t"
-    if isinstance(dt, T.TimestampType):
-        return "z"
-    if isinstance(dt, T.DateType):
-        return "dt"
-    return "j"
+_CHUNK = 8  # columns of one aggregate: its fields stay below the code generation limit
+_NONE = {"min_value": "STRING", "max_value": "STRING", "min_num": "DOUBLE", "max_num": "DOUBLE",
+         "ts_min": "TIMESTAMP_NTZ", "ts_max": "TIMESTAMP_NTZ", "f32_err": "DOUBLE"}
+SKETCH_LG = 12  # 1.6 % relative error
 
 
-def _sql_lit(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, (int, float)):
-        return repr(v)
-    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _measures(path: str, dt: T.DataType, distinct: str) -> tuple[dict[str, str], dict[str, str]]:
+    """Aggregates over one column, and the profile fields made of them
+    (``{a}`` stands for the aggregate a)."""
+    kind, width = kind_of(dt), width_of(dt)
+    agg = {"n": f"count({path})"}
+    out = {k: f"CAST(NULL AS {t})" for k, t in _NONE.items()}
+    out |= {"numeric_hit": "false", "nested_hit": "false", "timestamp_ok": "false", "distinct_count": "CAST(NULL AS BIGINT)"}
+    if distinct == "approx":
+        agg["h"] = f"hll_sketch_agg(xxhash64({canonical(path, dt)}), {SKETCH_LG}) FILTER (WHERE {path} IS NOT NULL)"
+        out["distinct_count"] = "coalesce(hll_sketch_estimate({h}), 0)"
+    iso = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
+    if kind in ("int", "float"):
+        agg |= {"lo": f"min({path})", "hi": f"max({path})",
+                "f": f"max(abs(CAST(CAST({path} AS FLOAT) AS DOUBLE) - CAST({path} AS DOUBLE)))"}
+        out |= {"min_num": "CAST({lo} AS DOUBLE)", "max_num": "CAST({hi} AS DOUBLE)", "f32_err": "{f}"}
+        if kind == "int":
+            out |= {"min_value": "CAST({lo} AS STRING)", "max_value": "CAST({hi} AS STRING)"}
+    elif kind == "bool":
+        agg |= {"lo": f"min({path})", "hi": f"max({path})"}
+        out |= {"min_value": "CAST({lo} AS STRING)", "max_value": "CAST({hi} AS STRING)"}
+    elif kind == "timestamp":
+        agg |= {"lo": f"min({path})", "hi": f"max({path})"}
+        lo, hi = "CAST({lo} AS TIMESTAMP_NTZ)", "CAST({hi} AS TIMESTAMP_NTZ)"
+        out |= {"min_value": iso.replace("{}", lo), "max_value": iso.replace("{}", hi), "timestamp_ok": "{n} > 0", "ts_min": lo, "ts_max": hi}
+    elif kind == "string":
+        num = V.NUMERIC_STRING_PATTERN.replace("\\", "\\\\")
+        parsed, form = (f"CASE WHEN left({path}, 1) BETWEEN '0' AND '9' THEN {e} END" for e in (V.parsed_sql(path), V.date_form_sql(path)))
+        agg |= {"lo": f"min({path})", "hi": f"max({path})",  # a look at the first character spares most texts the patterns
+                "hit": f"bool_or(left({path}, 1) IN ('-', '.', '0', '1', '2', '3', '4', '5', '6', '7', '8', '9') AND {path} RLIKE '{num}')",
+                "js": f"bool_or(contains({path}, '{{') OR contains({path}, '['))",
+                "p": f"count({parsed})", "t0": f"min({parsed})", "t1": f"max({parsed})", "f0": f"min({form})", "f1": f"max({form})"}
+        out |= {"min_value": "{lo}", "max_value": "{hi}", "numeric_hit": "coalesce({hit}, false)", "nested_hit": "coalesce({js}, false)",
+                "timestamp_ok": "{n} > 0 AND {p} = {n} AND {f0} = {f1}", "ts_min": "{t0}", "ts_max": "{t1}"}
+    if width is not None:
+        out["byte_size"] = f"{{rows}} * {width}"
+    elif kind == "string" or isinstance(dt, T.BinaryType):
+        agg["b"] = f"sum(octet_length({path}))"
+        out["byte_size"] = "coalesce({b}, 0)"
+    elif isinstance(dt, T.ArrayType) and width_of(dt.elementType):
+        agg["b"] = f"sum(size({path}))"
+        out["byte_size"] = f"coalesce({{b}}, 0) * {width_of(dt.elementType)}"
+    else:
+        text = f"to_json({canonical(path, dt)})" if kind == "nested" and not isinstance(dt, T.VariantType) else f"CAST({canonical(path, dt)} AS STRING)"
+        agg["b"] = f"sum(octet_length({text}))"
+        out["byte_size"] = "coalesce({b}, 0)"
+    return agg, out
 
 
-def _slot_struct_sql(ordinal: int, path: str, dt: T.DataType) -> str:
-    """named_struct(ordinal, nn, one slot filled with the value, others NULL)."""
-    slot = _slot_of(dt)
-    v = path
-    if isinstance(dt, T.BinaryType):
-        v = f"hex({path})"
-    elif slot == "j":
-        v = f"to_json({path})"
-    parts = [f"'ordinal', {ordinal}", f"'nn', ({path}) IS NOT NULL"]
-    for name, typ in _SLOTS:
-        if name == slot:
-            parts.append(f"'{name}', CAST({v} AS {typ})")
-        elif name == "asz" and isinstance(dt, T.ArrayType):
-            parts.append(f"'{name}', CAST(size({path}) AS BIGINT)")
-        else:
-            parts.append(f"'{name}', CAST(NULL AS {typ})")
-    return "named_struct(" + ", ".join(parts) + ")"
+def _table_measures(table: str, df: DataFrame, distinct: str) -> list[DataFrame]:
+    """Profiles of a table's columns, ``_CHUNK`` of them per plain aggregate."""
+    leaves = list(enumerate(leaf_paths(df.schema), 1))
+    parts = []
+    for lo in range(0, len(leaves), _CHUNK):
+        aggs, rows = ["count(1) AS rows"], []
+        for i, (name, path, dt, from_struct) in leaves[lo:lo + _CHUNK]:
+            agg, out = _measures(path, dt, distinct)
+            aggs += [f"{e} AS {k}_{i}" for k, e in agg.items()]
+            names = {k: f"{k}_{i}" for k in agg} | {"rows": "rows"}
+            f = {"table_name": _sql_lit(table), "ordinal": str(i), "column_name": _sql_lit(name), "spark_type": _sql_lit(dt.simpleString()),
+                 "kind": _sql_lit(kind_of(dt)), "from_struct": str(from_struct).lower(), "row_count": "rows", "null_count": f"rows - n_{i}",
+                 **{k: e.format(**names) for k, e in out.items()}}
+            rows.append("named_struct(" + ", ".join(f"'{k}', CAST({f[k]} AS {t})" for k, t in _FIELDS) + ")")
+        parts.append(df.selectExpr(*aggs).selectExpr("inline(array(" + ", ".join(rows) + "))"))
+    return parts
+
+
+def exact_distinct(tables: dict[str, DataFrame], wanted: dict[str, set[int]] | None = None) -> DataFrame:
+    """(table_name, ordinal, exact): distinct non-null values of every column
+    (or of the wanted ordinals), by 128-bit hashes. Equal values of a task are
+    merged before the shuffle, which never carries a value itself; one job for
+    the whole catalog."""
+    parts = []
+    for no, (table, df) in enumerate(tables.items()):
+        cols = [f"named_struct('t', {no}, 'ordinal', {i}, 'a', CASE WHEN {path} IS NOT NULL THEN xxhash64({c}) END, 'b', xxhash64(7, {c}))"
+                for i, (_, path, dt, _) in enumerate(leaf_paths(df.schema), 1) if wanted is None or i in wanted.get(table, ())
+                for c in [canonical(path, dt)]]
+        if cols:
+            parts.append(df.selectExpr("inline(array(" + ", ".join(cols) + "))").where("a IS NOT NULL"))
+    names = list(tables)
+    if not parts:
+        return tables[names[0]].sparkSession.createDataFrame([], "table_name string, ordinal int, exact long")
+    counts = reduce(DataFrame.union, parts).groupBy("t", "ordinal", "a", "b").agg(F.lit(1)).groupBy("t", "ordinal").agg(F.count(F.lit(1)).alias("exact"))
+    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("t") + 1)
+    return counts.select(label.alias("table_name"), "ordinal", "exact")
 
 
-def _by_key(values: dict[int, object], typ: str) -> str:
-    """A per-column constant (kind, width, ...) as a literal map lookup on
-    the column key ``ck`` (table number * 100000 + ordinal)."""
-    pairs = ", ".join(f"{k}, CAST({_sql_lit(v)} AS {typ})" for k, v in values.items())
-    return f"element_at(map({pairs}), ck)"
+# Ratios of distinct values to rows at which some rule changes its answer; a
+# sketch this near (in relative terms) to one is replaced by an exact count.
+THRESHOLDS = (0.01, 0.1, 0.5, 0.9, 1.0)
+NEAR = 0.1       # six standard errors of the sketch
+SMALL_ROWS = 10_000  # tables up to this size are counted exactly
 
 
-_KEY = 100000  # column key = table number * _KEY + ordinal
+def _needs_exact(rows: int, estimate: int) -> bool:
+    return rows <= SMALL_ROWS or any(abs(estimate / rows - t) <= NEAR * t for t in THRESHOLDS)
 
 
 def catalog_column_profile(tables: dict[str, DataFrame], distinct: str = "exact") -> DataFrame:
-    """One row per (flattened) column of every table; ``COLUMN_PROFILE_SCHEMA``.
-
-    Each row of each table is exploded into one (column key, value) record
-    per column, the value held in a typed slot, and the records of all
-    tables are unioned before any shuffle. With ``distinct='exact'`` they
-    are grouped by (column key, value) with partial aggregation map-side,
-    so the shuffle carries each distinct value once per task (a value held
-    by a third of all rows costs one record per task) and every per-value
-    test (numeric pattern, timestamp parse, float32 check) runs once per
-    distinct value; a second, small aggregation by column key gives the
-    measures. The whole catalog costs two shuffles, whatever the number of
-    tables. With ``distinct='approx'`` the first grouping is skipped and
-    HyperLogLog++ (5 % relative error) counts values: one shuffle of
-    per-column aggregation buffers only.
-
-    Decimal columns are counted through their double value. Expressions are
-    SQL text, so a wide catalog costs a handful of driver calls.
+    """One row per (flattened) column of every table, empty tables too;
+    ``COLUMN_PROFILE_SCHEMA``.
+
+    All measures but distinct counts are plain aggregates, a few columns at a
+    time, each scan reading its own columns only; one small row per task is
+    shuffled. ``distinct`` says how distinct values are counted:
+
+    * ``exact``: by 128-bit hashes, one shuffle for the whole catalog;
+    * ``approx``: by HyperLogLog sketches inside the same aggregates;
+    * ``auto``: by sketches, then exactly for the columns whose ratio comes
+      near a threshold that rules and designs test. All flags, types and keys
+      are those of ``exact``; the counts of the other columns are estimates;
+    * ``none``: not at all (null).
     """
-    meta = []  # (key, table, ordinal, name, path, dt, from_struct)
-    parts = []
-    for tno, (table, df) in enumerate(tables.items()):
-        cols = [(tno * _KEY + i + 1, table, i + 1, name, path, dt, fs)
-                for i, (name, path, dt, fs) in enumerate(leaf_paths(df.schema))]
-        if not cols:
-            continue
-        meta += cols
-        parts.append(df.selectExpr("inline(array(" + ", ".join(
-            _slot_struct_sql(k, path, dt) for k, _, _, _, path, dt, _ in cols) + "))"))
+    if not tables:
+        raise ValueError("no tables")
+    spark = next(iter(tables.values())).sparkSession
+    mode = "approx" if distinct == "auto" else distinct
+    parts = [p for t, df in tables.items() for p in _table_measures(t, df, mode)]
     if not parts:
-        spark = next(iter(tables.values())).sparkSession if tables else None
         return spark.createDataFrame([], COLUMN_PROFILE_SCHEMA)
-    recs = reduce(DataFrame.union, parts).withColumnRenamed("ordinal", "ck")
-    slot_names = [n for n, _ in _SLOTS]
-    if distinct == "exact":
-        hist = recs.groupBy("ck", "nn", *slot_names).agg(F.count(F.lit(1)).alias("n"))
-        dcount = "count_if(nn)"
+    cp = reduce(DataFrame.union, parts)
+    if distinct in ("approx", "none"):
+        return cp
+    if distinct == "auto":
+        from tablesense.session import materialize
+        cp = materialize(cp)
+        wanted: dict[str, set[int]] = {}
+        for r in cp.select("table_name", "ordinal", "row_count", "distinct_count").collect():  # a row per column
+            if r.row_count and _needs_exact(r.row_count, r.distinct_count):
+                wanted.setdefault(r.table_name, set()).add(r.ordinal)
+        counts = exact_distinct(tables, wanted)
     else:
-        hist = recs.withColumn("n", F.lit(1).cast("long"))
-        dcount = f"approx_count_distinct(CASE WHEN nn THEN struct({', '.join(slot_names)}) END)"
-    parsed = f"CASE WHEN s RLIKE '{V.DATE_PREFIX_PATTERN}' THEN try_cast(s AS TIMESTAMP_NTZ) END"
-    num_re = V.NUMERIC_STRING_PATTERN.replace("\\", "\\\\")
-    f32 = ("abs(CAST(CAST(coalesce(d, CAST(l AS DOUBLE)) AS FLOAT) AS DOUBLE) "
-           "- coalesce(d, CAST(l AS DOUBLE)))")
-    aggs = {
-        "row_count": "CAST(sum(n) AS BIGINT)",
-        "null_count": "CAST(coalesce(sum(CASE WHEN NOT nn THEN n END), 0) AS BIGINT)",
-        "distinct_count": f"CAST({dcount} AS BIGINT)",
-        "_min_l": "min(l)", "_max_l": "max(l)", "_min_d": "min(d)", "_max_d": "max(d)",
-        "_min_s": "min(s)", "_max_s": "max(s)", "_min_b": "min(b)", "_max_b": "max(b)",
-        "_min_t": "coalesce(min(t), CAST(min(z) AS TIMESTAMP_NTZ), CAST(min(dt) AS TIMESTAMP_NTZ))",
-        "_max_t": "coalesce(max(t), CAST(max(z) AS TIMESTAMP_NTZ), CAST(max(dt) AS TIMESTAMP_NTZ))",
-        "_sbytes": "sum(octet_length(s) * n)",
-        "_asum": "sum(asz * n)",
-        "_jbytes": "sum(octet_length(j) * n)",
-        "_hit": f"coalesce(bool_or(s RLIKE '{num_re}'), false)",
-        "_s_cnt": "count(s)", "_p_cnt": f"count({parsed})",
-        "_ts_min_s": f"min({parsed})", "_ts_max_s": f"max({parsed})",
-        "_f32": f"max({f32})",
-    }
-    agg = hist.groupBy("ck").agg(*[F.expr(e).alias(k) for k, e in aggs.items()])
-
-    def by(fn, typ):
-        return _by_key({k: fn(t, o, nm, dt, fs) for k, t, o, nm, _, dt, fs in meta}, typ)
-
-    kind = by(lambda t, o, nm, dt, fs: kind_of(dt), "STRING")
-    width = by(lambda t, o, nm, dt, fs: width_of(dt), "BIGINT")
-    elem_w = by(lambda t, o, nm, dt, fs: width_of(dt.elementType)
-                if isinstance(dt, T.ArrayType) else None, "BIGINT")
-    binary = by(lambda t, o, nm, dt, fs: isinstance(dt, T.BinaryType), "BOOLEAN")
-    iso = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
-
-    def text(lo: str) -> str:
-        return (f"CASE WHEN k = 'string' THEN _{lo}_s WHEN k = 'int' THEN CAST(_{lo}_l AS STRING) "
-                f"WHEN k = 'bool' THEN CAST(_{lo}_b AS STRING) "
-                f"WHEN k = 'timestamp' THEN {iso.format(f'_{lo}_t')} END")
-
-    out = agg.selectExpr("*", f"{kind} AS k", f"{width} AS w", f"{elem_w} AS ew", f"{binary} AS bin")
-    return out.selectExpr(
-        by(lambda t, o, nm, dt, fs: t, "STRING") + " AS table_name",
-        "CAST(ck % 100000 AS INT) AS ordinal",
-        by(lambda t, o, nm, dt, fs: nm, "STRING") + " AS column_name",
-        by(lambda t, o, nm, dt, fs: dt.simpleString(), "STRING") + " AS spark_type",
-        "k AS kind",
-        by(lambda t, o, nm, dt, fs: fs, "BOOLEAN") + " AS from_struct",
-        "row_count", "null_count", "distinct_count",
-        text("min") + " AS min_value", text("max") + " AS max_value",
-        "CASE WHEN k = 'int' THEN CAST(_min_l AS DOUBLE) WHEN k = 'float' THEN _min_d END AS min_num",
-        "CASE WHEN k = 'int' THEN CAST(_max_l AS DOUBLE) WHEN k = 'float' THEN _max_d END AS max_num",
-        "CAST(coalesce(CASE WHEN w IS NOT NULL THEN row_count * w WHEN bin THEN _sbytes / 2 "
-        "WHEN k = 'string' THEN _sbytes WHEN ew IS NOT NULL THEN _asum * ew ELSE _jbytes END, 0) "
-        "AS BIGINT) AS byte_size",
-        "(k = 'string' AND _hit) AS numeric_hit",
-        "CASE WHEN k = 'string' THEN _s_cnt > 0 AND _p_cnt = _s_cnt "
-        "WHEN k = 'timestamp' THEN row_count > null_count ELSE false END AS timestamp_ok",
-        "CASE WHEN k = 'string' THEN _ts_min_s WHEN k = 'timestamp' THEN _min_t END AS ts_min",
-        "CASE WHEN k = 'string' THEN _ts_max_s WHEN k = 'timestamp' THEN _max_t END AS ts_max",
-        "CASE WHEN k IN ('int', 'float') THEN _f32 END AS f32_err",
-    )
+        counts = exact_distinct(tables)
+    kept = [c for c in cp.columns]
+    return (cp.join(F.broadcast(counts), ["table_name", "ordinal"], "left")  # a row per column
+              .withColumn("distinct_count", F.coalesce("exact", "distinct_count", F.lit(0).cast("long"))).select(*kept))
 
 
 def column_profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFrame:
@@ -354,51 +349,41 @@ def column_flags(cp: DataFrame, mode: str = "intended") -> DataFrame:
 # Duplicate rows
 # ---------------------------------------------------------------------------
 
-def _groupable_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-
-
-# Candidate row hashes are broadcast to the exact check only up to this
-# many (16 bytes each); beyond it the check is a shuffle join.
-BROADCAST_CANDIDATES = 2_000_000
+def _comparable(df: DataFrame) -> list[str]:
+    """SQL of every column in a form that hashes and groups (maps too)."""
+    return [canonical("`" + f.name.replace("`", "``") + "`", f.dataType) for f in df.schema.fields]
 
 
-def _row_hash(df: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in _groupable_columns(df)])
+def row_hash(df: DataFrame) -> Column:
+    return F.expr(f"xxhash64({', '.join(_comparable(df))})")
 
 
 def catalog_duplicate_rows(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows equal to an earlier row, per table: (table_name, duplicate_rows).
 
     Step 1, one shuffle for the whole catalog: an 8-byte hash per row,
-    counted map-side, keeps the hashes seen more than once. That small set
-    is written to the checkpoint folder and its size read back. Step 2 runs
-    only for tables that have such hashes: their rows are semi-joined to
-    the repeated hashes (broadcast when the count is at most
-    ``BROADCAST_CANDIDATES``, else a shuffle join) and grouped by all
-    columns to count exact duplicates (hash collisions do not count).
+    counted map-side, keeps the hashes seen more than once, written to the
+    checkpoint folder. Step 2 runs only for tables that have such hashes: their
+    rows are grouped by all columns with partial aggregation, so many copies of
+    a row are one record per task, after a semi-join to the repeated hashes
+    (Spark broadcasts them if they are small; hash collisions do not count).
     """
     from tablesense.session import materialize
     spark = next(iter(tables.values())).sparkSession
     names = list(tables)
     hashes = reduce(DataFrame.union, [
-        df.select(F.lit(i).alias("tno"), _row_hash(df).alias("__h"))
-        for i, df in enumerate(tables.values())])
+        df.select(F.lit(i).alias("tno"), row_hash(df).alias("__h"))
+        for i, df in enumerate(tables.values()) if df.columns])
     repeated = materialize(hashes.groupBy("tno", "__h").count().where(F.col("count") > 1)
                            .select("tno", "__h"))
-    per_table = {r["tno"]: r["n"] for r in
-                 repeated.groupBy("tno").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = [spark.createDataFrame([(t, 0) for i, t in enumerate(names) if i not in per_table],
+    found = {r["tno"] for r in repeated.select("tno").distinct().collect()}
+    parts = [spark.createDataFrame([(t, 0) for i, t in enumerate(names) if i not in found],
                                    "table_name string, duplicate_rows long")]
-    for i, n in per_table.items():
+    for i in sorted(found):
         df = tables[names[i]]
-        cols = [F.col(f"`{c}`") for c in _groupable_columns(df)]
-        cand = repeated.where(F.col("tno") == i).select("__h")
-        if n <= BROADCAST_CANDIDATES:
-            cand = F.broadcast(cand)
-        rows = df.select(*cols, _row_hash(df).alias("__h")).join(cand, "__h", "left_semi")
-        groups = rows.groupBy("__h", *cols).count()
+        rows = df.select(*[F.expr(e).alias(f"c{n}") for n, e in enumerate(_comparable(df))], row_hash(df).alias("__h"))
+        part = rows.join(repeated.where(F.col("tno") == i).select("__h"), "__h", "left_semi")
+        groups = part.groupBy(*rows.columns).count()
         parts.append(groups.agg(
             F.lit(names[i]).alias("table_name"),
             F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows")))

@@ -5,12 +5,14 @@ table as ``VALUES``. Query oracles build on these as CTEs."""
 from __future__ import annotations
 
 from tablesense.functions import names as N
-from tablesense.functions import values as V
 from tablesense.operators import rules as R
 from tablesense.plans.catalog import SCHEMAS, TABLES
 
-NUM_RE = V.NUMERIC_STRING_PATTERN.replace("\\\\", "\\")
-DATE_RE = V.DATE_PREFIX_PATTERN
+# Written out here, not taken from the implementation.
+NUM_RE = r"^-?[0-9]*\.?[0-9]+$"
+ISO_RE = "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+DOT_RE = "^([0-9]{1,2})[.]([0-9]{1,2})[.]([0-9]{4})( [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$"
+SLASH_RE = "^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})( [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$"
 TS_FMT = "%Y-%m-%dT%H:%M:%S.%f"
 
 
@@ -42,9 +44,14 @@ def _column_select(table: str, ordinal: int, col: str, kind: str, width: int | N
     mnn = f"CAST(min({c}) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"
     mxn = f"CAST(max({c}) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"
     if kind == "string":
-        parsed = f"CASE WHEN regexp_matches({c}, '{DATE_RE}') THEN try_cast({c} AS TIMESTAMP) END"
+        # An offset in a text is applied by DuckDB's cast, which gives UTC.
+        parsed = (f"CASE WHEN regexp_matches({c}, '{ISO_RE}') THEN try_cast({c} AS TIMESTAMP) "
+                  f"WHEN regexp_matches({c}, '{DOT_RE}') THEN try_cast(regexp_replace({c}, '{DOT_RE}', '\\3-\\2-\\1\\4') AS TIMESTAMP) "
+                  f"WHEN regexp_matches({c}, '{SLASH_RE}') THEN try_cast(regexp_replace({c}, '{SLASH_RE}', '\\1-\\2-\\3\\4') AS TIMESTAMP) END")
+        form = (f"CASE WHEN regexp_matches({c}, '{ISO_RE}') THEN 1 WHEN regexp_matches({c}, '{DOT_RE}') THEN 2 "
+                f"WHEN regexp_matches({c}, '{SLASH_RE}') THEN 3 ELSE 0 END")
         hit = f"coalesce(bool_or(regexp_matches({c}, '{NUM_RE}')), false)"
-        ts_ok = f"(count({c}) > 0 AND count({parsed}) = count({c}))"
+        ts_ok = f"(count({c}) > 0 AND count({parsed}) = count({c}) AND count(DISTINCT {form}) FILTER (WHERE {c} IS NOT NULL) = 1)"
         tmin, tmax = f"min({parsed})", f"max({parsed})"
     elif kind == "timestamp":
         hit, ts_ok = "false", f"(count({c}) > 0)"
@@ -85,7 +92,7 @@ SELECT *,
            WHEN min_num > -32768 AND max_num < 32767 THEN 'int16'
            WHEN min_num > -2147483648 AND max_num < 2147483647 THEN 'int32'
            ELSE 'int64' END
-    WHEN base_dtype = 'float64' AND f32_err <= {V.FLOAT32_TOLERANCE} THEN 'float32'
+    WHEN base_dtype = 'float64' AND f32_err <= 0.0005 THEN 'float32'
     WHEN base_dtype = 'object' AND row_count > 0
          AND (distinct_count + CASE WHEN null_count > 0 THEN 1 ELSE 0 END) / row_count < 0.5 THEN 'category'
     ELSE base_dtype END AS narrowed
