@@ -18,8 +18,11 @@ against that of checking unrelated candidates, from counts of all sets.
 
 Candidates. Index keys held by one set only are dropped by a count with partial
 aggregation. In each other bucket all sets are compared with one pivot; after
-that only pairs of different components are left to compare. So a large group
-of near copies costs one check per member and bucket, not one per pair.
+that only members of different components are left to compare. They meet in
+blocks of bounded size, where sketches of the sets (a byte per segment of a finer
+partition, which never rejects a similar pair) are compared in numpy; pairs that
+pass become rows. So a large group of near copies costs checks in proportion to
+its members, not its pairs.
 
 Checks compare whole sets of shingles. No cap on partners or candidates.
 
@@ -47,6 +50,7 @@ from tablesense.llm.components import connected_components
 GROWTH = 1.5        # of band limits; at least q / p
 CHECK_COST = 60.0   # checking a candidate, in index rows
 SHARED = 0.02       # share of shingles that unrelated texts are taken to have in common
+BLOCK = 256         # members of a bucket that meet in one task at once, twice
 DELETED, VISITOR = 1, 2  # bits of an index row's role
 
 U = np.uint64
@@ -267,11 +271,112 @@ def check(pairs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def sketch(s: np.ndarray, width: int) -> np.ndarray:
+    """One byte per segment of a finer partition. Sets that differ in d
+    shingles differ in at most d bytes."""
+    seg = ((s >> U(32)) * U(width)) >> U(32)
+    start = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+    out = np.zeros(width, dtype=np.uint8)
+    out[seg[start].astype(np.int64)] = (mix(np.add.reduceat(mix(s ^ U(0xA24BAED4963EE407)), start)) >> U(56)).astype(np.uint8)
+    return out
+
+
+def fetch(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, text, want): the texts of nodes, one document each."""
+    wanted = written(nodes.distinct().join(reps, "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("want")), "wanted")
+    return docs.join(maybe_broadcast(wanted), "doc_id").select("doc_id", "text", "want")
+
+
+def sketch_table(found: DataFrame, k: int, plan: Plan) -> DataFrame:
+    """(node, guest, n, sketch) of fetched texts, for each band of a set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(k)
+        for batch in batches:
+            rows = []
+            for text, want in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                s = shingles(text)
+                if digest(s, 1) == want:  # an identifier may repeat with another text
+                    rows += [(want, role, len(s), sketch(s, plan.bands[b].lo + 8).tobytes()) for b, role in plan.of(len(s))]
+            cols = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int8(), pa.int64(), pa.binary()), strict=True)],
+                                             names=["node", "guest", "n", "sketch"])
+    return found.mapInArrow(run, "node long, guest tinyint, n long, sketch binary").dropDuplicates(["node", "guest"])
+
+
+def blocks(member: DataFrame) -> DataFrame:
+    """Deal the members (key, node, role, g) of buckets with several components
+    to pairs of blocks of about ``BLOCK`` members, so that any two members of
+    different components meet in one: adds label and side. A component of more
+    than ``BLOCK`` members has blocks of its own, which do not meet each other:
+    a large component costs rows in proportion to the members outside it."""
+    per = member.groupBy("key", "g").agg(F.count(F.lit(1)).alias("c"))
+    parts = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = written(per.groupBy("key").agg(
+        F.collect_list(F.when(F.col("c") > BLOCK, F.struct("g", parts.alias("k")))).alias("own"),
+        F.ceil(F.coalesce(F.sum(F.when(F.col("c") <= BLOCK, F.col("c"))), F.lit(0)) / BLOCK).cast("int").alias("k"),
+        F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key", "own", "k"), "mixed")
+    rows = member.join(own, "key").withColumn("mine", F.get(F.filter("own", lambda x: x["g"] == F.col("g")), F.lit(0)))
+    at = F.pmod(F.xxhash64("node"), F.coalesce(F.col("mine.k"), F.col("k"))).cast("int")
+    name = lambda g, h: F.concat_ws(":", F.coalesce(g.cast("string"), F.lit("")), F.lpad(h.cast("string"), 10, "0"))
+    every = lambda g, k: F.transform(F.sequence(F.lit(0), k - 1), lambda h: name(g, h))
+    others = F.flatten(F.transform(F.filter("own", lambda x: F.col("mine").isNull() | (x["g"] != F.col("g"))), lambda x: every(x["g"], x["k"])))
+    pool = F.when(F.col("k") > 0, every(F.lit(None), F.col("k"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("block", name(F.when(F.col("mine").isNotNull(), F.col("g")), at)).withColumn("other", F.explode(F.concat(others, pool)))
+    return rows.select("key", "node", "role", "g", F.concat_ws("|", F.col("key").cast("string"), F.least("block", "other"), F.greatest("block", "other")).alias("label"),
+                       F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
+
+
+def near_by_sketch(rows: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) of members that meet in a label, belong to different
+    components and whose sketches allow the similarity. Rows (label, side, node,
+    role, g, n, sketch) of a label are held together; their pairs are compared in
+    numpy and only the near ones become rows."""
+    def compare(cols: list) -> list[tuple[int, int]]:
+        side, node, role, g, n = (np.array(c) for c in cols[:5])
+        x = np.frombuffer(b"".join(cols[5]), dtype=np.uint8).reshape(len(node), -1)
+        out = []
+        for i in np.flatnonzero(side < 2):
+            other = (g != g[i]) & ((role & role[i]) == 0) & (node != node[i])
+            other &= (side == 2) if side[i] == 1 else (np.arange(len(node)) > i)
+            at = np.flatnonzero(other)
+            if len(at):
+                at = at[(x[at] != x[i]).sum(axis=1) <= (q - p) * (n[at] + n[i]) // (q + p)]
+                out += [(min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for j in at]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, held = None, [[] for _ in range(6)]  # the rows of one label
+        for batch in batches:
+            out: set[tuple[int, int]] = set()
+            labels = batch.column(0).to_pylist()
+            cols = [c.to_pylist() for c in batch.columns[1:]]
+            lo = 0
+            for at in [i for i in range(len(labels)) if i and labels[i] != labels[i - 1]] + [len(labels)]:
+                if at == lo:
+                    continue
+                if labels[lo] != label:
+                    if label is not None:
+                        out.update(compare(held))
+                    label, held = labels[lo], [[] for _ in range(6)]
+                for h, c in zip(held, cols, strict=True):
+                    h += c[lo:at]
+                lo = at
+            yield result(out)
+        if label is not None:
+            yield result(set(compare(held)))
+
+    def result(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    together = rows.select("label", "side", "node", "role", "g", "n", "sketch").repartition("label").sortWithinPartitions("label")
+    return together.mapInArrow(run, "a long, b long").distinct()
+
+
 def links_of(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """Written links among candidate pairs (a, b) of nodes."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(nodes.join(reps, "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("want")), "wanted")
-    found = docs.join(maybe_broadcast(wanted), "doc_id").select("doc_id", "text", "want")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    found = fetch(docs, reps, nodes)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(k)  # an identifier may repeat with another text
@@ -279,8 +384,7 @@ def links_of(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, p: int,
             want = batch.column(2).to_pylist()
             keep = [digest(shingles(t), 1) == w for t, w in zip(batch.column(1).to_pylist(), want, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1)], names=["node", "text"]).filter(pa.array(keep, pa.bool_()))
-    texts = written(found.mapInArrow(own, "node long, text string"), "texts")
-    one = texts.groupBy("node").agg(F.first("text").alias("text")) if texts.count() > wanted.count() else texts
+    one = written(found.mapInArrow(own, "node long, text string").dropDuplicates(["node"]), "texts")
     both = (pairs.join(one.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
             .join(one.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
     return written(check(both, k, p, q), "links")
@@ -309,25 +413,23 @@ def jaccard_join(docs: DataFrame, k: int, p: int, q: int, id_col: str = "doc_id"
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
         F.when(same, 0).otherwise(F.raise_error(F.lit("two sets share a 64-bit digest")).cast("int")).alias("sound")), "nodes")
     often = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "often")
-    held = written(index.join(maybe_broadcast(often, limit=200_000), "key"), "held")
+    held = written(index.join(maybe_broadcast(often, limit=200_000), "key").distinct(), "held")
     pivot = F.min(F.when(F.col("role") == 0, F.col("node")))
-    pivots = written(held.groupBy("key").agg(pivot.alias("pivot"), F.min("node").alias("x"), F.max("node").alias("y"))
-                     .where("pivot IS NOT NULL AND x < y").select("key", "pivot"), "pivots")
-    stars = written(held.join(pivots, "key").where("node <> pivot").select(
+    pivots = written(held.groupBy("key").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1"), "pivots")
+    stars = written(held.join(pivots.where("pivot IS NOT NULL").select("key", "pivot"), "key").where("node <> pivot").select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "stars")
     links = links_of(stars, docs, reps, k, p, q)
 
     group = written(connected_components(links), "groups")
-    member = held.join(group, held.node == group.id, "left").select(
+    # The pivot has met all others: two sets are done with, three may not be.
+    more = held.join(pivots.where("c > 2 OR pivot IS NULL").select("key"), "key")
+    member = more.join(group, more.node == group.id, "left").select(
         "key", "node", "role", F.coalesce("component", "node").alias("g"))
     member = written(member, "members")
-    mixed = written(member.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("key"), "mixed")
-    rest = written(member.join(mixed, "key"), "rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    pairs = (a.join(b, F.col("a.key") == F.col("b.key"))
-             .where("a.node < b.node AND a.g <> b.g AND (a.role & b.role) = 0")
-             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
-    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    rest = written(blocks(member), "rest")
+    sketches = written(sketch_table(fetch(docs, reps, rest.select("node")), k, plan), "sketches")
+    rest = rest.join(sketches.withColumnRenamed("node", "sn"), (F.col("node") == F.col("sn")) & (F.col("role").bitwiseAND(F.lit(VISITOR)) == F.col("guest")))
+    pairs = written(near_by_sketch(rest, p, q).join(stars, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(links_of(pairs, docs, reps, k, p, q))
 
     name = reps.select(F.col("node").alias("id"), "rep")
