@@ -23,7 +23,6 @@ NUMERIC_ROLE_WORDS = ["id", "price", "amount", "count", "number", "quantity"]
 TEXT_ROLE_WORDS = ["name", "description", "title", "status", "type"]
 XML_SPATIAL_WORDS = ["coord", "lat", "lon", "x", "y", "geometry"]
 CADASTRAL_NAME_WORDS = ["cad", "кадастр"]
-NESTED_TYPE_WORDS = ["json", "dict", "list", "array", "nested"]
 # end of fixed values
 
 # Whole-token spatial words for the intended mode (plural forms allowed).
@@ -47,6 +46,11 @@ def tokens(name: Column) -> Column:
     return F.lower(F.regexp_replace(split_camel, "[ .\\-]+", "_"))
 
 
+def has_token(name: Column, words: list[str]) -> Column:
+    """Whether a whole token of the name is one of ``words``."""
+    return tokens(name).rlike(f"(^|_){any_word(words)}(_|$)")
+
+
 def is_temporal_name(name: Column) -> Column:
     return contains_any(name, TEMPORAL_NAME_WORDS)
 

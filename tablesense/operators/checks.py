@@ -1,10 +1,8 @@
 """Data-quality checks (V1-V5) and the nested-JSON string probe.
 
-Output shape: one row per (table_name, severity, check, detail). Table
-checks run on the tiny ``table_profile``; format checks on the
-``column_profile``; the probe reads the first ten non-null values of each
-string column by key, which Spark plans as a per-task top-10
-(TakeOrderedAndProject), so a column costs one columnar scan.
+Output shape: one row per (table_name, severity, check, detail). All checks
+work on the tiny ``table_profile`` and ``column_profile``; the probe for nested
+JSON is a flag of the profile pass, over all values.
 """
 
 from __future__ import annotations
@@ -13,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablesense.functions import names as N
 from tablesense.operators import design as D
@@ -24,7 +21,6 @@ from tablesense.operators import design as D
 NULL_PERCENT_LIMIT = 80
 DUPLICATE_SHARE_LIMIT = 0.5
 MAX_COLUMNS, MIN_COLUMNS = 100, 2
-PROBE_VALUES = 10
 MSG_EMPTY = "DataFrame is empty"
 MSG_NULLS = "High percentage of null values: %.1f%%"
 MSG_DUPS = "High number of duplicate rows: %d"
@@ -66,73 +62,43 @@ def quality_checks(tp: DataFrame) -> DataFrame:
               .select("table_name", "c.severity", "c.check", "c.detail"))
 
 
-def nested_string_probe(tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = None
-                        ) -> DataFrame:
-    """For every string column, whether any of its first ten non-null
-    values (ordered by the table key, then value) holds '{' or '['.
-
-    ``keys`` maps a table to its key columns; default: its first column.
-    """
-    parts = []
-    for t, df in tables.items():
-        key = (keys or {}).get(t) or [df.columns[0]]
-        for i, f in enumerate(df.schema.fields):
-            if not isinstance(f.dataType, T.StringType):
-                continue
-            c = F.col(f"`{f.name}`")
-            top = (df.select(*[F.col(f"`{k}`") for k in key], c.alias("v"))
-                     .where(F.col("v").isNotNull())
-                     .orderBy(*[F.col(f"`{k}`") for k in key], "v").limit(PROBE_VALUES))
-            parts.append(top.agg(
-                F.lit(t).alias("table_name"), F.lit(i + 1).alias("ordinal"),
-                F.lit(f.name).alias("column_name"),
-                F.coalesce(F.bool_or(F.col("v").contains("{") | F.col("v").contains("[")),
-                           F.lit(False)).alias("nested_json")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def format_checks(cp: DataFrame, probe: DataFrame | None = None,
-                  formats: dict[str, str] | None = None) -> DataFrame:
-    """V5: per-format warnings. CSV: numeric columns of low cardinality;
-    JSON: strings that look like nested JSON (from ``probe``); XML: spatial
-    and cadastral names (substring match, as the reference does).
-
-    ``formats`` maps table -> 'csv' | 'json' | 'xml'; a table without an
-    entry gets all three branches (a catalog of Parquet tables)."""
-    fmt = F.lit("all")
-    if formats:
-        fmt = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in formats.items()
-                                                     for x in kv]), F.col("table_name")),
-                         F.lit("all"))
-    cpf = cp.withColumn("_fmt", fmt)
-    is_fmt = lambda f: F.col("_fmt").isin(f, "all")
+def nested_string_probe(cp: DataFrame) -> DataFrame:
+    """For every string column, whether any value holds '{' or '['. The
+    profile pass has looked at all values."""
+    return cp.where(F.col("kind") == "string").select(
+        "table_name", "ordinal", "column_name", F.col("nested_hit").alias("nested_json"))
+
+
+def format_checks(cp: DataFrame, formats: dict[str, str], mode: str = "intended") -> DataFrame:
+    """V5: the warnings of a table's source format. CSV: numeric columns of low
+    cardinality; JSON: strings that look like nested JSON; XML: spatial and
+    cadastral names, by whole words of the name (observed mode: by substrings,
+    as the reference does, Q14).
+
+    ``formats`` maps table -> 'csv' | 'json' | 'xml'; other tables get none."""
+    if not formats:
+        return cp.select("table_name", "ordinal").where("false").select(
+            "*", *[F.lit(None).cast("string").alias(c) for c in ("severity", "check", "detail")])
+    fmt = F.element_at(F.create_map(*[F.lit(x) for kv in formats.items() for x in kv]), F.col("table_name"))
     name = F.col("column_name")
-    out = []
-    low = D.numeric_low_card(cpf.where(is_fmt("csv")))
-    out.append(low.select("table_name", "ordinal", F.lit("warning").alias("severity"),
-                          F.lit("numeric_low_cardinality").alias("check"),
-                          F.format_string(MSG_NUMERIC_LOW_CARD, name).alias("detail")))
-    if probe is not None:
-        j = probe.join(cpf.select("table_name", "ordinal", "_fmt"), ["table_name", "ordinal"])
-        out.append(j.where(is_fmt("json") & F.col("nested_json")).select(
-            "table_name", "ordinal", F.lit("warning").alias("severity"),
-            F.lit("nested_json").alias("check"),
-            F.format_string(MSG_NESTED, name).alias("detail")))
-    xml = cpf.where(is_fmt("xml"))
-    out.append(xml.where(N.contains_any(name, N.XML_SPATIAL_WORDS)).select(
-        "table_name", "ordinal", F.lit("warning").alias("severity"),
-        F.lit("spatial_name").alias("check"), F.format_string(MSG_SPATIAL, name).alias("detail")))
-    out.append(xml.where(N.contains_any(name, N.CADASTRAL_NAME_WORDS)).select(
-        "table_name", "ordinal", F.lit("warning").alias("severity"),
-        F.lit("cadastral_name").alias("check"),
-        F.format_string(MSG_CADASTRAL, name).alias("detail")))
-    return reduce(DataFrame.unionByName, out)
-
-
-def all_checks(tp: DataFrame, cp: DataFrame, probe: DataFrame | None = None,
-               formats: dict[str, str] | None = None) -> DataFrame:
+
+    def warn(rows: DataFrame, check: str, message: str) -> DataFrame:
+        return rows.select("table_name", "ordinal", F.lit("warning").alias("severity"),
+                           F.lit(check).alias("check"), F.format_string(message, name).alias("detail"))
+
+    if mode == "observed":
+        spatial, cadastral = (N.contains_any(name, w) for w in (N.XML_SPATIAL_WORDS, N.CADASTRAL_NAME_WORDS))
+    else:
+        spatial, cadastral = (N.has_token(name, w) for w in (N.XML_SPATIAL_WORDS, N.CADASTRAL_NAME_WORDS))
+    xml = cp.where(fmt == "xml")
+    return reduce(DataFrame.unionByName, [
+        warn(D.numeric_low_card(cp.where(fmt == "csv")), "numeric_low_cardinality", MSG_NUMERIC_LOW_CARD),
+        warn(cp.where((fmt == "json") & F.col("nested_hit")), "nested_json", MSG_NESTED),
+        warn(xml.where(spatial), "spatial_name", MSG_SPATIAL),
+        warn(xml.where(cadastral), "cadastral_name", MSG_CADASTRAL)])
+
+
+def all_checks(tp: DataFrame, cp: DataFrame, formats: dict[str, str], mode: str = "intended") -> DataFrame:
     """V1-V5 together (the intended mode keeps both generic and format
     warnings; the reference lets the format ones replace the others, Q8)."""
-    fc = format_checks(cp, probe, formats).drop("ordinal")
-    return quality_checks(tp).unionByName(fc)
-
+    return quality_checks(tp).unionByName(format_checks(cp, formats, mode).drop("ordinal"))

@@ -130,9 +130,10 @@ def _measures(path: str, dt: T.DataType, distinct: str) -> tuple[dict[str, str],
     agg = {"n": f"count({path})"}
     out = {k: f"CAST(NULL AS {t})" for k, t in _NONE.items()}
     out |= {"numeric_hit": "false", "nested_hit": "false", "timestamp_ok": "false", "distinct_count": "CAST(NULL AS BIGINT)"}
-    if distinct == "approx":
+    if distinct in ("approx", "sketch"):
         agg["h"] = f"hll_sketch_agg(xxhash64({canonical(path, dt)}), {SKETCH_LG}) FILTER (WHERE {path} IS NOT NULL)"
         out["distinct_count"] = "coalesce(hll_sketch_estimate({h}), 0)"
+        out["sketch"] = "{h}"
     iso = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
     if kind in ("int", "float"):
         agg |= {"lo": f"min({path})", "hi": f"max({path})",
@@ -184,7 +185,8 @@ def _table_measures(table: str, df: DataFrame, distinct: str) -> list[DataFrame]
             f = {"table_name": _sql_lit(table), "ordinal": str(i), "column_name": _sql_lit(name), "spark_type": _sql_lit(dt.simpleString()),
                  "kind": _sql_lit(kind_of(dt)), "from_struct": str(from_struct).lower(), "row_count": "rows", "null_count": f"rows - n_{i}",
                  **{k: e.format(**names) for k, e in out.items()}}
-            rows.append("named_struct(" + ", ".join(f"'{k}', CAST({f[k]} AS {t})" for k, t in _FIELDS) + ")")
+            fields = [*_FIELDS, ("sketch", "binary")] if distinct == "sketch" else _FIELDS
+            rows.append("named_struct(" + ", ".join(f"'{k}', CAST({f[k]} AS {t})" for k, t in fields) + ")")
         parts.append(df.selectExpr(*aggs).selectExpr("inline(array(" + ", ".join(rows) + "))"))
     return parts
 
@@ -233,6 +235,8 @@ def catalog_column_profile(tables: dict[str, DataFrame], distinct: str = "exact"
     * ``auto``: by sketches, then exactly for the columns whose ratio comes
       near a threshold that rules and designs test. All flags, types and keys
       are those of ``exact``; the counts of the other columns are estimates;
+    * ``sketch``: like ``approx``, with the sketch itself as a last column, for
+      merging profiles of parts;
     * ``none``: not at all (null).
     """
     if not tables:
@@ -243,7 +247,7 @@ def catalog_column_profile(tables: dict[str, DataFrame], distinct: str = "exact"
     if not parts:
         return spark.createDataFrame([], COLUMN_PROFILE_SCHEMA)
     cp = reduce(DataFrame.union, parts)
-    if distinct in ("approx", "none"):
+    if distinct in ("approx", "sketch", "none"):
         return cp
     if distinct == "auto":
         from tablesense.session import materialize
@@ -260,6 +264,13 @@ def catalog_column_profile(tables: dict[str, DataFrame], distinct: str = "exact"
               .withColumn("distinct_count", F.coalesce("exact", "distinct_count", F.lit(0).cast("long"))).select(*kept))
 
 
+def column_names(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, ordinal, column_name) from the schemas alone."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(t, i, name) for t, df in tables.items() for i, (name, _, _, _) in enumerate(leaf_paths(df.schema), 1)]
+    return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string")
+
+
 def column_profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFrame:
     """The column profile of one table (see ``catalog_column_profile``)."""
     return catalog_column_profile({table: df}, distinct)

@@ -2,10 +2,10 @@
 
 A log is any DataFrame with a time column, a success flag, a response time
 (seconds) and an error message. Every summary is a grouped aggregation with
-partial aggregation map-side; percentiles use Spark's exact ``percentile``
-(a value -> count map per group, merged across tasks: its size is the
-number of distinct response times, not the number of requests) or, with
-``approx=True``, ``percentile_approx`` (bounded sketch).
+partial aggregation map-side. Exact percentiles bracket the wanted ranks by
+``percentile_approx`` (a bounded sketch), count what lies below the bracket, and
+rank only the distinct values inside it. A request whose flag is null counts as
+a failure.
 """
 
 from __future__ import annotations
@@ -34,49 +34,78 @@ def _span_seconds(ts: Column) -> Column:
 def latency_summary(log: DataFrame, group: list[str], ts: str, ok: Column, rt: str) -> DataFrame:
     """A22 per group: totals, success and error shares, requests per second
     over the group's time span, mean/min/max response time of successes."""
+    ok = F.coalesce(ok, F.lit(False))
     succ_rt = F.when(ok, F.col(rt))
     return log.groupBy(*group).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(ok).alias("successes"),
         (F.count_if(ok) * 100.0 / F.count(F.lit(1))).alias("success_pct"),
         (F.count_if(~ok) * 100.0 / F.count(F.lit(1))).alias("error_pct"),
-        (F.count(F.lit(1)) / _span_seconds(F.col(ts))).alias("rps"),
+        F.try_divide(F.count(F.lit(1)).cast("double"), _span_seconds(F.col(ts))).alias("rps"),  # null for one instant
         F.avg(succ_rt).alias("mean_rt"),
         F.min(succ_rt).alias("min_rt"),
         F.max(succ_rt).alias("max_rt"),
     )
 
 
-def p95_exclusive(values: DataFrame, col: str) -> DataFrame:
-    """The 95th percentile of a whole log by the 'exclusive' method (rank
-    0.95 (n + 1), linear interpolation), as the reference's
-    ``statistics.quantiles(n=20)[18]``.
-
-    Spark's exact ``percentile`` interpolates at rank p (n - 1) instead. So
-    a first aggregation counts n (one number), then one ``percentile`` call
-    with two fractions returns the two order statistics around the
-    exclusive rank, which are interpolated like the reference does
-    (including its clamp and extrapolation for tiny n).
-    """
-    n = values.agg(F.count(F.col(col)).alias("n")).first()["n"]
-    if n < 2:
-        return values.agg(F.max(F.col(col)).cast("double").alias("p95"))
-    m = n + 1
-    j = min(max((19 * m) // 20, 1), n - 1)
-    delta = 19 * m - j * 20
-    q = values.agg(F.percentile(F.col(col), [(j - 1) / (n - 1), j / (n - 1)]).alias("q"))
-    return q.select(((F.col("q")[0] * (20 - delta) + F.col("q")[1] * delta) / 20).alias("p95"))
+ACCURACY = 10000  # percentile_approx is off by at most 1 / ACCURACY of the rows
+
+
+def order_statistics(values: DataFrame, col: str, group: list[str], rank) -> DataFrame:
+    """Per group: n, lo and hi, the values at ranks floor(r) and floor(r) + 1
+    (from 1, within 1..n), where r = rank(n) is an expression of the count."""
+    if not group:
+        return order_statistics(values.withColumn("_all", F.lit(1)), col, ["_all"], rank).drop("_all")
+    v = values.where(F.col(col).isNotNull()).select(*group, F.col(col).cast("double").alias("v"))
+    n = F.col("n")
+    r = F.greatest(F.least(F.floor(rank(n)).cast("long"), n), F.lit(1))
+    p = lambda k: F.least(F.greatest(r / n + F.lit(k / ACCURACY), F.lit(0.0)), F.lit(1.0))
+    counts = v.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", F.array(
+        *[F.lit(i / 1000) for i in range(1001)]), ACCURACY).alias("q"))
+    # the thousandth below and above the wanted share, two more for the sketch's error
+    edge = lambda k, d: F.get("q", F.greatest(F.least((F.floor(p(k) * 1000) + d).cast("int"), F.lit(1000)), F.lit(0)))
+    box = counts.select(*group, "n", r.alias("r"), F.when(F.floor(p(-2) * 1000) < 1, F.lit(float("-inf"))).otherwise(edge(-2, -1)).alias("a"),
+                        F.when(F.floor(p(2) * 1000) + 2 > 999, F.lit(float("inf"))).otherwise(edge(2, 2)).alias("b"))
+    keys = [F.col(f"x.{g}").eqNullSafe(F.col(f"y.{g}")) for g in group]
+    both = v.alias("x").join(box.alias("y"), keys)
+    inside = (both.groupBy(*[F.col(f"x.{g}").alias(g) for g in group], "n", "r",
+                           F.when(F.col("v") < F.col("a"), F.col("a")).otherwise(F.least("v", "b")).alias("v"))
+              .agg(F.count_if(F.col("x.v") < F.col("y.a")).alias("under"), F.count_if((F.col("x.v") >= F.col("y.a"))).alias("c")))
+    w = Window.partitionBy(*group).orderBy("v")
+    total = F.sum(F.col("under") + F.col("c")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.withColumn("upto", total)
+    up = F.least(F.col("r") + 1, n)
+    return ranked.groupBy(*group).agg(
+        F.first("n").alias("n"), F.min(F.when(F.col("upto") >= F.col("r"), F.col("v"))).alias("lo"),
+        F.min(F.when(F.col("upto") >= up, F.col("v"))).alias("hi"))
+
+
+def p95_exclusive(values: DataFrame, col: str, group: list[str] | None = None) -> DataFrame:
+    """The 95th percentile by the 'exclusive' method (rank 0.95 (n + 1), linear
+    interpolation), as the reference's ``statistics.quantiles(n=20)[18]``,
+    including its clamp and extrapolation for tiny n; one value is its own."""
+    group = group or []
+    rank = lambda n: F.greatest(F.least(F.floor(19 * (n + 1) / 20), n - 1), F.lit(1))
+    s = order_statistics(values, col, group, rank)
+    n = F.col("n")
+    delta = 19 * (n + 1) - rank(n) * 20
+    p = F.when(n < 2, F.col("lo")).otherwise((F.col("lo") * (20 - delta) + F.col("hi") * delta) / 20)
+    return s.select(*group, p.alias("p95"))
 
 
 def p95_inclusive(log: DataFrame, col: str, group: list[str], approx: bool = False) -> DataFrame:
-    """Spark's own percentile (inclusive method), exact or approximate."""
-    p = F.percentile_approx(col, P95, 10000) if approx else F.percentile(F.col(col), P95)
-    return log.groupBy(*group).agg(p.alias("p95"))
+    """The inclusive method (rank 0.95 (n - 1) + 1), exact or approximate."""
+    if approx:
+        return log.groupBy(*group).agg(F.percentile_approx(col, P95, ACCURACY).alias("p95"))
+    at = lambda n: (n - 1) * P95 + 1
+    s = order_statistics(log, col, group, at)
+    part = at(F.col("n")) - F.floor(at(F.col("n")))
+    return s.select(*group, (F.col("lo") + (F.col("hi") - F.col("lo")) * part).alias("p95"))
 
 
 def error_histogram(log: DataFrame, ok: Column, msg: str) -> DataFrame:
     """Failures counted by their message cut to 100 characters."""
-    return (log.where(~ok).groupBy(F.substring(F.col(msg), 1, ERROR_TEXT_CHARS).alias("error"))
+    return (log.where(~F.coalesce(ok, F.lit(False))).groupBy(F.substring(F.col(msg), 1, ERROR_TEXT_CHARS).alias("error"))
                .agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -101,6 +130,7 @@ def latency_bands(log: DataFrame, rt_ms: Column) -> DataFrame:
 
 
 def target_shares(rec: DataFrame) -> DataFrame:
-    """Recommendations per target with share and mean confidence."""
-    g = rec.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean"))
+    """Recommendations per target with share and mean confidence (one row
+    per target; the window sees those few rows)."""
+    g = rec.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"))
     return g.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))

@@ -14,16 +14,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablesense.operators import profile as P
+
 # ---------------------------------------------------------------------------
 # Time-to-live defaults of the reference's result cache.
 # ---------------------------------------------------------------------------
 DEFAULT_TTL_SEC = 3600
-SERVICE_TTL_SEC = 7200
 # end of fixed values
 
 STORE_SCHEMA = ("table_name string, mode string, content_hash string, analysis_type string, "
                 "written_at long, payload string")
-KEY = ["table_name", "mode", "analysis_type"]
+KEY = ["table_name", "mode", "content_hash", "analysis_type"]
 
 
 def fingerprints(tables: dict[str, DataFrame], mode: str = "intended") -> DataFrame:
@@ -32,7 +33,7 @@ def fingerprints(tables: dict[str, DataFrame], mode: str = "intended") -> DataFr
     aggregation per table with partial sums, unioned into one plan."""
     parts = []
     for t, df in tables.items():
-        h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+        h = P.row_hash(df).cast("decimal(38,0)")
         parts.append(df.agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("_n"),
                             F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).alias("_s")))
     u = reduce(DataFrame.unionByName, parts)
@@ -56,9 +57,10 @@ def write(store_rows: DataFrame, path: str) -> None:
 
 
 def read_latest(spark, path: str) -> DataFrame:
-    """The latest row per (table, mode, analysis type)."""
+    """The latest row per (table, mode, content, analysis type): content that
+    returns within its time to live is found again."""
     s = spark.read.parquet(path)
-    w = Window.partitionBy(*KEY).orderBy(F.col("written_at").desc(), F.col("content_hash"))
+    w = Window.partitionBy(*KEY).orderBy(F.col("written_at").desc(), F.col("payload"))
     return s.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -96,21 +98,19 @@ def stats(store: DataFrame, now: int, ttl: int = DEFAULT_TTL_SEC) -> DataFrame:
                      .alias("payload_mb"))
 
 
-def parse_facts(tables: dict[str, DataFrame], cp: DataFrame, cap: int = 50000) -> DataFrame:
-    """Per table the stored size in MB (sum of its files' sizes from
-    the file metadata column), the parse strategy the reference would use
-    ('chunked' when rows reach the cap) and the XML structure ('cadastral'
-    when a cad_number column exists)."""
-    parts = []
-    for t, df in tables.items():
-        files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-        parts.append(files.agg(F.lit(t).alias("table_name"),
-                               (F.sum("file_size") / 1048576.0).alias("file_mb")))
-    sizes = reduce(DataFrame.unionByName, parts)
+def parse_facts(spark, paths: dict[str, str], cp: DataFrame, cap: int = 50000,
+                streamed: frozenset[str] = frozenset()) -> DataFrame:
+    """Per table the stored size in MB (sizes from the file listing, no
+    content is read), the parse strategy the reference would use ('streaming'
+    for the tables in ``streamed``, 'chunked' when rows reach the cap) and the
+    XML structure ('cadastral' when a cad_number column exists)."""
+    sizes = reduce(DataFrame.unionByName, [
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(p).select("length")
+        .agg(F.lit(t).alias("table_name"), (F.sum("length") / 1048576.0).alias("file_mb")) for t, p in paths.items()])
     facts = cp.groupBy("table_name").agg(
         F.max("row_count").alias("record_count"),
         F.bool_or(F.col("column_name").endswith("cad_number")).alias("_cad"))
     return sizes.join(facts, "table_name").select(
         "table_name", "file_mb",
-        F.when(F.col("record_count") >= cap, "chunked").otherwise("full").alias("strategy"),
+        F.when(F.col("table_name").isin(*streamed), "streaming").when(F.col("record_count") >= cap, "chunked").otherwise("full").alias("strategy"),
         F.when(F.col("_cad"), "cadastral").otherwise("generic").alias("xml_structure"))

@@ -18,7 +18,7 @@ from tablesense.session import materialize
 
 
 def _cp_tp(spark, sf_dir):
-    cp = materialize(P.catalog_column_profile(load_all(spark, sf_dir)))
+    cp = materialize(P.catalog_column_profile(load_all(spark, sf_dir), "auto"))
     return cp, materialize(P.table_profile(cp, None))
 
 
@@ -149,7 +149,7 @@ def q_sort_key(spark, sf_dir):
 @query("clean_names", sql=BASE + f"""
 SELECT table_name, ordinal, column_name, {CLEAN('column_name')} AS clean_name FROM cp""")
 def q_clean_names(spark, sf_dir):
-    cp = P.catalog_column_profile(load_all(spark, sf_dir), distinct="approx")
+    cp = P.column_names(load_all(spark, sf_dir))
     return cp.select("table_name", "ordinal", "column_name",
                      N.clean_name(F.col("column_name")).alias("clean_name"))
 
@@ -159,11 +159,9 @@ SELECT table_name, ordinal, column_name,
   CASE WHEN {rx('column_name', N.TEMPORAL_NAME_WORDS)} THEN 'temporal'
        WHEN {rx('column_name', N.NUMERIC_ROLE_WORDS)} THEN 'numeric'
        WHEN {rx('column_name', N.TEXT_ROLE_WORDS)} THEN 'text' ELSE 'other' END AS role
-FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY ordinal) AS rn FROM cp) x
-WHERE rn <= {D.ROLE_COLUMNS}""")
+FROM cp""")
 def q_column_roles(spark, sf_dir):
-    cp = P.catalog_column_profile(load_all(spark, sf_dir), distinct="approx")
-    return D.column_roles(cp)
+    return D.column_roles(P.column_names(load_all(spark, sf_dir)))
 
 
 LAYOUT_FACTORS = [1, 100000]
@@ -260,10 +258,10 @@ ROLLUP_TABLES = ["events", "lineitem"]
 
 
 def _rollup_sql() -> str:
-    from pyspark.sql.types import StructType  # noqa: F401
     # Same choice as design.rollup_source, written out for the two tables.
     plan = {"events": ("ts", ["event_id", "user_id", "value"]),
-            "lineitem": ("l_shipdate", ["l_orderkey", "l_partkey", "l_suppkey"])}
+            "lineitem": ("l_shipdate", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                                        "l_extendedprice", "l_discount", "l_tax"])}
     parts = []
     for t, (ts, cols) in plan.items():
         for c in cols:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablesense.operators import profile as P
 from tablesense.sources import files as FL
 from tablesense.sources import flatten as FT
 from tablesense.sources import readers as RD
@@ -26,14 +27,60 @@ ORDER_TEXT_SQL = ("CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS
                   "o_orderstatus, o_orderpriority")
 
 
-@query("csv_scan_detect", sql=f"SELECT {ORDER_TEXT_SQL}, ';' AS sep FROM orders")
+# One input per encoding: a text column whose letters the encoding has, quotes,
+# separators and line breaks inside fields, and a header name that needs quotes.
+CSV_INPUTS = {"utf-8": (";", "ж€"), "cp1251": (",", "жЯ"), "latin1": ("|", "é\x98")}
+CSV_SQL = "\nUNION ALL\n".join(
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, '{mark}' || CASE WHEN o_orderkey % 10 = 0 THEN 'x "y"{sep} z' WHEN o_orderkey % 10 = 1
+  THEN 'two' || chr(10) || 'lines' ELSE o_orderpriority END AS "note{sep}1", CAST(NULL AS VARCHAR) AS corrupt, '{sep}' AS sep, '{enc}' AS encoding FROM orders"""
+    .replace('"note' + sep + '1"', "note").replace("'é\x98'", "'é' || chr(152)") for enc, (sep, mark) in CSV_INPUTS.items())
+
+
+def _write_csv(df, path: str, sep: str, enc: str) -> None:
+    """Spark writes UTF-8 or latin1; a cp1251 file is the latin1 file of the
+    characters numbered as its bytes."""
+    if enc == "cp1251":
+        chars = [(bytes([b]).decode("cp1251", "ignore"), chr(b)) for b in range(128, 256)]
+        new, old = ("".join(x) for x in zip(*[c for c in chars if c[0]], strict=True))
+        df = df.select(*[F.translate(F.col(f"`{c}`"), new, old).alias(c) for c in df.columns])
+    (df.write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+       .option("encoding", "UTF-8" if enc == "utf-8" else "ISO-8859-1").csv(path))
+
+
+@query("csv_scan_detect", sql=CSV_SQL)
 def q_csv_scan_detect(spark, sf_dir):
-    path = scratch_path(spark, "orders-csv")
-    load(spark, sf_dir, "orders").select(*ORDER_COLS).write.option("header", True) \
-        .option("sep", ";").csv(path)
-    found = RD.detect_csv(spark, path)
-    return RD.read_csv(spark, path, found["sep"], found["encoding"]).withColumn(
-        "sep", F.lit(found["sep"]))
+    """Three inputs written in their encodings, each detected and read back."""
+    od, parts, base = load(spark, sf_dir, "orders"), [], scratch_path(spark, "orders-csv")
+    for enc, (sep, mark) in CSV_INPUTS.items():
+        path, k = f"{base}/{enc}", F.col("o_orderkey") % 10
+        note = F.when(k == 0, F.lit(f'x "y"{sep} z')).when(k == 1, F.lit("two\nlines")).otherwise(F.col("o_orderpriority"))
+        _write_csv(od.select(F.col("o_orderkey").cast("string"), F.concat(F.lit(mark), note).alias(f"note{sep}1")), path, sep, enc)
+        found = RD.detect_csv(spark, path).groupBy("sep", "encoding").agg(F.count(F.lit(1)).alias("files"))
+        kind = found.orderBy(F.col("files").desc()).first()  # small files without a marked row look alike
+        got = RD.read_csv(spark, path)
+        parts.append(got.select("o_orderkey", F.col(f"`note{sep}1`").alias("note"), F.col(RD.CORRUPT).alias("corrupt"),
+                                F.lit(kind["sep"]).alias("sep"), F.lit(kind["encoding"]).alias("encoding")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("corrupt_counts", sql="""
+SELECT 'csv' AS format, CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (WHERE o_orderkey % 7 = 0) AS BIGINT) AS corrupt, true AS hashed FROM orders
+UNION ALL SELECT 'json', CAST(count(*) AS BIGINT), CAST(count(*) FILTER (WHERE o_orderkey % 7 = 0) AS BIGINT), true FROM orders""")
+def q_corrupt_counts(spark, sf_dir):
+    """Lines with a field too many and cut JSON lines: counted, not dropped in
+    silence."""
+    od = load(spark, sf_dir, "orders")
+    bad, key, base = F.col("o_orderkey") % 7 == 0, F.col("o_orderkey").cast("string"), scratch_path(spark, "broken")
+    head = spark.range(1).select(F.lit("a;b").alias("value"))
+    lines = od.select(F.concat(key, F.lit(";x"), F.when(bad, ";extra").otherwise("")).alias("value"))
+    # one file with its header first: the rows are ordered, so that line comes before them
+    rows = head.withColumn("n", F.lit(-1).cast("long")).unionAll(lines.withColumn("n", F.monotonically_increasing_id()))
+    rows.repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(f"{base}/csv")
+    od.select(F.concat(F.lit('{"a": '), key, F.when(bad, "").otherwise(', "b": "x"}')).alias("value")).write.text(f"{base}/json")
+    reads = {"csv": RD.read_csv(spark, f"{base}/csv"),
+             "json": RD.read_json(spark, f"{base}/json", schema=f"a long, b string, {RD.CORRUPT} string")}
+    return reduce(DataFrame.unionByName, [RD.corrupt_count(df).select(
+        F.lit(f).alias("format"), F.col("records").cast("long").alias("records"), F.col("corrupt").cast("long").alias("corrupt"), (F.length("content_hash") > 0).alias("hashed")) for f, df in reads.items()])
 
 
 @query("union_parts", sql="""
@@ -105,11 +152,39 @@ def q_path_value(spark, sf_dir):
 
 
 @query("list_policy", sql="""
-SELECT p_partkey, CAST(to_json(string_split(p_name, ' ')) AS VARCHAR) AS words_json,
-  string_split(p_name, ' ')[1] AS words_0, string_split(p_name, ' ')[2] AS words_1 FROM part""")
+WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS l FROM part)
+SELECT p_partkey, CAST(i - 1 AS INTEGER) AS index, l[i] AS value, l[i] AS json FROM w, range(1, 100) t(i) WHERE i <= len(l)
+UNION ALL SELECT p_partkey, CAST(i AS INTEGER), NULL, '{"n":' || i || '}' FROM part, range(0, 3) t(i)""")
 def q_list_policy(spark, sf_dir):
-    pt = load(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
-    return FT.list_policy(pt, "words").drop("words")
+    """All elements of a list of words and of a list of structs."""
+    pt = load(spark, sf_dir, "part")
+    words = FT.list_policy(pt.select("p_partkey", F.split("p_name", " ").alias("words")), ["p_partkey"], "words")
+    structs = pt.select("p_partkey", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(i.alias("n"))).alias("s"))
+    return words.unionByName(FT.list_policy(structs, ["p_partkey"], "s"))
+
+
+@query("flatten_all", sql="""
+SELECT o_orderkey, CAST(i AS INTEGER) AS s_index, CAST(i AS INTEGER) AS s_n, CAST(j AS INTEGER) AS s_t_index, CAST(i * 10 + j AS INTEGER) AS s_t_v, o_orderstatus AS h_st
+FROM orders, range(0, 2) a(i), range(0, 2) b(j)""")
+def q_flatten_all(spark, sf_dir):
+    """A struct beside arrays of structs within arrays of structs."""
+    od = load(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "named_struct('st', o_orderstatus) AS h",
+        "transform(array(0, 1), i -> named_struct('n', i, 't', transform(array(0, 1), j -> named_struct('v', i * 10 + j)))) AS s")
+    return FT.flatten_all(od)
+
+
+@query("json_columns", sql="""
+SELECT 'events' AS table_name, 'props' AS column_name FROM events HAVING count(*) > 0
+UNION ALL SELECT 'orders_json', 'blob' FROM orders HAVING count(*) > 0""")
+def q_json_columns(spark, sf_dir):
+    """String columns that hold JSON in every row, found, not named."""
+    od = load(spark, sf_dir, "orders")
+    tables = {"events": load(spark, sf_dir, "events"), "pages": load(spark, sf_dir, "pages"),
+              "orders_json": od.select("o_orderkey", F.to_json(F.struct("o_orderstatus")).alias("blob"), F.lit("[not json").alias("open"))}
+    cp = P.catalog_column_profile(tables, "none")
+    found = [(t, c) for t, df in tables.items() for c in FT.json_columns(df, cp, t)]
+    return spark.createDataFrame(found, "table_name string, column_name string")
 
 
 # --------------------------------------------------------------------------
@@ -196,14 +271,13 @@ TAG_RE = "<([A-Za-z][A-Za-z0-9_.:-]*)"
 
 
 @query("tag_discovery", sql=f"""
-WITH t AS (SELECT regexp_extract_all(html, '{TAG_RE}', 1) AS tags FROM pages),
-c AS (SELECT unnest(tags) AS tag FROM t),
-r AS (SELECT DISTINCT tags[1] AS tag FROM t WHERE len(tags) > 0)
-SELECT tag, CAST(count(*) AS BIGINT) AS count FROM c
-WHERE tag NOT IN (SELECT tag FROM r) GROUP BY tag HAVING count(*) > {RD.TAG_MIN_COUNT}""")
+WITH t AS (SELECT page_id, regexp_extract_all(html, '{TAG_RE}', 1) AS tags FROM pages),
+c AS (SELECT page_id, tags[1] AS root, unnest(tags) AS tag FROM t)
+SELECT page_id, tag, CAST(count(*) AS BIGINT) AS count FROM c
+WHERE tag <> root GROUP BY page_id, tag HAVING count(*) > 10""")
 def q_tag_discovery(spark, sf_dir):
-    return RD.tag_discovery(load(spark, sf_dir, "pages"), "html").select(
-        "tag", F.col("count").cast("long"))
+    return RD.tag_discovery(load(spark, sf_dir, "pages"), "page_id", "html").select(
+        "page_id", "tag", F.col("count").cast("long"))
 
 
 def _lines_sql(table: str, col: str) -> str:
@@ -235,32 +309,29 @@ def q_format_detect(spark, sf_dir):
     return pg.select("page_id", FL.detect_format(F.col("url")).alias("format"))
 
 
-@query("file_admission")
+@query("file_admission", sql="""
+SELECT * FROM (VALUES ('csv', true, ''), ('json', true, ''), ('xml', true, ''), ('json', false, 'extension does not match format,bad first line'),
+  ('csv', false, 'extension does not match format,bad first line')) t(format, admitted, violations)""")
 def q_file_admission(spark, sf_dir):
+    """The orders as files of each format, and XML files declared otherwise."""
     od = load(spark, sf_dir, "orders").select(*ORDER_COLS)
-    parts = []
-    for fmt in ("csv", "json", "xml"):
-        path = scratch_path(spark, f"admit-{fmt}")
-        w = od.write
-        if fmt == "csv":
-            w.option("header", True).option("sep", ";").csv(path)
-        elif fmt == "json":
-            w.json(path)
-        else:
-            w.format("xml").option("rowTag", "item").option("rootTag", "root").save(path)
-        parts.append(FL.admission(spark, path + "/part-*", fmt))
-    return reduce(DataFrame.unionByName, parts).select("format", "length", "admitted",
-                                                       F.array_join("violations", ",")
-                                                       .alias("violations"))
+    base = scratch_path(spark, "admit")
+    od.write.option("header", True).option("sep", ";").csv(f"{base}/csv")
+    od.write.json(f"{base}/json")
+    od.write.format("xml").option("rowTag", "item").option("rootTag", "root").save(f"{base}/xml")
+    got = [FL.admission(spark, f"{base}/{folder}/part-*", declared)
+           for folder, declared in (("csv", "csv"), ("json", "json"), ("xml", "xml"), ("xml", "json"), ("xml", "csv"))]
+    return reduce(DataFrame.unionByName, got).select("format", "admitted", F.array_join("violations", ",").alias("violations")).distinct()
 
 
 @query("archive_partitioned", sql="""
-SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
-  CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1, 2""")
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(day(o_orderdate) AS INTEGER) AS day,
+  CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total
+FROM orders GROUP BY 1, 2, 3""")
 def q_archive_partitioned(spark, sf_dir):
     path = scratch_path(spark, "orders-archive")
     SK.archive_partitioned(load(spark, sf_dir, "orders"), "o_orderdate", path)
     back = spark.read.parquet(path)
-    return back.groupBy(F.col("year").cast("int").alias("year"),
-                        F.col("month").cast("int").alias("month")).agg(
-        F.count(F.lit(1)).cast("long").alias("n"))
+    return back.groupBy(*[F.col(c).cast("int").alias(c) for c in ("year", "month", "day")]).agg(
+        F.count(F.lit(1)).cast("long").alias("n"), F.sum("o_orderkey").cast("long").alias("keys"),
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total"))

@@ -28,7 +28,7 @@ SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS total,
   CAST(count(*) FILTER (WHERE {OK_SQL}) AS BIGINT) AS successes,
   CAST(count(*) FILTER (WHERE {OK_SQL}) * 100.0 / count(*) AS DECIMAL(38,6)) AS success_pct,
   CAST(count(*) FILTER (WHERE NOT ({OK_SQL})) * 100.0 / count(*) AS DECIMAL(38,6)) AS error_pct,
-  CAST(count(*) / (epoch(max(ts)) - epoch(min(ts))) AS DECIMAL(38,6)) AS rps,
+  CAST(count(*) / nullif(epoch(max(ts)) - epoch(min(ts)), 0) AS DECIMAL(38,6)) AS rps,
   CAST(avg(value) FILTER (WHERE {OK_SQL}) AS DECIMAL(38,6)) AS mean_rt,
   CAST(min(value) FILTER (WHERE {OK_SQL}) AS DECIMAL(38,6)) AS min_rt,
   CAST(max(value) FILTER (WHERE {OK_SQL}) AS DECIMAL(38,6)) AS max_rt

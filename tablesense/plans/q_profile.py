@@ -19,8 +19,7 @@ ALL = TABLES
 def catalog_profiles(spark: SparkSession, sf_dir: str, names: list[str] | None = None,
                      mode: str = "intended"):
     tables = load_all(spark, sf_dir, names)
-    cp, tp = P.profile_catalog(tables, mode=mode)
-    return cp, tp
+    return P.profile_catalog(tables, mode=mode, distinct="auto")
 
 
 # --------------------------------------------------------------------------
@@ -100,7 +99,7 @@ def _null_counts_sql() -> str:
 
 @query("null_counts", sql=_null_counts_sql())
 def q_null_counts(spark, sf_dir):
-    cp = P.catalog_column_profile(_nulled(spark, sf_dir), distinct="approx")
+    cp = P.catalog_column_profile(_nulled(spark, sf_dir), distinct="none")
     return cp.select("table_name", "ordinal", "column_name", "null_count")
 
 
@@ -108,13 +107,13 @@ def q_null_counts(spark, sf_dir):
 # unique counts: exact, sampled (md5 bottom-k), approximate
 # --------------------------------------------------------------------------
 
-UNIQUE_TABLES = ["part", "lineitem"]
+UNIQUE_TABLES = TABLES
 
 
 def _unique_sql(source: dict[str, str]) -> str:
     from tablesense.plans.catalog import SCHEMAS
     parts = []
-    for t in UNIQUE_TABLES:
+    for t in source:
         for i, (c, _, _) in enumerate(SCHEMAS[t]):
             parts.append(f"SELECT '{t}' AS table_name, {i + 1} AS ordinal, '{c}' AS column_name, "
                          f"CAST(count(DISTINCT {G.q(c)}) AS BIGINT) AS distinct_count "
@@ -139,25 +138,32 @@ def _sample_sql(t: str) -> str:
             f"{', '.join(SAMPLE_KEYS[t])} LIMIT {SAMPLE_N})")
 
 
-@query("unique_counts_sampled", sql=_unique_sql({t: _sample_sql(t) for t in UNIQUE_TABLES}))
+@query("unique_counts_sampled", sql=_unique_sql({t: _sample_sql(t) for t in SAMPLE_KEYS}))
 def q_unique_counts_sampled(spark, sf_dir):
     tables = {t: S.sample_n(load(spark, sf_dir, t), SAMPLE_KEYS[t], SAMPLE_N, SAMPLE_SEED)
-              for t in UNIQUE_TABLES}
+              for t in SAMPLE_KEYS}
     cp = P.catalog_column_profile(tables)
     return cp.select("table_name", "ordinal", "column_name", "distinct_count")
 
 
-@query("approx_unique_counts")
+APPROX_BOUND = 0.1
+
+
+@query("approx_unique_counts", sql="SELECT *, true AS within_bound FROM (" + _unique_sql({t: t for t in UNIQUE_TABLES}) + ")")
 def q_approx_unique_counts(spark, sf_dir):
-    cp = P.catalog_column_profile(load_all(spark, sf_dir, UNIQUE_TABLES), distinct="approx")
-    return cp.select("table_name", "ordinal", "column_name", "distinct_count")
+    """Sketched counts beside exact ones, and whether they agree to 10 %."""
+    tables = load_all(spark, sf_dir, UNIQUE_TABLES)
+    cp = P.catalog_column_profile(tables, distinct="approx").join(P.exact_distinct(tables), ["table_name", "ordinal"], "left")
+    exact = F.coalesce("exact", F.lit(0).cast("long"))
+    near = F.abs(F.col("distinct_count") - exact) <= F.greatest(F.lit(2), exact * APPROX_BOUND)
+    return cp.select("table_name", "ordinal", "column_name", exact.alias("distinct_count"), near.alias("within_bound"))
 
 
 # --------------------------------------------------------------------------
 # size, compression, duplicates, quality
 # --------------------------------------------------------------------------
 
-SIZE_TABLES = ["orders", "documents"]
+SIZE_TABLES = TABLES
 
 
 @query("size_estimate", sql=G.profile_ctes(SIZE_TABLES, with_dups=False) + """
@@ -166,7 +172,7 @@ SELECT table_name, ordinal, column_name, byte_size,
 FROM cp""")
 def q_size_estimate(spark, sf_dir):
     from pyspark.sql import Window
-    cp = P.catalog_column_profile(load_all(spark, sf_dir, SIZE_TABLES))
+    cp = P.catalog_column_profile(load_all(spark, sf_dir, SIZE_TABLES), "none")
     w = Window.partitionBy("table_name")
     return cp.select("table_name", "ordinal", "column_name", "byte_size",
                      dec(F.sum("byte_size").over(w) / F.lit(P.MB)).alias("table_mb"))
@@ -175,7 +181,7 @@ def q_size_estimate(spark, sf_dir):
 @query("compression_ratio", sql=G.profile_ctes(ALL, with_dups=False) + f"""
 SELECT table_name, {sql_dec('compression_ratio')} AS compression_ratio FROM tp""")
 def q_compression_ratio(spark, sf_dir):
-    cp = P.catalog_column_profile(load_all(spark, sf_dir))
+    cp = P.catalog_column_profile(load_all(spark, sf_dir), "none")
     tp = P.table_profile(cp, None)
     return tp.select("table_name", dec("compression_ratio").alias("compression_ratio"))
 
@@ -226,7 +232,7 @@ SELECT table_name, duplicate_rows,
 FROM d""")
 def q_quality_score(spark, sf_dir):
     tables = _projections(spark, sf_dir)
-    cp = P.catalog_column_profile(tables, distinct="approx")
+    cp = P.catalog_column_profile(tables, distinct="none")
     tp = P.table_profile(cp, P.catalog_duplicate_rows(tables))
     return tp.select("table_name", "duplicate_rows", dec("quality_score").alias("quality_score"))
 
@@ -239,7 +245,7 @@ def q_quality_score(spark, sf_dir):
 SELECT table_name, has_temporal, has_numeric, has_text, has_categorical, has_spatial, has_nested
 FROM tp""")
 def q_profile_flags(spark, sf_dir):
-    cp = P.catalog_column_profile(load_all(spark, sf_dir))
+    cp = P.catalog_column_profile(load_all(spark, sf_dir), "auto")
     return P.table_profile(cp, None).select("table_name", "has_temporal", "has_numeric", "has_text",
                                             "has_categorical", "has_spatial", "has_nested")
 
@@ -247,19 +253,31 @@ def q_profile_flags(spark, sf_dir):
 @query("narrowed_type", sql=G.profile_ctes(ALL, with_dups=False) + """
 SELECT table_name, ordinal, column_name, base_dtype, narrowed FROM cp""")
 def q_narrowed_type(spark, sf_dir):
-    cp = P.with_narrowed(P.catalog_column_profile(load_all(spark, sf_dir)))
+    cp = P.with_narrowed(P.catalog_column_profile(load_all(spark, sf_dir), "auto"))
     return cp.select("table_name", "ordinal", "column_name", "base_dtype", "narrowed")
 
 
 def _temporal_inputs(spark, sf_dir) -> dict[str, DataFrame]:
     od = load(spark, sf_dir, "orders").withColumn(
         "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return {"orders_text_dates": od, "events": load(spark, sf_dir, "events")}
+    dated = load(spark, sf_dir, "orders")
+    form = lambda f: dated.select(F.date_format("o_orderdate", f).alias("o_orderdate"))
+    mixed = dated.select(F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+03:00'"))
+                         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("o_orderdate"))
+    return {"orders_text_dates": od, "events": load(spark, sf_dir, "events"), "orders_dotted": form("dd.MM.yyyy"),
+            "orders_slashed": form("yyyy/MM/dd HH:mm"), "orders_offsets": mixed,
+            "orders_two_forms": form("dd.MM.yyyy").unionAll(form("yyyy-MM-dd"))}
 
 
 _TEMPORAL_SQL_SRC = {
     "orders_text_dates": "(SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders)",
     "events": "events",
+    "orders_dotted": "(SELECT strftime(o_orderdate, '%d.%m.%Y') AS o_orderdate FROM orders)",
+    "orders_slashed": "(SELECT strftime(o_orderdate, '%Y/%m/%d %H:%M') AS o_orderdate FROM orders)",
+    "orders_offsets": "(SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 2 = 0 THEN '+03:00' "
+                      "ELSE 'Z' END AS o_orderdate FROM orders)",
+    "orders_two_forms": "(SELECT strftime(o_orderdate, '%d.%m.%Y') AS o_orderdate FROM orders "
+                        "UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders)",
 }
 
 
@@ -268,7 +286,8 @@ def _temporal_cp_sql() -> str:
     parts = []
     for alias, src in _TEMPORAL_SQL_SRC.items():
         base = "orders" if alias.startswith("orders") else alias
-        for i, (c, kind, width) in enumerate(SCHEMAS[base]):
+        cols = SCHEMAS[base] if alias in ("orders_text_dates", "events") else [("o_orderdate", "string", None)]
+        for i, (c, kind, width) in enumerate(cols):
             k = "string" if c == "o_orderdate" else kind
             w = None if c == "o_orderdate" else width
             sel = G._column_select(alias, i + 1, c, k, w)
@@ -284,7 +303,7 @@ TEMPORAL_CTES = ("WITH cp0 AS (\n" + _temporal_cp_sql() + "\n), cp AS (" + G.nar
 SELECT table_name, ordinal, column_name, is_temporal, {sql_iso('ts_min')} AS ts_min,
   {sql_iso('ts_max')} AS ts_max FROM cf""")
 def q_temporal_columns(spark, sf_dir):
-    cf = P.column_flags(P.catalog_column_profile(_temporal_inputs(spark, sf_dir)))
+    cf = P.column_flags(P.catalog_column_profile(_temporal_inputs(spark, sf_dir), "none"))
     return cf.select("table_name", "ordinal", "column_name", "is_temporal",
                      iso("ts_min").alias("ts_min"), iso("ts_max").alias("ts_max"))
 
@@ -296,7 +315,7 @@ SELECT table_name,
   {sql_iso("arg_min(ts_max, ordinal) FILTER (WHERE is_temporal)")} AS ts_max
 FROM cf GROUP BY table_name""")
 def q_temporal_range(spark, sf_dir):
-    cf = P.column_flags(P.catalog_column_profile(_temporal_inputs(spark, sf_dir)))
+    cf = P.column_flags(P.catalog_column_profile(_temporal_inputs(spark, sf_dir), "none"))
     first = F.when(F.col("is_range_candidate"), F.col("ordinal"))
     return cf.groupBy("table_name").agg(
         F.min_by("column_name", first).alias("range_column"),
@@ -307,7 +326,7 @@ def q_temporal_range(spark, sf_dir):
 @query("unique_ids", sql=G.profile_ctes(ALL, with_dups=False) + """
 SELECT table_name, unique_ids FROM tp""")
 def q_unique_ids(spark, sf_dir):
-    cp = P.catalog_column_profile(load_all(spark, sf_dir))
+    cp = P.catalog_column_profile(load_all(spark, sf_dir), "auto")
     return P.table_profile(cp, None).select("table_name", joined("unique_ids").alias("unique_ids"))
 
 
@@ -321,7 +340,7 @@ SELECT table_name,
 FROM cf GROUP BY table_name""")
 def q_primary_keys(spark, sf_dir):
     from tablesense.operators import design as D
-    cp = P.catalog_column_profile(load_all(spark, sf_dir))
+    cp = P.catalog_column_profile(load_all(spark, sf_dir), "auto")
     return D.primary_keys(cp).select("table_name", joined("primary_keys").alias("primary_keys"))
 
 
@@ -357,7 +376,7 @@ SELECT table_name, has_temporal, has_numeric, has_text, has_categorical, has_spa
   unique_ids, CAST(compression_ratio AS DECIMAL(38,6)) AS compression_ratio
 FROM tp""")
 def q_profile_flags_observed(spark, sf_dir):
-    cp = P.catalog_column_profile(load_all(spark, sf_dir))
+    cp = P.catalog_column_profile(load_all(spark, sf_dir), "auto")
     tp = P.table_profile(cp, None, mode="observed")
     return tp.select("table_name", "has_temporal", "has_numeric", "has_text", "has_categorical",
                      "has_spatial", "has_nested", joined("unique_ids").alias("unique_ids"),

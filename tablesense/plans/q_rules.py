@@ -6,12 +6,13 @@ The driver's tables are all small, so rules 1-7 are exercised on the
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesense.operators import checks as C
 from tablesense.operators import design as D
 from tablesense.operators import profile as P
+from tablesense.operators import requestlog as L
 from tablesense.operators import rules as R
 from tablesense.plans import sqlgen as G
 from tablesense.plans.catalog import SCHEMAS, TABLES, load_all
@@ -23,7 +24,7 @@ FACTORS = [1, 10, 100, 1000, 10000, 100000]
 
 def _profiles(spark, sf_dir, mode="intended", dups=True):
     tables = load_all(spark, sf_dir)
-    cp = materialize(P.catalog_column_profile(tables))
+    cp = materialize(P.catalog_column_profile(tables, "auto"))
     tp = materialize(P.table_profile(cp, P.catalog_duplicate_rows(tables) if dups else None, mode))
     return tables, cp, tp
 
@@ -73,43 +74,28 @@ def q_best_rule_observed(spark, sf_dir):
                                                    "target", "confidence", "schedule_hint")
 
 
-@query("target_distribution", sql=_projected_sql("intended") + """
-SELECT target, CAST(count(*) AS BIGINT) AS n,
-  CAST(count(*) * 100.0 / sum(count(*)) OVER () AS DECIMAL(38,6)) AS percent,
-  CAST(avg(confidence) AS DECIMAL(38,6)) AS mean_confidence
-FROM b WHERE rn = 1 GROUP BY target""")
-def q_target_distribution(spark, sf_dir):
-    best = _best(spark, sf_dir, "intended")
-    g = best.groupBy("target").agg(F.count(F.lit(1)).alias("n"),
-                                   F.avg("confidence").alias("_c"))
-    total = F.sum("n").over(Window.partitionBy())
-    return g.select("target", F.col("n").cast("long").alias("n"),
-                    dec(F.col("n") * 100.0 / total).alias("percent"),
-                    dec("_c").alias("mean_confidence"))
-
-
 # --------------------------------------------------------------------------
 # checks
 # --------------------------------------------------------------------------
 
+# Source formats of the tables, for the format checks: flat tables as CSV, those
+# with nested or JSON text as JSON, the others as XML.
+FORMATS = {"events": "json", "documents": "json", "conversations": "json", "embeddings": "json", "pages": "xml", "benchmark": "xml",
+           **{t: "csv" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "labels")}}
+IS_FMT = {f: "table_name IN (" + ", ".join(f"'{t}'" for t, x in FORMATS.items() if x == f) + ")" for f in ("csv", "json", "xml")}
+
+
 def _probe_sql() -> str:
-    parts = []
-    for t in TABLES:
-        key = SCHEMAS[t][0][0]
-        for i, (c, kind, _) in enumerate(SCHEMAS[t]):
-            if kind != "string":
-                continue
-            parts.append(
-                f"SELECT '{t}' AS table_name, {i + 1} AS ordinal, '{c}' AS column_name, "
-                f"coalesce(bool_or(contains(v, '{{') OR contains(v, '[')), false) AS nested_json "
-                f"FROM (SELECT {G.q(key)}, {G.q(c)} AS v FROM {t} WHERE {G.q(c)} IS NOT NULL "
-                f"ORDER BY {G.q(key)}, v LIMIT {C.PROBE_VALUES})")
-    return "\nUNION ALL\n".join(parts)
+    """Every string column, over all values."""
+    return "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, {i + 1} AS ordinal, '{c}' AS column_name, "
+        f"coalesce(bool_or(contains({G.q(c)}, '{{') OR contains({G.q(c)}, '[')), false) AS nested_json FROM {t}"
+        for t in TABLES for i, (c, kind, _) in enumerate(SCHEMAS[t]) if kind == "string")
 
 
 @query("nested_string_probe", sql=_probe_sql())
 def q_nested_string_probe(spark, sf_dir):
-    return C.nested_string_probe(load_all(spark, sf_dir))
+    return C.nested_string_probe(P.catalog_column_profile(load_all(spark, sf_dir), "none"))
 
 
 QUALITY_SQL = """
@@ -130,36 +116,55 @@ SELECT table_name, 'warning', 'few_columns', printf('Low number of columns: %d',
   FROM tp WHERE record_count > 0 AND field_count < 2
 """
 
+TOKENS = G.tokens_sql("column_name")
 FORMAT_SQL = f"""
 SELECT table_name, 'warning' AS severity, 'numeric_low_cardinality' AS "check",
   printf('Column ''%s'' has low cardinality for numeric data', column_name) AS detail
-  FROM cf WHERE kind IN ('int', 'float') AND ratio < 0.01 AND distinct_count > 1
+  FROM cf WHERE {IS_FMT['csv']} AND kind IN ('int', 'float') AND ratio < 0.01 AND distinct_count > 1
 UNION ALL
-SELECT p.table_name, 'warning', 'nested_json',
-  printf('Column ''%s'' may contain nested JSON structures', p.column_name)
-  FROM probe p WHERE p.nested_json
+SELECT table_name, 'warning', 'nested_json',
+  printf('Column ''%s'' may contain nested JSON structures', column_name)
+  FROM probe WHERE {IS_FMT['json']} AND nested_json
 UNION ALL
 SELECT table_name, 'warning', 'spatial_name', printf('Column ''%s'' may contain spatial data', column_name)
-  FROM cf WHERE regexp_matches(lower(column_name), '{G.words(["coord", "lat", "lon", "x", "y", "geometry"])}')
+  FROM cf WHERE {IS_FMT['xml']} AND regexp_matches({TOKENS}, '(^|_)(coord|lat|lon|x|y|geometry)(_|$)')
 UNION ALL
 SELECT table_name, 'warning', 'cadastral_name',
   printf('Column ''%s'' may contain cadastral information', column_name)
-  FROM cf WHERE regexp_matches(lower(column_name), '(cad|кадастр)')
+  FROM cf WHERE {IS_FMT['xml']} AND regexp_matches({TOKENS}, '(^|_)(cad|кадастр)(_|$)')
 """
 
 
-@query("quality_checks", sql=G.profile_ctes(TABLES) + QUALITY_SQL)
+def derived(spark, sf_dir, names: list[str]) -> dict[str, DataFrame]:
+    """The tables of ``sqlgen.DERIVED``: inputs on which the checks fire."""
+    t = load_all(spark, sf_dir, ["region", "nation", "part", "customer"])
+    nothing = lambda c: F.nullif(F.col(c), F.col(c)).alias(c)
+    out = {
+        "region_none": t["region"].where("r_regionkey < 0"),
+        "nation_nulled": t["nation"].select(*[nothing(c) for c in t["nation"].columns]),
+        "region_repeated": t["region"].unionAll(t["region"]).unionAll(t["region"]),
+        "part_names": t["part"].select("p_name"),
+        "customer_wide": t["customer"].select(*[(F.col("c_custkey") + i).alias(f"k{i}") for i in range(101)]),
+    }
+    return {n: out[n] for n in names}
+
+
+QUALITY_TABLES = [*TABLES, *G.DERIVED]
+
+
+@query("quality_checks", sql=G.profile_ctes(QUALITY_TABLES) + QUALITY_SQL)
 def q_quality_checks(spark, sf_dir):
-    _, _, tp = _profiles(spark, sf_dir)
-    return C.quality_checks(tp)
+    """Every check fires: on no rows, nulls, repeats, one column, 101 columns."""
+    tables = load_all(spark, sf_dir) | derived(spark, sf_dir, list(G.DERIVED))
+    cp = P.catalog_column_profile(tables, "none")
+    return C.quality_checks(P.table_profile(cp, P.catalog_duplicate_rows(tables)))
 
 
 @query("format_checks", sql=G.profile_ctes(TABLES, with_dups=False)
        + f", probe AS ({_probe_sql()})" + FORMAT_SQL)
 def q_format_checks(spark, sf_dir):
-    tables = load_all(spark, sf_dir)
-    cp = P.catalog_column_profile(tables)
-    return C.format_checks(cp, C.nested_string_probe(tables)).drop("ordinal")
+    cp = P.catalog_column_profile(load_all(spark, sf_dir), "auto")
+    return C.format_checks(cp, FORMATS).drop("ordinal")
 
 
 @query("numeric_low_card", sql=G.profile_ctes(TABLES, with_dups=False) + """
@@ -171,8 +176,10 @@ def q_numeric_low_card(spark, sf_dir):
 
 
 def recommend_frame(spark, sf_dir, mode="intended"):
-    tables, cp, tp = _profiles(spark, sf_dir, mode)
-    checks = C.all_checks(tp, cp, C.nested_string_probe(tables))
+    tables = load_all(spark, sf_dir) | derived(spark, sf_dir, ["region_none"])
+    cp = materialize(P.catalog_column_profile(tables, "auto"))
+    tp = materialize(P.table_profile(cp, P.catalog_duplicate_rows(tables), mode))
+    checks = C.all_checks(tp, cp, FORMATS, mode)
     rec = R.recommend(tp, R.rules_frame(spark, mode), checks)
     return rec.select("table_name", "rule", "target", "confidence", "schedule_hint",
                       F.array_join("ddl_hints", " | ").alias("hints"),
@@ -180,7 +187,7 @@ def recommend_frame(spark, sf_dir, mode="intended"):
                       joined(F.array_sort("warnings")).alias("warnings"))
 
 
-RECOMMEND_SQL = (G.profile_ctes(TABLES) + f", probe AS ({_probe_sql()}), "
+RECOMMEND_SQL = (G.profile_ctes([*TABLES, "region_none"]) + f", probe AS ({_probe_sql()}), "
                  f"chk AS ({QUALITY_SQL} UNION ALL {FORMAT_SQL}), rr AS ({G.rules_sql()}), "
                  f"m AS (SELECT p.table_name, r.* FROM tp p JOIN rr r ON {G.RULE_PREDICATE_SQL}), "
                  "b AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY priority DESC, "
@@ -205,4 +212,17 @@ LEFT JOIN ck USING (table_name)""")
 
 @query("recommend", sql=RECOMMEND_SQL)
 def q_recommend(spark, sf_dir):
+    """All tables, and one without rows, which ends in the error path."""
     return recommend_frame(spark, sf_dir)
+
+
+@query("target_distribution", sql=f"""
+SELECT target, CAST(count(*) AS BIGINT) AS n,
+  CAST(count(*) * 100.0 / sum(count(*)) OVER () AS DECIMAL(38,6)) AS percent,
+  CAST(avg(confidence) AS DECIMAL(38,6)) AS mean_confidence
+FROM ({RECOMMEND_SQL}) r GROUP BY target""")
+def q_target_distribution(spark, sf_dir):
+    """Shares of the catalog's own recommendations."""
+    s = L.target_shares(recommend_frame(spark, sf_dir))
+    return s.select("target", F.col("n").cast("long").alias("n"), dec("percent").alias("percent"),
+                    dec("mean_confidence").alias("mean_confidence"))

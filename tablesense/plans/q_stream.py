@@ -1,26 +1,48 @@
-"""Streaming queries (T1, T2) run to completion with availableNow."""
+"""Streaming queries (T1, T2) run to completion with availableNow. Their input is
+written as several files, one per micro-batch, out of time order."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablesense.plans.catalog import load
 from tablesense.plans.q_design import _rollup_sql
-from tablesense.plans.registry import query
+from tablesense.plans.registry import dec, query
 from tablesense.session import scratch_path
 from tablesense.streaming import jobs as J
 
+FILES = 5
+
+
+def _files(df, key: str, name: str, spark) -> str:
+    path = scratch_path(spark, name)
+    df.repartition(FILES, F.pmod(F.xxhash64(key), F.lit(FILES))).write.parquet(path)
+    return path
+
 
 @query("daily_rollup_stream", sql="SELECT * FROM (" + _rollup_sql() + ") r WHERE table_name = 'events'")
 def q_daily_rollup_stream(spark, sf_dir):
-    schema = load(spark, sf_dir, "events").schema
-    stream = J.file_stream(spark, sf_dir, "events.parquet", schema)
+    ev = load(spark, sf_dir, "events")
+    stream = J.file_stream(spark, _files(ev, "event_id", "rollup-in", spark), "*.parquet", ev.schema, max_files=1)
     return J.daily_rollup_stream(spark, stream, "events", scratch_path(spark, "rollup-out"),
                                  scratch_path(spark, "rollup-ckpt"))
 
 
-@query("profile_store_stream")
-def q_profile_store_stream(spark, sf_dir):
-    schema = load(spark, sf_dir, "documents").schema
-    stream = J.file_stream(spark, sf_dir, "documents.parquet", schema)
-    out = J.profile_store_stream(spark, stream, "documents", scratch_path(spark, "stream-store"),
-                                 scratch_path(spark, "stream-store-ckpt"))
-    return out.select("table_name", "mode", "analysis_type", "content_hash")
+@query("profile_stream", sql="""
+SELECT 'doc_id' AS column_name, count(*) AS row_count, count(*) - count(doc_id) AS null_count, CAST(8 * count(*) AS BIGINT) AS byte_size,
+  CAST(min(doc_id) AS DECIMAL(38,6)) AS min_num, CAST(max(doc_id) AS DECIMAL(38,6)) AS max_num, true AS near FROM documents
+UNION ALL SELECT 'text', count(*), count(*) - count(text), CAST(sum(strlen(text)) AS BIGINT), NULL, NULL, true FROM documents
+UNION ALL SELECT 'lang', count(*), count(*) - count(lang), CAST(sum(strlen(lang)) AS BIGINT), NULL, NULL, true FROM documents
+UNION ALL SELECT 'source', count(*), count(*) - count(source), CAST(sum(strlen(source)) AS BIGINT), NULL, NULL, true FROM documents
+UNION ALL SELECT 'n_chars', count(*), count(*) - count(n_chars), CAST(8 * count(*) AS BIGINT), CAST(min(n_chars) AS DECIMAL(38,6)),
+  CAST(max(n_chars) AS DECIMAL(38,6)), true FROM documents""")
+def q_profile_stream(spark, sf_dir):
+    """The profile merged from micro-batches; near: the merged distinct sketch
+    is within 10 % of the exact count."""
+    docs = load(spark, sf_dir, "documents")
+    stream = J.file_stream(spark, _files(docs, "doc_id", "profile-in", spark), "*.parquet", docs.schema, max_files=1)
+    out = J.profile_stream(spark, stream, "documents", scratch_path(spark, "profile-parts"), scratch_path(spark, "profile-ckpt"))
+    exact = J.P.exact_distinct({"documents": docs})
+    near = F.abs(F.col("distinct_estimate") - F.col("exact")) <= F.greatest(F.lit(2), F.col("exact") * 0.1)
+    return out.join(exact, ["table_name", "ordinal"]).select(
+        "column_name", "row_count", "null_count", "byte_size", dec("min_num").alias("min_num"), dec("max_num").alias("max_num"), near.alias("near"))

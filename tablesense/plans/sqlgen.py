@@ -44,8 +44,11 @@ def _column_select(table: str, ordinal: int, col: str, kind: str, width: int | N
     mnn = f"CAST(min({c}) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"
     mxn = f"CAST(max({c}) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"
     if kind == "string":
-        # An offset in a text is applied by DuckDB's cast, which gives UTC.
-        parsed = (f"CASE WHEN regexp_matches({c}, '{ISO_RE}') THEN try_cast({c} AS TIMESTAMP) "
+        off = "[+-][0-9]{2}:?[0-9]{2}$"  # of a time of day, taken off to give UTC
+        away = (f"to_minutes(CAST(regexp_extract({c}, '([+-])[0-9]{{2}}:?[0-9]{{2}}$', 1) || '1' AS INTEGER) * "
+                f"(60 * CAST(regexp_extract({c}, '[+-]([0-9]{{2}}):?[0-9]{{2}}$', 1) AS INTEGER) + CAST(regexp_extract({c}, '([0-9]{{2}})$', 1) AS INTEGER)))")
+        parsed = (f"CASE WHEN regexp_matches({c}, '{ISO_RE}') THEN CASE WHEN regexp_matches({c}, 'T|:') AND regexp_matches({c}, '[0-9]{off}') "
+                  f"THEN try_cast(regexp_replace({c}, '{off}', '') AS TIMESTAMP) - {away} ELSE try_cast(regexp_replace({c}, 'Z$', '') AS TIMESTAMP) END "
                   f"WHEN regexp_matches({c}, '{DOT_RE}') THEN try_cast(regexp_replace({c}, '{DOT_RE}', '\\3-\\2-\\1\\4') AS TIMESTAMP) "
                   f"WHEN regexp_matches({c}, '{SLASH_RE}') THEN try_cast(regexp_replace({c}, '{SLASH_RE}', '\\1-\\2-\\3\\4') AS TIMESTAMP) END")
         form = (f"CASE WHEN regexp_matches({c}, '{ISO_RE}') THEN 1 WHEN regexp_matches({c}, '{DOT_RE}') THEN 2 "
@@ -71,10 +74,31 @@ def _column_select(table: str, ordinal: int, col: str, kind: str, width: int | N
     )
 
 
+# Tables derived for queries, by name: (table whose schema they have, their SQL).
+DERIVED = {
+    "region_none": ("region", "SELECT * FROM region WHERE r_regionkey < 0"),
+    "nation_nulled": ("nation", "SELECT nullif(n_nationkey, n_nationkey) AS n_nationkey, nullif(n_name, n_name) AS n_name, "
+                                "nullif(n_regionkey, n_regionkey) AS n_regionkey FROM nation"),
+    "region_repeated": ("region", "SELECT * FROM region UNION ALL SELECT * FROM region UNION ALL SELECT * FROM region"),
+    "part_names": ("part_names", "SELECT p_name FROM part"),
+    "customer_wide": ("customer_wide", "SELECT " + ", ".join(f"c_custkey + {i} AS k{i}" for i in range(101)) + " FROM customer"),
+}
+WIDE = [(f"k{i}", "int", 8) for i in range(101)]
+
+
+def schema_of(table: str) -> list[tuple[str, str, int | None]]:
+    base = DERIVED[table][0] if table in DERIVED else table
+    return {"part_names": [("p_name", "string", None)], "customer_wide": WIDE}.get(base) or SCHEMAS[base]
+
+
+def derived_ctes(tables: list[str]) -> list[str]:
+    return [f"{t} AS ({DERIVED[t][1]})" for t in tables if t in DERIVED]
+
+
 def column_profile_sql(tables: list[str] | None = None) -> str:
     parts = []
     for t in tables or TABLES:
-        for i, (col, kind, width) in enumerate(SCHEMAS[t]):
+        for i, (col, kind, width) in enumerate(schema_of(t)):
             parts.append(_column_select(t, i + 1, col, kind, width))
     return "\nUNION ALL\n".join(parts)
 
@@ -112,7 +136,7 @@ def tokens_sql(col: str) -> str:
 
 
 def words(ws: list[str]) -> str:
-    return N.any_word(ws)
+    return "(" + "|".join(ws) + ")"
 
 
 def flags_sql(mode: str = "intended") -> str:
@@ -200,7 +224,7 @@ LEFT JOIN dups d USING (table_name)
 def profile_ctes(tables: list[str] | None = None, with_dups: bool = True,
                  mode: str = "intended") -> str:
     """WITH-list defining cp0, cp (with narrowed), cf (flags), dups, tp."""
-    ctes = [f"cp0 AS (\n{column_profile_sql(tables)}\n)", f"cp AS ({narrowed_sql()})",
+    ctes = derived_ctes(tables or TABLES) + [f"cp0 AS (\n{column_profile_sql(tables)}\n)", f"cp AS ({narrowed_sql()})",
             f"cf AS ({flags_sql(mode)})"]
     if with_dups:
         ctes.append(f"dups AS (\n{dups_sql(tables)}\n)")

@@ -1,9 +1,9 @@
 """File-level operators: format detection, admission checks, structure
 counters and content fingerprints (S17-S20, C1).
 
-``binaryFile`` reads one file per row (one task per file, each file below
-2 GB); for large data the row-level fingerprint ``table_fingerprint`` is
-the distributed alternative.
+Sizes come from ``binaryFile`` without its content column, lines from the text
+reader, so no file body is held whole. ``store.fingerprints`` is the fingerprint
+of a whole table.
 """
 
 from __future__ import annotations
@@ -47,10 +47,25 @@ def first_line_ok(fmt: Column, first_line: Column) -> Column:
              .otherwise(F.lit(False)))
 
 
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, first_line) of every file, by the splittable text reader: the
+    line of least block start, then first in its block."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), "value",
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    return lines.groupBy("path").agg(F.min_by("value", "at").alias("first_line"))
+
+
 def admission(spark: SparkSession, path: str, declared: str | None = None) -> DataFrame:
-    """One row per file with its format and the list of violations."""
-    files = spark.read.format("binaryFile").load(path)
-    first = F.substring_index(F.expr("CAST(substring(content, 1, 65536) AS STRING)"), "\n", 1)
+    """One row per file with its format and the list of violations. File
+    sizes come from the listing; contents are only read as lines."""
+    binary = spark.read.format("binaryFile").load(path)
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    seen = binary.select(bare("path").alias("_p"), "length")
+    # Readers skip files without bytes; the listing has them.
+    listed = spark.createDataFrame([(f,) for f in binary.inputFiles()], "path string").withColumn("_p", bare("path"))
+    files = listed.join(seen, "_p", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    first = first_lines(spark, path).select(F.regexp_replace("path", "^file:/+", "/").alias("_p"), "first_line")
     fmt = F.lit(declared) if declared else detect_format(F.col("path"))
     ext_ok = F.lit(True)
     if declared:
@@ -60,10 +75,10 @@ def admission(spark: SparkSession, path: str, declared: str | None = None) -> Da
         F.when(F.col("length") > MAX_BYTES, F.lit("file too large")),
         F.when(fmt == "unknown", F.lit("unknown format")),
         F.when(~ext_ok, F.lit("extension does not match format")),
-        F.when(~first_line_ok(fmt, first), F.lit("bad first line")),
+        F.when(~first_line_ok(fmt, F.coalesce("first_line", F.lit(""))), F.lit("bad first line")),
     ))
-    return files.select("path", "length", fmt.alias("format"), violations.alias("violations"),
-                        (F.size(violations) == 0).alias("admitted"))
+    return files.join(first, "_p", "left").select(
+        "path", "length", fmt.alias("format"), violations.alias("violations"), (F.size(violations) == 0).alias("admitted"))
 
 
 def structure_counts(df: DataFrame, text: str) -> DataFrame:
@@ -81,11 +96,3 @@ def content_fingerprint(df: DataFrame, key: str, text: str) -> DataFrame:
     """md5 of each text and its size in bytes."""
     return df.select(key, F.md5(F.col(text)).alias("content_md5"),
                      F.octet_length(F.col(text)).cast("long").alias("size_bytes"))
-
-
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-independent fingerprint of a whole table: row count and the sum
-    of 64-bit row hashes (as a decimal, no overflow). One aggregation with
-    partial sums per task."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("row_hash_sum"))

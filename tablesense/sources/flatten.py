@@ -75,9 +75,39 @@ def path_value(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return df.selectExpr(*[_q(k) for k in keys], f"stack({len(cols)}, {pairs}) AS (path, value)")
 
 
-def list_policy(df: DataFrame, col: str, width: int = 2) -> DataFrame:
-    """A list column kept as its JSON text plus its first ``width``
-    elements as ``col_0``, ``col_1`` .. (a bounded, fixed number)."""
-    c = F.col(_q(col))
-    return df.select("*", F.to_json(c).alias(f"{col}_json"),
-                     *[F.get(c, i).alias(f"{col}_{i}") for i in range(width)])
+def list_policy(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """Rows (keys, index, value, json) of all elements of a list column.
+    Elements that are structs or lists are given as JSON, scalars as values
+    too; an empty list gives one row without index."""
+    inner = df.schema[col].dataType.elementType
+    scalar = not isinstance(inner, (T.StructType, T.ArrayType, T.MapType))
+    rows = df.select(*[F.col(_q(k)) for k in keys], F.posexplode_outer(F.col(_q(col))).alias("index", "e"))
+    text = F.col("e").cast("string") if scalar else F.to_json("e")
+    return rows.select(*[F.col(_q(k)) for k in keys], "index", (text if scalar else F.lit(None).cast("string")).alias("value"), text.alias("json"))
+
+
+def json_columns(df: DataFrame, profile: DataFrame, table: str) -> list[str]:
+    """The string columns of a table whose values all parse as JSON objects
+    or arrays; only those that the profile marks as holding '{' or '[' are
+    tried, in one aggregation."""
+    marked = {r["column_name"] for r in profile.where((F.col("table_name") == table) & F.col("nested_hit")).select("column_name").collect()}
+    cols = [c for c in df.columns if c in marked]
+    if not cols:
+        return []
+    ok = lambda c: F.bool_and(F.expr(f"coalesce(ltrim({_q(c)}) RLIKE '^[{{\\\\[]', true) AND ({_q(c)} IS NULL OR try_parse_json({_q(c)}) IS NOT NULL)"))
+    row = df.agg(*[ok(c).alias(c) for c in cols]).first()
+    return [c for c in cols if row[c]]
+
+
+def flatten_all(df: DataFrame, sep: str = "_") -> DataFrame:
+    """Structs become columns and arrays of structs rows, at any depth,
+    until only scalars and lists of scalars are left. ``<column>_index`` keeps
+    the place of each exploded element."""
+    while True:
+        df = flatten_structs(df, sep)
+        nested = next((f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)
+                       and isinstance(f.dataType.elementType, (T.StructType, T.ArrayType))), None)
+        if nested is None:
+            return df
+        others = [F.col(_q(c)) for c in df.columns if c != nested]
+        df = df.select(*others, F.posexplode_outer(F.col(_q(nested))).alias(f"{nested}{sep}index", nested))

@@ -1,12 +1,14 @@
 """Readers for the reference's input formats.
 
-Detection reads only the head of a file (one small value comes back to the
-driver to configure the reader); the read itself is Spark's splittable
-reader over all of the data: no row cap.
+Detection looks at all bytes of every file in one distributed pass; one row
+per file comes back to the driver to configure the reader, which reads all of
+the data: no row cap.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,38 +23,68 @@ CADASTRAL_FIELDS = ["cad_number", "status", "last_container_fixed_at", "address"
                     "object_type", "area", "purpose"]
 COORDINATE_TAGS = ["coordinates", "coord", "point", "location"]
 # end of fixed values
-HEAD_BYTES = 65536
+CP1251_GAP = b"\x98"  # the byte that cp1251 gives no character
 CORRUPT = "_corrupt_record"
 
 
 def separator_of(first_line: Column) -> Column:
-    """The first candidate separator present in the header line."""
+    """The first candidate separator in the header line, outside quotes."""
+    bare = F.regexp_replace(first_line, '"[^"]*"', "")
     expr = F.when(F.lit(False), F.lit(None))
     for s in SEPARATORS:
-        expr = expr.when(F.instr(first_line, s) > 0, F.lit(s))
+        expr = expr.when(F.instr(bare, s) > 0, F.lit(s))
     return expr.otherwise(F.lit(","))
 
 
-def detect_csv(spark: SparkSession, path: str) -> dict:
-    """Separator and encoding of a delimited file from its first bytes."""
-    head = spark.read.format("binaryFile").load(path).select(
-        F.substring("content", 1, HEAD_BYTES).alias("h")).limit(1)
-    row = head.select(
-        F.is_valid_utf8("h").alias("utf8"),
-        separator_of(F.substring_index(F.col("h").cast("string"), "\n", 1)).alias("sep")).first()
-    return {"sep": row["sep"], "encoding": "utf-8" if row["utf8"] else "windows-1251"}
+def detect_csv(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: path, sep, encoding, multiline. All bytes are looked
+    at, in one pass of the splittable text reader (its lines keep their bytes):
+    UTF-8 if every line is valid, else cp1251 unless a byte it lacks occurs,
+    else latin1. A line with an odd number of quotes means that a quoted field
+    holds a line break."""
+    raw = F.col("value").cast("binary")
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), "value", F.is_valid_utf8("value").alias("utf8"),
+        F.contains(raw, F.lit(CP1251_GAP)).alias("gap"), (quotes % 2 == 1).alias("open"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    f = lines.groupBy("path").agg(F.bool_and("utf8").alias("utf8"), F.bool_or("gap").alias("gap"), F.bool_or("open").alias("multiline"),
+                                  F.min_by("value", "at").alias("head"))
+    return f.select("path", separator_of(F.col("head")).alias("sep"),
+                    F.when(F.col("utf8"), ENCODINGS[0]).when(~F.col("gap"), ENCODINGS[1]).otherwise(ENCODINGS[2]).alias("encoding"), "multiline")
+
+
+def _cp1251(df: DataFrame) -> DataFrame:
+    """Columns and names of a latin1 read as cp1251: every byte has become the
+    character of its number, which a translation turns into the letter."""
+    chars = [(chr(b), bytes([b]).decode("cp1251", "ignore")) for b in range(128, 256)]
+    old, new = ("".join(x) for x in zip(*[(a, b) for a, b in chars if b], strict=True))
+    out = df.select(*[F.translate(F.col(f"`{c}`"), old, new).alias(c) for c in df.columns])
+    return out.toDF(*[c.translate(str.maketrans(old, new)) for c in df.columns])
+
+
+def _read_csv(spark: SparkSession, paths: list[str], sep: str, encoding: str, multiline: bool) -> DataFrame:
+    r = (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+              .option("encoding", "UTF-8" if encoding == ENCODINGS[0] else "ISO-8859-1").option("multiLine", multiline)
+              .option("mode", "PERMISSIVE").option("enforceSchema", True).option("columnNameOfCorruptRecord", CORRUPT))
+    names = r.csv(paths[0]).columns  # the header
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+    df = r.schema(schema).csv(paths)
+    return _cp1251(df) if encoding == ENCODINGS[1] else df
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None,
              encoding: str | None = None) -> DataFrame:
     """CSV with header; all columns as text (no inference, so codes
-    like '061001' keep their zeros). Separator and encoding are detected
-    when not given. Malformed lines land in ``_corrupt_record``."""
-    if sep is None or encoding is None:
-        d = detect_csv(spark, path)
-        sep, encoding = sep or d["sep"], encoding or d["encoding"]
-    return (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-                 .option("mode", "PERMISSIVE").csv(path))
+    like '061001' keep their zeros). Separator, encoding and line breaks in
+    quotes are detected per file unless both are given; files that differ are
+    read apart and united by column name. Lines with too many or too few fields
+    are kept, their text in ``_corrupt_record`` (see ``corrupt_count``)."""
+    if sep is not None and encoding is not None:
+        return _read_csv(spark, [path], sep, encoding, False)
+    kinds = (detect_csv(spark, path).groupBy("sep", "encoding", "multiline").agg(F.collect_list("path").alias("paths")).collect())  # the file listing
+    parts = [_read_csv(spark, sorted(k["paths"]), sep or k["sep"], encoding or k["encoding"], k["multiline"]) for k in kinds]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_json(spark: SparkSession, path: str, multiline: bool = False,
@@ -96,17 +128,18 @@ def corrupt_count(df: DataFrame) -> DataFrame:
 
 
 def find_field(schema: T.StructType, name: str, path: str = "") -> str | None:
-    """SQL path of the first field called ``name``, depth first."""
+    """SQL path of the first field called ``name`` in document order (a field
+    before its children, children before what follows). Arrays of structs are
+    entered; the path then yields the first element that is there."""
     for f in schema.fields:
         p = f"{path}.`{f.name}`" if path else f"`{f.name}`"
         if f.name == name:
             return p
-    for f in schema.fields:
-        if isinstance(f.dataType, T.StructType):
-            p = f"{path}.`{f.name}`" if path else f"`{f.name}`"
-            hit = find_field(f.dataType, name, p)
-            if hit:
-                return hit
+        inner, at = f.dataType, p
+        while isinstance(inner, T.ArrayType):
+            inner, at = inner.elementType, f"get(filter({at}, e -> e IS NOT NULL), 0)"
+        if isinstance(inner, T.StructType) and (hit := find_field(inner, name, at)):
+            return hit
     return None
 
 
@@ -139,13 +172,11 @@ def split_coordinates(df: DataFrame) -> DataFrame:
                      F.when(~pair, raw).alias("coordinates_raw"))
 
 
-def tag_discovery(df: DataFrame, text: str, min_count: int = TAG_MIN_COUNT) -> DataFrame:
-    """Element names used more than ``min_count`` times over all
-    documents, minus the document roots (the first element of a document):
-    record candidates. One explode + grouped count (partial per task)."""
+def tag_discovery(df: DataFrame, key: str, text: str, min_count: int = TAG_MIN_COUNT) -> DataFrame:
+    """(key, tag, count): element names used more than ``min_count`` times
+    within one document, without the document's root (its first element):
+    record candidates. Row-local: a document's tags are counted in its row."""
     tags = F.regexp_extract_all(F.col(text), F.lit("<([A-Za-z][A-Za-z0-9_.:-]*)"), 1)
-    t = df.select(tags.alias("tags"))
-    counts = t.select(F.explode("tags").alias("tag")).groupBy("tag").agg(
-        F.count(F.lit(1)).alias("count"))
-    roots = t.select(F.get("tags", 0).alias("tag")).where(F.col("tag").isNotNull()).distinct()
-    return counts.where(F.col("count") > min_count).join(roots, "tag", "left_anti")
+    found = df.select(key, tags.alias("tags")).select(key, "tags", F.explode(F.array_distinct("tags")).alias("tag"))
+    n = F.size(F.filter("tags", lambda x: x == F.col("tag")))
+    return found.where((n > min_count) & (F.col("tag") != F.get("tags", 0))).select(key, "tag", n.alias("count"))

@@ -1,4 +1,4 @@
-"""Sinks (K1-K5): the date-partitioned archive and the layout writer."""
+"""Sinks (K1, K2): the date-partitioned archive."""
 
 from __future__ import annotations
 
@@ -8,30 +8,12 @@ from pyspark.sql import functions as F
 
 def archive_partitioned(df: DataFrame, ts: str, path: str, fmt: str = "parquet",
                         codec: str | None = None) -> None:
-    """K2: write under year=/month=/day= folders. Rows are shuffled by day
-    first so each day is written by one task per output partition instead
-    of every task writing a small file to every day."""
+    """K2: write under year=/month=/day= folders. The rebalance hint brings a
+    day's rows together, so tasks do not write a small file to every day, and
+    lets adaptive execution split a big day over several tasks and files."""
     out = (df.withColumn("year", F.year(ts)).withColumn("month", F.month(ts))
-             .withColumn("day", F.dayofmonth(ts)))
-    out = out.repartition("year", "month", "day")
+             .withColumn("day", F.dayofmonth(ts)).hint("rebalance", "year", "month", "day"))
     w = out.write.mode("overwrite").partitionBy("year", "month", "day").format(fmt)
     if codec:
         w = w.option("compression", codec)
     w.save(path)
-
-
-def write_with_layout(df: DataFrame, path: str, file_format: str, codec: str,
-                      partition_column: str | None = None, hash_partitions: int | None = None,
-                      keys: list[str] | None = None) -> None:
-    """K3-K5: apply a layout plan row: format, codec, and either daily
-    partitions on the temporal column or a fixed number of hash parts."""
-    out = df
-    if partition_column:
-        out = out.withColumn("dt", F.to_date(F.col(partition_column)).cast("string"))
-        out = out.repartition("dt")
-        w = out.write.partitionBy("dt")
-    else:
-        if hash_partitions:
-            out = out.repartition(hash_partitions, *(keys or df.columns[:1]))
-        w = out.write
-    w.mode("overwrite").format(file_format).option("compression", codec).save(path)

@@ -8,14 +8,11 @@ checkpoint directory, so a restarted run resumes instead of recomputing.
 
 from __future__ import annotations
 
-import time
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesense.operators import design as D
 from tablesense.operators import profile as P
-from tablesense.operators import store as S
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str, schema, max_files: int | None = None
@@ -27,51 +24,45 @@ def file_stream(spark: SparkSession, folder: str, glob: str, schema, max_files:
 
 
 def daily_rollup_stream(spark: SparkSession, stream: DataFrame, table: str, out: str,
-                        checkpoint: str, watermark: str = "1 day") -> DataFrame:
+                        checkpoint: str) -> DataFrame:
     """The A21 roll-up maintained incrementally.
 
-    Event time is the roll-up's timestamp column; the watermark bounds the
-    state to the open days (rows later than the watermark are dropped, as
-    any windowed stream does). Each micro-batch writes the days it changed
-    (update mode) with its batch id; the reader keeps the latest version of
-    each day, which equals the batch roll-up when no row was late.
+    Every micro-batch writes its own sums by day to a folder of its own (a
+    batch that is run again replaces it); the reader adds them up. So there is
+    no state, no watermark, and a late day counts like any other.
     """
-    ts, nums = D.rollup_source(stream)
-    et = F.col(f"`{ts}`").cast("timestamp")
-    aggs = [F.sum(F.col(f"`{c}`").cast("decimal(38,10)")).alias(f"s{i}") for i, (c, _) in enumerate(nums)]
-    agg = (stream.withColumn("_et", et).withWatermark("_et", watermark)
-                 .groupBy(F.window("_et", "1 day").alias("w")).agg(*aggs))
-
     def sink(batch: DataFrame, batch_id: int) -> None:
-        pairs = ", ".join(f"'{c}', s{i}" for i, (c, _) in enumerate(nums))
-        (batch.selectExpr(f"'{table}' AS table_name",
-                          "date_format(w.start, 'yyyy-MM-dd') AS date",
-                          f"stack({len(nums)}, {pairs}) AS (column_name, total)")
-              .withColumn("batch_id", F.lit(batch_id).cast("long"))
-              .write.mode("append").parquet(out))
+        D.daily_rollup_tall(batch, table).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
+    q = (stream.writeStream.foreachBatch(sink)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    res = spark.read.parquet(out)
-    w = Window.partitionBy("table_name", "date", "column_name").orderBy(F.col("batch_id").desc())
-    return res.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "batch_id")
+    return (spark.read.parquet(out).groupBy("table_name", F.date_format("date", "yyyy-MM-dd").alias("date"), "column_name")
+            .agg(F.sum("total").cast("decimal(38,10)").alias("total")))
 
 
-def profile_store_stream(spark: SparkSession, stream: DataFrame, table: str, store: str,
-                         checkpoint: str, now: int | None = None) -> DataFrame:
-    """Every micro-batch of new files is profiled (column profile of
-    the batch) and appended to the profile store with its fingerprint."""
+def profile_stream(spark: SparkSession, stream: DataFrame, table: str, out: str,
+                   checkpoint: str) -> DataFrame:
+    """Every micro-batch of new files is profiled, its profile written to a
+    folder of its own; the reader merges them into the table's profile: counts
+    and sizes are added, ranges widened, flags combined, distinct sketches
+    united."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        name = f"{table}@batch{batch_id}"
-        cp = P.catalog_column_profile({name: batch})
-        res = cp.groupBy("table_name").agg(F.to_json(F.collect_list(F.struct(
-            "ordinal", "column_name", "row_count", "null_count", "distinct_count")))
-            .alias("profile"))
-        fps = S.fingerprints({name: batch})
-        S.write(S.entries(res, fps, "column_profile", now or int(time.time())), store)
+        P.catalog_column_profile({table: batch}, "sketch").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
     q.awaitTermination()
-    return S.read_latest(spark, store)
+    return merge_profiles(spark.read.parquet(out))
+
+
+def merge_profiles(parts: DataFrame) -> DataFrame:
+    """One profile row per column from profiles of disjoint parts of a table."""
+    some = F.col("row_count") > F.col("null_count")
+    return parts.groupBy("table_name", "ordinal", "column_name", "kind").agg(
+        *[F.sum(c).cast("long").alias(c) for c in ("row_count", "null_count", "byte_size")],
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch", F.lit(True))), F.lit(0)).alias("distinct_estimate"),
+        F.min("min_num").alias("min_num"), F.max("max_num").alias("max_num"),
+        F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"),
+        F.bool_or("numeric_hit").alias("numeric_hit"), F.bool_or("nested_hit").alias("nested_hit"),
+        F.coalesce(F.bool_and(F.when(some, F.col("timestamp_ok"))), F.lit(False)).alias("timestamp_ok"))

@@ -71,17 +71,114 @@ def test_plans_have_no_python_udf_or_cartesian(spark):
 
 def test_window_top_k_is_bounded_before_shuffle(spark):
     from tablesense.operators import design as D
+    cp = spark.range(100).selectExpr("concat('t', id % 2) AS table_name", "CAST(id AS INT) AS ordinal", "'c' AS column_name").repartition(3)
+    assert "WindowGroupLimit" in _plan(D.column_roles(cp, most=15))
+    assert D.column_roles(cp, most=15).count() == 30 and D.column_roles(cp).count() == 100
+
+
+def test_late_days_and_rerun_batches_count_once(spark, tmp_dir):
+    """Three files out of time order, one per micro-batch."""
+    from tablesense.operators import design as D
+    from tablesense.streaming import jobs as J
+    import datetime as dt
+    schema = "ts timestamp_ntz, v double"
+    days = [dt.datetime(2024, 3, d) for d in (10, 20, 1)]
+    for d in days:
+        spark.createDataFrame([(d, 1.5), (d, 2.0)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_dir}/in")
+    df = spark.read.parquet(f"{tmp_dir}/in")
+    for _ in range(2):  # a restart finds nothing new
+        stream = J.file_stream(spark, f"{tmp_dir}/in", "*.parquet", df.schema, max_files=1)
+        got = J.daily_rollup_stream(spark, stream, "t", f"{tmp_dir}/out", f"{tmp_dir}/ckpt").collect()
+        want = D.daily_rollup_tall(df, "t").withColumn("date", F.date_format("date", "yyyy-MM-dd")).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 3
+
+
+def test_stream_profiles_merge(spark, tmp_dir):
     from tablesense.operators import profile as P
-    od = spark.read.parquet(f"{SF001}/orders.parquet")
-    plan = _plan(D.column_roles(P.column_profile(od, "o")))
-    assert "WindowGroupLimit" in plan or "TakeOrderedAndProject" in plan or "Window" in plan
+    from tablesense.streaming import jobs as J
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    ev.repartition(4).write.parquet(f"{tmp_dir}/in")
+    stream = J.file_stream(spark, f"{tmp_dir}/in", "*.parquet", ev.schema, max_files=1)
+    got = {r["column_name"]: r for r in J.profile_stream(spark, stream, "events", f"{tmp_dir}/out", f"{tmp_dir}/ckpt").collect()}
+    for r in P.column_profile(ev, "events").collect():
+        m = got[r["column_name"]]
+        for c in ("row_count", "null_count", "byte_size", "min_num", "max_num", "ts_min", "ts_max", "timestamp_ok", "numeric_hit", "nested_hit"):
+            assert m[c] == r[c], c
+        assert abs(m["distinct_estimate"] - r["distinct_count"]) <= max(2, 0.1 * r["distinct_count"])
+
+
+def test_content_that_returns_is_found_and_old_rows_expire(spark, tmp_dir):
+    from tablesense.operators import store as S
+    a, b = (spark.createDataFrame([(i,)], "a long") for i in (1, 2))
+    res = spark.createDataFrame([("t", 1)], "table_name string, rows long")
+    for df, at in ((a, 100), (b, 200)):
+        S.write(S.entries(res, S.fingerprints({"t": df}), "x", at), f"{tmp_dir}/s")
+    latest = S.read_latest(spark, f"{tmp_dir}/s")
+    assert S.hits(S.fingerprints({"t": a}), latest, 300, 250).count() == 1
+    kept = S.expire(spark, f"{tmp_dir}/s", f"{tmp_dir}/v2", 300, 150)
+    assert [r["written_at"] for r in kept.collect()] == [200]
+
+
+def test_parse_facts(spark):
+    from tablesense.operators import profile as P
+    from tablesense.operators import store as S
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    paths = {t: f"{SF001}/lineitem.parquet" for t in ("a", "b", "c")}
+    cp = P.catalog_column_profile({"a": li, "b": li.withColumnRenamed("l_tax", "x_cad_number"), "c": li}, "none")
+    got = {r["table_name"]: r for r in S.parse_facts(spark, paths, cp, cap=li.count(), streamed=frozenset({"c"})).collect()}
+    assert [got[t]["strategy"] for t in "abc"] == ["chunked", "chunked", "streaming"]
+    assert [got[t]["xml_structure"] for t in "abc"] == ["generic", "cadastral", "generic"]
+    import os
+    assert got["a"]["file_mb"] == pytest.approx(os.path.getsize(paths["a"]) / 1048576)
+
+
+def test_one_request_and_null_flags(spark):
+    from tablesense.operators import requestlog as L
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([("a", t, True, 1.0, None), ("b", t, None, 2.0, "e"), ("b", t, False, 3.0, "e")], "g string, ts timestamp, ok boolean, rt double, m string")
+    s = {r["g"]: r for r in L.latency_summary(log, ["g"], "ts", F.col("ok"), "rt").collect()}
+    assert s["a"]["rps"] is None and s["a"]["successes"] == 1 and s["b"]["success_pct"] == 0 and s["b"]["error_pct"] == 100
+    assert L.load_verdict(L.latency_summary(log, ["g"], "ts", F.col("ok"), "rt")).count() == 2
+    assert [(r["error"], r["count"]) for r in L.error_histogram(log, F.col("ok"), "m").collect()] == [("e", 2)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 19, 20, 400, 30_000])
+@pytest.mark.parametrize("kind", ["spread", "few", "one"])
+def test_exact_percentiles_from_a_bracket(spark, n, kind):
+    from tablesense.operators import requestlog as L
+    vals = [{"spread": (i * 7919) % 100_003 / 7, "few": float(i % 3), "one": 7.0}[kind] for i in range(n)]
+    df = spark.createDataFrame([(v, "g") for v in vals] + [(None, "g")], "v double, g string")
+    for method, f in (("exclusive", L.p95_exclusive), ("inclusive", L.p95_inclusive)):
+        want = statistics.quantiles(vals, n=20, method=method)[18] if n > 1 else vals[0]
+        assert f(df, "v", ["g"]).first()["p95"] == pytest.approx(want, rel=1e-12)
+
+
+def test_unset_checkpoint_folder_is_an_error_on_a_cluster():
+    from tablesense import session
+
+    class Fake:
+        class conf:
+            @staticmethod
+            def get(*_):
+                return None
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Fake)
 
 
 def test_entry_runs(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     rows = df.collect()
-    assert len(rows) == 14 and {r["target"] for r in rows} == {"postgresql"}
+    assert len(rows) == 15 and {r["target"] for r in rows} == {"postgresql"}
+    assert [r["table_name"] for r in rows if r["rule"] == "quality_error"] == ["region_none"]
     assert set(E.oracle_sql()) <= set(E.queries())
 
 

@@ -19,15 +19,57 @@ def _write(path, name, text, encoding="utf-8"):
 
 def test_csv_semicolon_detected(spark, tmp_dir):
     p = _write(tmp_dir, "tickets.csv", "id;code;name\n1;061001;a\n2;5800;b\n")
-    d = RD.detect_csv(spark, p)
-    assert d == {"sep": ";", "encoding": "utf-8"}
+    d = RD.detect_csv(spark, p).first()
+    assert (d["sep"], d["encoding"], d["multiline"]) == (";", "utf-8", False)
     rows = RD.read_csv(spark, p).collect()
     assert [r["code"] for r in rows] == ["061001", "5800"]   # zeros kept
 
 
-def test_csv_cp1251_detected(spark, tmp_dir):
-    p = _write(tmp_dir, "ru.csv", "имя,город\nИван,Москва\n", encoding="cp1251")
-    assert RD.detect_csv(spark, p)["encoding"] == "windows-1251"
+def test_csv_encodings_read_back(spark, tmp_dir):
+    """All bytes decide: a letter across byte 65,536, and cp1251 or latin1 after
+    thousands of ASCII lines."""
+    wide = "a;b\n" + "x" * 65531 + "\u0416;1\n" + "\u044f;2\n" * 3000
+    late = "a,\u0438\u043c\u044f\n" + "1,x\n" * 6000 + "2,\u0418\u0432\u0430\u043d\n"
+    for name, text, enc in (("w.csv", wide, "utf-8"), ("r.csv", late, "cp1251")):
+        p = _write(f"{tmp_dir}/{enc}", name, text, encoding=enc)
+        assert RD.detect_csv(spark, p).first()["encoding"] == enc
+        got = RD.read_csv(spark, p).drop(RD.CORRUPT)
+        lines = text.strip().split("\n")
+        sep = ";" if enc == "utf-8" else ","
+        assert got.columns == lines[0].split(sep)
+        assert sorted(sep.join(r) for r in got.collect()) == sorted(lines[1:])
+    p = f"{tmp_dir}/l.csv"
+    with open(p, "wb") as f:
+        f.write("a|b\n1|\u00e9\x98\n".encode("latin1"))
+    assert RD.read_csv(spark, p).first()["b"] == "\u00e9\x98"
+
+
+def test_csv_quotes_line_breaks_and_extra_fields(spark, tmp_dir):
+    p = _write(tmp_dir, "q.csv", '"a,b";c\n"x ""y"" z";"two\nlines"\n1;2;3\n4\n')
+    df = RD.read_csv(spark, p)
+    assert df.columns == ["a,b", "c", RD.CORRUPT]
+    rows = df.collect()
+    assert (rows[0]["a,b"], rows[0]["c"]) == ('x "y" z', "two\nlines")
+    c = RD.corrupt_count(df).first()
+    assert (c["records"], c["corrupt"]) == (3, 2)
+
+
+def test_files_that_differ_are_read_apart(spark, tmp_dir):
+    _write(tmp_dir, "1.csv", "a;b\n1;2\n")
+    _write(tmp_dir, "2.csv", "b,a\n\u0438,4\n", encoding="cp1251")
+    got = RD.read_csv(spark, tmp_dir).select("a", "b").collect()
+    assert sorted(map(tuple, got)) == [("1", "2"), ("4", "\u0438")]
+
+
+def test_admission_reads_sizes_and_first_lines(spark, tmp_dir):
+    _write(tmp_dir, "a.csv", "a;b\n1;2\n")
+    _write(tmp_dir, "b.csv", "")
+    _write(tmp_dir, "c.csv", "x" * 70_000 + ";y\n1;2\n")
+    _write(tmp_dir, "d.csv", "no separator\n")
+    got = {r["path"][-5:]: r for r in FL.admission(spark, tmp_dir, "csv").collect()}
+    assert got["a.csv"]["admitted"] and got["c.csv"]["admitted"]
+    assert got["b.csv"]["violations"] == ["empty file", "bad first line"]
+    assert got["d.csv"]["violations"] == ["bad first line"]
 
 
 def test_xml_truncated_file(spark, tmp_dir):
@@ -53,11 +95,35 @@ def test_coordinates_not_a_pair(spark):
     assert out["55.7, 37.6"]["longitude"] == "37.6"
 
 
-def test_tag_discovery_repeated_without_item(spark):
+def test_tag_discovery_counts_within_a_document(spark):
     doc = "<catalog>" + "".join(f"<rec><v>{i}</v></rec>" for i in range(11)) + "</catalog>"
-    df = spark.createDataFrame([(doc,)], "html string")
-    tags = {r["tag"]: r["count"] for r in RD.tag_discovery(df, "html").collect()}
-    assert tags == {"rec": 11, "v": 11}
+    few = "<rec>" + "<v>1</v>" * 6 + "</rec>"
+    df = spark.createDataFrame([(1, doc), (2, few), (3, few)], "id long, html string")
+    tags = {(r["id"], r["tag"]): r["count"] for r in RD.tag_discovery(df, "id", "html").collect()}
+    assert tags == {(1, "rec"): 11, (1, "v"): 11}
+
+
+def test_list_policy_keeps_all_elements(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c"], [(1,), (2,), (3,)]), (2, [], None)], "k long, w array<string>, s array<struct<n:int>>")
+    words = FT.list_policy(df, ["k"], "w").collect()
+    assert [tuple(r) for r in words] == [(1, 0, "a", "a"), (1, 1, "b", "b"), (1, 2, "c", "c"), (2, None, None, None)]
+    assert [r["json"] for r in FT.list_policy(df, ["k"], "s").collect()] == ['{"n":1}', '{"n":2}', '{"n":3}', None]
+
+
+def test_fields_are_found_in_arrays_and_document_order(spark):
+    df = spark.createDataFrame([([(None,), ("7",)], ("8",))], "parts array<struct<cad_number:string>>, late struct<cad_number:string>")
+    assert RD.cadastral_projection(df).first()["cad_number"] is None  # of the first element that is there
+    df = spark.createDataFrame([([None, ("7",)], ("8",))], df.schema)
+    assert RD.cadastral_projection(df).first()["cad_number"] == "7"
+
+
+def test_flatten_all_and_json_columns(spark):
+    df = spark.createDataFrame([(1, [([1, 2],), ([],)])], "k long, a array<struct<b:array<int>>>")
+    got = FT.flatten_all(df)
+    assert got.columns == ["k", "a_index", "a_b"] and [tuple(r) for r in got.collect()] == [(1, 0, [1, 2]), (1, 1, [])]
+    from tablesense.operators import profile as P
+    df = spark.createDataFrame([('{"a": 1}', "[x", "plain"), (" [1, 2]", "y", "{")], "j string, k string, l string")
+    assert FT.json_columns(df, P.column_profile(df, "t", "none"), "t") == ["j"]
 
 
 def test_json_arrays_and_objects(spark, tmp_dir):
