@@ -8,8 +8,8 @@ classes apart best (chi-square) and fits
     f(x) = w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)
 
 by AdaGrad: the factors v learn pairs of terms that additive weights miss.
-Scores are those of the sample's mix of classes, even where it can be, not of
-the rarer toxic rows of the corpus. The model is broadcast (FEATURES x (RANK + 1) numbers); every
+Both classes weigh the same, so a score is the probability among as many toxic
+as other rows, not among the rarer toxic rows of the corpus. The model is broadcast (FEATURES x (RANK + 1) numbers); every
 whole text is scored in numpy.
 
 Defined results: a text without terms (null, empty, signs only) scores the
@@ -110,6 +110,7 @@ def fit(y: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, float, np.nd
     place = np.full(1 << BITS, -1)
     place[features] = np.arange(len(features))
     rows = [p[p >= 0] for p in (place[r] for r in rows)]
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     rng = np.random.default_rng(SEED)
     w0, w, v = 0.0, np.zeros(len(features)), rng.normal(0, 0.01, (len(features), RANK))
     g0, gw, gv = 1e-8, np.full(len(features), 1e-8), np.full((len(features), RANK), 1e-8)
@@ -125,7 +126,7 @@ def fit(y: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, float, np.nd
             np.add.at(s, owner, vx)
             q = np.bincount(owner, weights=(vx * vx).sum(axis=1), minlength=len(part))
             f = w0 + np.bincount(owner, weights=w[x], minlength=len(part)) + 0.5 * ((s * s).sum(axis=1) - q)
-            d = (1 / (1 + np.exp(-np.clip(f, -30, 30))) - y[part]) / len(part)
+            d = weight[part] * (1 / (1 + np.exp(-np.clip(f, -30, 30))) - y[part]) / len(part)
             dx = d[owner]
             step = d.sum()
             g0 += step * step
