@@ -226,12 +226,15 @@ def codec(raw: bytes, pattern: str) -> Codec:
 
 
 def bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
-        keep_ids: bool = True, keep_decoded: bool = True, keep: list[str] | None = None) -> DataFrame:
+        keep_ids: bool = True, keep_decoded: bool = True, keep: list[str] | None = None,
+        release: bool = False) -> DataFrame:
     """Add to ``docs``: n_tokens long, ids array<int>, ids_sha256, decoded
     binary and decoded_sha256. ``ranks_path`` is read on the driver (about a
     MB, fixed by the tokenizer) and broadcast, so executors need no copy.
     ``keep_ids`` / ``keep_decoded`` False leave the long columns out; ``keep``
-    lists the columns of ``docs`` to carry (default: all)."""
+    lists the columns of ``docs`` to carry (default: all). ``release`` frees a
+    worker's vocabulary and caches after each partition, where other work
+    follows in the same executors, at the cost of learning words anew."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     with open(ranks_path, "rb") as f:
@@ -258,6 +261,12 @@ def bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                 cols.append(pa.array(decoded, pa.binary()))
             gc.enable()
             yield pa.RecordBatch.from_arrays(batch.columns[:len(kept)] + cols, names=schema.names)
+        if release:
+            own.con.close()
+            _CODECS.clear()
+            del own
+            gc.collect()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(*[docs[f.name] for f in kept], docs[text].cast("string").alias("__text")).mapInArrow(run, schema)
 

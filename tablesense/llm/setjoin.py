@@ -47,9 +47,8 @@ from pyspark.sql import functions as F
 from tablesense.llm.common import maybe_broadcast, small_batches, word_count, written
 from tablesense.llm.components import connected_components
 
-GROWTH = 1.5        # of band limits; at least q / p
 CHECK_COST = 60.0   # checking a candidate, in index rows
-SHARED = 0.02       # share of shingles that unrelated texts are taken to have in common
+SHARED = 0.0005     # share of shingles that unrelated texts are taken to have in common
 BLOCK = 256         # members of a bucket that meet in one task at once, twice
 DELETED, VISITOR = 1, 2  # bits of an index row's role
 
@@ -140,10 +139,15 @@ class Plan:
         return out
 
 
+def growth(p: int, q: int) -> float:
+    """Of band limits: a third of the sets, by size, visit the next band."""
+    return (q / p) ** 3
+
+
 def limits(p: int, q: int, largest: int) -> list[int]:
     """Least sizes of the bands up to a size."""
     out = [1]
-    while (above := math.ceil(max(out[-1] + 1, out[-1] * max(GROWTH, q / p)))) <= largest:
+    while (above := math.ceil(max(out[-1] + 1, out[-1] * growth(p, q)))) <= largest:
         out.append(above)
     return out
 
@@ -296,7 +300,7 @@ def sketch_table(found: DataFrame, k: int, plan: Plan) -> DataFrame:
             for text, want in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 s = shingles(text)
                 if digest(s, 1) == want:  # an identifier may repeat with another text
-                    rows += [(want, role, len(s), sketch(s, plan.bands[b].lo + 8).tobytes()) for b, role in plan.of(len(s))]
+                    rows += [(want, role, len(s), sketch(s, plan.bands[b].lo * 3 // 2 + 8).tobytes()) for b, role in plan.of(len(s))]
             cols = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int8(), pa.int64(), pa.binary()), strict=True)],
                                              names=["node", "guest", "n", "sketch"])
@@ -398,11 +402,11 @@ def jaccard_join(docs: DataFrame, k: int, p: int, q: int, id_col: str = "doc_id"
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # Sizes by words, for the plan only: every set is indexed whatever they are.
     words = F.greatest(word_count(F.col("text")) - (k - 1), F.lit(1)).alias("n")
-    sizes = docs.select(F.floor(F.log(words.cast("double")) / math.log(GROWTH)).alias("x"), words)
-    stats = sizes.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).collect()  # a row per power of GROWTH
+    sizes = docs.select(F.floor(F.log(words.cast("double")) / math.log(growth(p, q))).alias("x"), words)
+    stats = sizes.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).collect()  # a row per power of the growth
     edges = limits(p, q, max([r.n for r in stats], default=1))
     counts = [sum(r.c for r in stats if bisect_right(edges, r.n) - 1 == i) for i in range(len(edges))]
-    plan = Plan(p, q, tuple(Band(lo, *allocate(lo, math.ceil(max(lo + 1, lo * max(GROWTH, q / p))) - 1, c, p, q))
+    plan = Plan(p, q, tuple(Band(lo, *allocate(lo, math.ceil(max(lo + 1, lo * growth(p, q))) - 1, c, p, q))
                             for lo, c in zip(edges, counts, strict=True)))
 
     rows = written(index_table(docs, k, plan), "index")
