@@ -51,7 +51,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
     path, pattern = bpe.public_vocabulary()
-    return bpe.bpe(docs, path, pattern, keep_decoded=False, keep=["doc_id", "lang", "source"])
+    return bpe.bpe(docs, path, pattern, keep_decoded=False, keep=["doc_id", "lang", "source"], release=True)
 
 
 STAGES = [("language ID", language_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage),
