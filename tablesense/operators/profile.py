@@ -124,8 +124,8 @@ SKETCH_LG = 12  # 1.6 % relative error
 
 
 def _measures(path: str, dt: T.DataType, distinct: str) -> tuple[dict[str, str], dict[str, str]]:
-    """Aggregates over one column, and the profile fields made of them
-    (``{a}`` stands for the aggregate a)."""
+    """Aggregates over one projected column, and the profile fields made of
+    them (``{a}`` stands for the aggregate a)."""
     kind, width = kind_of(dt), width_of(dt)
     agg = {"n": f"count({path})"}
     out = {k: f"CAST(NULL AS {t})" for k, t in _NONE.items()}
@@ -150,7 +150,7 @@ def _measures(path: str, dt: T.DataType, distinct: str) -> tuple[dict[str, str],
         out |= {"min_value": iso.replace("{}", lo), "max_value": iso.replace("{}", hi), "timestamp_ok": "{n} > 0", "ts_min": lo, "ts_max": hi}
     elif kind == "string":
         num = V.NUMERIC_STRING_PATTERN.replace("\\", "\\\\")
-        parsed, form = (f"CASE WHEN left({path}, 1) BETWEEN '0' AND '9' THEN {e} END" for e in (V.parsed_sql(path), V.date_form_sql(path)))
+        parsed, form = f"p_{path}", f"f_{path}"  # of the projection below
         agg |= {"lo": f"min({path})", "hi": f"max({path})",  # a look at the first character spares most texts the patterns
                 "hit": f"bool_or(left({path}, 1) IN ('-', '.', '0', '1', '2', '3', '4', '5', '6', '7', '8', '9') AND {path} RLIKE '{num}')",
                 "js": f"bool_or(contains({path}, '{{') OR contains({path}, '['))",
@@ -177,9 +177,13 @@ def _table_measures(table: str, df: DataFrame, distinct: str) -> list[DataFrame]
     leaves = list(enumerate(leaf_paths(df.schema), 1))
     parts = []
     for lo in range(0, len(leaves), _CHUNK):
-        aggs, rows = ["count(1) AS rows"], []
+        aggs, rows, cols = ["count(1) AS rows"], [], []
         for i, (name, path, dt, from_struct) in leaves[lo:lo + _CHUNK]:
-            agg, out = _measures(path, dt, distinct)
+            cols.append(f"{path} AS c{i}")
+            if kind_of(dt) == "string":  # texts that begin with no digit are spared the patterns
+                cols += [f"CASE WHEN left({path}, 1) BETWEEN '0' AND '9' THEN {e} END AS {n}_c{i}"
+                         for n, e in (("p", V.parsed_sql(path)), ("f", V.date_form_sql(path)))]
+            agg, out = _measures(f"c{i}", dt, distinct)
             aggs += [f"{e} AS {k}_{i}" for k, e in agg.items()]
             names = {k: f"{k}_{i}" for k in agg} | {"rows": "rows"}
             f = {"table_name": _sql_lit(table), "ordinal": str(i), "column_name": _sql_lit(name), "spark_type": _sql_lit(dt.simpleString()),
@@ -187,7 +191,7 @@ def _table_measures(table: str, df: DataFrame, distinct: str) -> list[DataFrame]
                  **{k: e.format(**names) for k, e in out.items()}}
             fields = [*_FIELDS, ("sketch", "binary")] if distinct == "sketch" else _FIELDS
             rows.append("named_struct(" + ", ".join(f"'{k}', CAST({f[k]} AS {t})" for k, t in fields) + ")")
-        parts.append(df.selectExpr(*aggs).selectExpr("inline(array(" + ", ".join(rows) + "))"))
+        parts.append(df.selectExpr(*cols).selectExpr(*aggs).selectExpr("inline(array(" + ", ".join(rows) + "))"))
     return parts
 
 
