@@ -225,6 +225,14 @@ def codec(raw: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def free() -> None:
+    """Give back this worker's vocabulary, caches and connection."""
+    while _CODECS:
+        _CODECS.popitem()[1].con.close()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
         keep_ids: bool = True, keep_decoded: bool = True, keep: list[str] | None = None,
         release: bool = False) -> DataFrame:
@@ -262,11 +270,7 @@ def bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
             gc.enable()
             yield pa.RecordBatch.from_arrays(batch.columns[:len(kept)] + cols, names=schema.names)
         if release:
-            own.con.close()
-            _CODECS.clear()
-            del own
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+            free()
 
     return docs.select(*[docs[f.name] for f in kept], docs[text].cast("string").alias("__text")).mapInArrow(run, schema)
 

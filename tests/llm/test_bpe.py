@@ -64,3 +64,10 @@ def test_frame_with_odd_rows_and_clashing_columns(clash, reference):
 def test_empty_table(documents):
     got = bpe.bpe(documents.limit(0), PATH, PATTERN, keep=["doc_id"], keep_ids=False, keep_decoded=False)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() == 0
+
+
+def test_released_workers_encode_again(spark, reference):
+    """Many partitions through few workers, each freeing its codec."""
+    df = spark.createDataFrame([(i, f"text number {i} again") for i in range(60)], "doc_id long, text string").repartition(12)
+    got = bpe.bpe(df, PATH, PATTERN, release=True).collect()
+    assert sorted((r.doc_id, r.ids) for r in got) == [(i, reference.encode_ordinary(f"text number {i} again")) for i in range(60)]
