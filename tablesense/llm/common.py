@@ -80,7 +80,3 @@ def fold(col: str, mod: int, keep: int):
 def word_count(col):
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null counts 0."""
     return F.coalesce(F.regexp_count(col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-
-
-def join_path(base: str, name: str) -> str:
-    return os.path.join(base, name)

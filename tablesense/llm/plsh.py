@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import maybe_broadcast, small_batches, written
+from tablesense.llm.common import small_batches, written
 from tablesense.llm.components import connected_components
 from tablesense.llm.setjoin import U, mix
 
