@@ -32,8 +32,6 @@ MSG_SPATIAL = "Column '%s' may contain spatial data"
 MSG_CADASTRAL = "Column '%s' may contain cadastral information"
 # end of fixed values
 
-CHECK_SCHEMA = "table_name string, severity string, check string, detail string"
-
 
 def _check(cond: Column, severity: str, name: str, detail: Column) -> Column:
     return F.when(cond, F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("check"),

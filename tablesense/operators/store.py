@@ -22,8 +22,6 @@ from tablesense.operators import profile as P
 DEFAULT_TTL_SEC = 3600
 # end of fixed values
 
-STORE_SCHEMA = ("table_name string, mode string, content_hash string, analysis_type string, "
-                "written_at long, payload string")
 KEY = ["table_name", "mode", "content_hash", "analysis_type"]
 
 

@@ -1,9 +1,6 @@
 """Column/table profile: hand-computed fixtures (FIXTURES F5, F2) and properties."""
 
-from decimal import Decimal
-
 import pytest
-from pyspark.sql import functions as F
 
 from tablesense.operators import profile as P
 
