@@ -18,6 +18,7 @@ ARROW_ROWS = 1000
 # A frame of at most this many (id-sized) rows may be broadcast; a larger one
 # is joined by shuffle. The count is taken from the written table.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_NAMES = 50_000  # the same for rows that hold a host or source name
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

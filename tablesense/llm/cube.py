@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import maybe_broadcast, small_batches, word_count, written
+from tablesense.llm.common import BROADCAST_NAMES, maybe_broadcast, small_batches, word_count, written
 
 BLOCK = 512       # documents of one flight, about
 SPARE = 32        # the smallest documents of a block, left open to the next level
@@ -162,7 +162,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     slim = written(rows.groupBy(F.col("__h").alias("h"), src.alias("source")).agg(F.sum("size").alias("size")), "sizes")
     targets = written(source_targets(slim.select("source", "size"), tuple(weights), share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rates = maybe_broadcast(targets.select(F.col("source").alias("s"), "n", rate.alias("rate")))
+    rates = maybe_broadcast(targets.select(F.col("source").alias("s"), "n", rate.alias("rate")), limit=BROADCAST_NAMES)
     units = slim.join(rates, slim.source.eqNullSafe(F.col("s"))).select(
         "h", "source", "size", "n", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("pi"))
 
@@ -181,7 +181,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     extra = extra.withColumn("extra", F.lit(1))
     chosen = units.join(extra, (F.col("h") == F.col("eh")) & F.col("source").eqNullSafe(F.col("es")), "left").select(
         F.col("h").alias("__ch"), F.col("source").alias("__cs"), (F.col("base") + F.coalesce("extra", F.lit(0))).alias("copies"))
-    facts = maybe_broadcast(targets.select(F.col("source").alias("__s"), "source_size", "target"))
+    facts = maybe_broadcast(targets.select(F.col("source").alias("__s"), "source_size", "target"), limit=BROADCAST_NAMES)
     got = (rows.join(chosen, (F.col("__h") == F.col("__ch")) & src.eqNullSafe(F.col("__cs")))
            .join(facts, src.eqNullSafe(F.col("__s"))))
     return got.select(*[rows[c] for c in docs.columns if c not in named or c in (id_col, text, source)], F.col("size"),

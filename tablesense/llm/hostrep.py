@@ -12,7 +12,7 @@ Explicit rules (host, path) come first; the longest fitting one wins.
 Pages are counted per host by partial aggregation before any shuffle, so a
 host with a third of all pages costs one row per task. The verdict is joined
 back by host: broadcast when the written host table is at most
-``BROADCAST_ROWS`` rows, else by a shuffle join.
+``BROADCAST_NAMES`` rows, else by a shuffle join.
 
 Defined results: a null url or one without ``://`` has empty host and path,
 and is judged by the overall prior; repeated pages are each judged; several
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import maybe_broadcast, written
+from tablesense.llm.common import BROADCAST_NAMES, maybe_broadcast, written
 
 # Suffixes of more than one label, under which domains are registered.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
@@ -139,7 +139,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[Rule], p: Reputa
     seen = u.join(per_page, u.page_id == per_page.id, "left")
     outcomes = written(seen.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
                                                 F.coalesce(F.sum("good"), F.lit(0)).alias("good")), "hosts")
-    rep = maybe_broadcast(written(host_reputation(outcomes, p), "reputation"))
+    rep = maybe_broadcast(written(host_reputation(outcomes, p), "reputation"), limit=BROADCAST_NAMES)
     hit = matching_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") >= p.min_rate, "allow").otherwise("block")
     return (u.join(rep, "host").withColumn("hit", hit)
