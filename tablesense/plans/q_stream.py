@@ -28,7 +28,7 @@ def q_daily_rollup_stream(spark, sf_dir):
                                  scratch_path(spark, "rollup-ckpt"))
 
 
-@query("profile_stream", sql="""
+@query("profile_store_stream", sql="""
 SELECT 'doc_id' AS column_name, count(*) AS row_count, count(*) - count(doc_id) AS null_count, CAST(8 * count(*) AS BIGINT) AS byte_size,
   CAST(min(doc_id) AS DECIMAL(38,6)) AS min_num, CAST(max(doc_id) AS DECIMAL(38,6)) AS max_num, true AS near FROM documents
 UNION ALL SELECT 'text', count(*), count(*) - count(text), CAST(sum(strlen(text)) AS BIGINT), NULL, NULL, true FROM documents
@@ -36,7 +36,7 @@ UNION ALL SELECT 'lang', count(*), count(*) - count(lang), CAST(sum(strlen(lang)
 UNION ALL SELECT 'source', count(*), count(*) - count(source), CAST(sum(strlen(source)) AS BIGINT), NULL, NULL, true FROM documents
 UNION ALL SELECT 'n_chars', count(*), count(*) - count(n_chars), CAST(8 * count(*) AS BIGINT), CAST(min(n_chars) AS DECIMAL(38,6)),
   CAST(max(n_chars) AS DECIMAL(38,6)), true FROM documents""")
-def q_profile_stream(spark, sf_dir):
+def q_profile_store_stream(spark, sf_dir):
     """The profile merged from micro-batches; near: the merged distinct sketch
     is within 10 % of the exact count."""
     docs = load(spark, sf_dir, "documents")
