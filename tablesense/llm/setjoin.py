@@ -21,7 +21,8 @@ aggregation. In each other bucket all sets are compared with one pivot; after
 that only members of different components are left to compare. They meet in
 blocks of bounded size, where sketches of the sets (a byte per segment of a finer
 partition, which never rejects a similar pair) are compared in numpy; pairs that
-pass become rows. So a large group of near copies costs checks in proportion to
+pass become rows. Pairs with a pivot pass the same sketches before their texts
+are fetched. So a large group of near copies costs checks in proportion to
 its members, not its pairs.
 
 Checks compare whole sets of shingles. No cap on partners or candidates.
@@ -49,6 +50,7 @@ from tablesense.llm.components import connected_components
 
 CHECK_COST = 60.0   # checking a candidate, in index rows
 SHARED = 0.0005     # share of shingles that unrelated texts are taken to have in common
+BROADCAST_KEYS = 2_000_000  # 8-byte index keys of a broadcast; more are joined by shuffle
 BLOCK = 256         # members of a bucket that meet in one task at once, twice
 DELETED, VISITOR = 1, 2  # bits of an index row's role
 
@@ -377,6 +379,26 @@ def near_by_sketch(rows: DataFrame, p: int, q: int) -> DataFrame:
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
+def stars_by_sketch(stars: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
+    """Of pairs (pivot, node, guest: the node visits the pivot's band) those
+    (a, b) whose sizes and sketches allow the similarity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = [np.count_nonzero(np.frombuffer(x, dtype=np.uint8) != np.frombuffer(y, dtype=np.uint8))
+                     for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            near = np.array(apart, dtype=np.int64) <= (q - p) * n // (q + p)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    x = sketches.where("guest = 0").select(F.col("node").alias("pivot"), F.col("n").alias("np"), F.col("sketch").alias("xp"))
+    y = sketches.select(F.col("node").alias("yn"), F.col("guest").alias("yg"), F.col("n").alias("nn"), F.col("sketch").alias("xn"))
+    both = (stars.join(y.drop("xn"), (F.col("node") == F.col("yn")) & (F.col("guest") == F.col("yg"))).drop("yn", "yg")
+            .join(x.drop("xp"), "pivot").where((F.least("np", "nn") * q) >= F.greatest("np", "nn") * p).select("pivot", "node", "guest"))
+    full = (both.join(x, "pivot").join(y, (F.col("node") == F.col("yn")) & (F.col("guest") == F.col("yg")))
+            .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"), "np", "nn", "xp", "xn"))
+    return full.mapInArrow(run, "a long, b long").distinct()
+
+
 def links_of(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """Written links among candidate pairs (a, b) of nodes."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
@@ -417,12 +439,16 @@ def jaccard_join(docs: DataFrame, k: int, p: int, q: int, id_col: str = "doc_id"
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
         F.when(same, 0).otherwise(F.raise_error(F.lit("two sets share a 64-bit digest")).cast("int")).alias("sound")), "nodes")
     often = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "often")
-    held = written(index.join(maybe_broadcast(often, limit=200_000), "key").distinct(), "held")
+    held = written(index.join(maybe_broadcast(often, limit=BROADCAST_KEYS), "key").distinct(), "held")
     pivot = F.min(F.when(F.col("role") == 0, F.col("node")))
     pivots = written(held.groupBy("key").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1"), "pivots")
+    guest = F.col("role").bitwiseAND(F.lit(VISITOR)).cast("tinyint")
     stars = written(held.join(pivots.where("pivot IS NOT NULL").select("key", "pivot"), "key").where("node <> pivot").select(
-        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "stars")
-    links = links_of(stars, docs, reps, k, p, q)
+        "pivot", "node", guest.alias("guest")).distinct(), "stars")
+    nodes = stars.select("node").unionByName(stars.select(F.col("pivot").alias("node")))
+    sketches = written(sketch_table(fetch(docs, reps, nodes), k, plan), "star-sketches")
+    tried = written(stars_by_sketch(stars, sketches, p, q), "tried")
+    links = links_of(tried, docs, reps, k, p, q)
 
     group = written(connected_components(links), "groups")
     # The pivot has met all others: two sets are done with, three may not be.
@@ -433,7 +459,7 @@ def jaccard_join(docs: DataFrame, k: int, p: int, q: int, id_col: str = "doc_id"
     rest = written(blocks(member), "rest")
     sketches = written(sketch_table(fetch(docs, reps, rest.select("node")), k, plan), "sketches")
     rest = rest.join(sketches.withColumnRenamed("node", "sn"), (F.col("node") == F.col("sn")) & (F.col("role").bitwiseAND(F.lit(VISITOR)) == F.col("guest")))
-    pairs = written(near_by_sketch(rest, p, q).join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = written(near_by_sketch(rest, p, q).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(links_of(pairs, docs, reps, k, p, q))
 
     name = reps.select(F.col("node").alias("id"), "rep")
