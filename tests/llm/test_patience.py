@@ -78,3 +78,24 @@ def test_all_notice_lines_of_the_corpus_are_found(spark):
                            ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
                            ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0")):
             assert (line in r.text) == (name in names)
+
+
+def test_siblings_are_told_apart_and_other_licenses_named():
+    s = P.Scanner(P.TEMPLATES)
+    for text, name in (("Released under the BSD License", "BSD"), ("Released under the ISC License.", "ISC"), ("Licensed under CC BY-ND 4.0", "CC-BY-ND-4.0"),
+                       ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"), ("Licensed under CC BY 3.0", "CC-BY-3.0"),
+                       ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+                       ("This work is licensed under the GNU Affero General Public License, version 3", "AGPL-3.0"),
+                       ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0-notice"),
+                       ("x SPDX-License-Identifier: MIT-0", "MIT-0-spdx"), ("Licensed under CC0 1.0", "CC0-1.0"), ("Released under the Unlicense", "Unlicense")):
+        assert [m[0] for m in s.scan(text)] == [name], text
+    for text in ("Licensed under CC BY-XX 4.0", "Released under the Foo License", "Licensed under the Educational Community License, Version 2.0",
+                 "This work is licensed under the GNU General Public License, version 7"):
+        assert s.scan(text) == [], text
+    for name, t in P.TEMPLATES.items():  # every template finds itself, first
+        got = s.scan("some words before " + t + " and after")
+        assert got[0][:2] == (name, 1.0) or got[0][1] == 1.0 and len(P.words(P.TEMPLATES[got[0][0]])) >= len(P.words(t)), (name, got)
+        assert (name, 1.0) in [m[:2] for m in got]
+    three = P.TEMPLATES["BSD-3-Clause-numbered"]
+    assert s.scan(three)[0][0] == "BSD-3-Clause-numbered" and "BSD-2-Clause-body" not in {m[0] for m in s.scan(three)}
+    assert set(P.REQUIRED) <= set(P.TEMPLATES)
