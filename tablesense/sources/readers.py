@@ -37,21 +37,25 @@ def separator_of(first_line: Column) -> Column:
 
 
 def detect_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: path, sep, encoding, multiline. All bytes are looked
-    at, in one pass of the splittable text reader (its lines keep their bytes):
-    UTF-8 if every line is valid, else cp1251 unless a byte it lacks occurs,
-    else latin1. A line with an odd number of quotes means that a quoted field
-    holds a line break."""
+    """One row per file: path, sep, encoding, multiline, header (a key: files of
+    one key have the same header; the path where the header holds a line break).
+    All bytes are looked at, in one pass of the splittable text reader (its
+    lines keep their bytes): UTF-8 if every line is valid, else cp1251 unless a
+    byte it lacks occurs, else latin1. A line with an odd number of quotes means
+    that a quoted field holds a line break. The header is the first line that
+    is not blank."""
     raw = F.col("value").cast("binary")
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"), "value", F.is_valid_utf8("value").alias("utf8"),
         F.contains(raw, F.lit(CP1251_GAP)).alias("gap"), (quotes % 2 == 1).alias("open"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    filled = F.when(F.col("value").rlike(r"[^\x00-\x20]"), F.col("at"))
     f = lines.groupBy("path").agg(F.bool_and("utf8").alias("utf8"), F.bool_or("gap").alias("gap"), F.bool_or("open").alias("multiline"),
-                                  F.min_by("value", "at").alias("head"))
+                                  F.min_by("value", filled).alias("head"), F.min_by("open", filled).alias("cut"))
     return f.select("path", separator_of(F.col("head")).alias("sep"),
-                    F.when(F.col("utf8"), ENCODINGS[0]).when(~F.col("gap"), ENCODINGS[1]).otherwise(ENCODINGS[2]).alias("encoding"), "multiline")
+                    F.when(F.col("utf8"), ENCODINGS[0]).when(~F.col("gap"), ENCODINGS[1]).otherwise(ENCODINGS[2]).alias("encoding"), "multiline",
+                    F.when(F.col("cut"), F.col("path")).otherwise(F.coalesce("head", F.lit(""))).cast("binary").alias("header"))
 
 
 def _cp1251(df: DataFrame) -> DataFrame:
@@ -77,13 +81,14 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None,
              encoding: str | None = None) -> DataFrame:
     """CSV with header; all columns as text (no inference, so codes
     like '061001' keep their zeros). Separator, encoding and line breaks in
-    quotes are detected per file unless both are given; files that differ are
-    read apart and united by column name. Lines with too many or too few fields
+    quotes are detected per file unless both are given; files that differ, also
+    in their header, are read apart and united by column name. Lines with too many or too few fields
     are kept, their text in ``_corrupt_record`` (see ``corrupt_count``)."""
-    if sep is not None and encoding is not None:
-        return _read_csv(spark, [path], sep, encoding, False)
-    kinds = (detect_csv(spark, path).groupBy("sep", "encoding", "multiline").agg(F.collect_list("path").alias("paths")).collect())  # the file listing
-    parts = [_read_csv(spark, sorted(k["paths"]), sep or k["sep"], encoding or k["encoding"], k["multiline"]) for k in kinds]
+    both = sep is not None and encoding is not None
+    kinds = (detect_csv(spark, path).groupBy("sep", "encoding", "multiline", "header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+             .drop("header").collect())  # the file listing
+    parts = [_read_csv(spark, k["paths"], sep or k["sep"], encoding or k["encoding"], k["multiline"] and not both)
+             for k in sorted(kinds, key=lambda k: k["paths"])]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -61,6 +61,19 @@ def test_files_that_differ_are_read_apart(spark, tmp_dir):
     assert sorted(map(tuple, got)) == [("1", "2"), ("4", "\u0438")]
 
 
+def test_files_whose_headers_differ_are_united_by_name(spark, tmp_dir):
+    for name, text in (("1.csv", "a;b\n1;2\n"), ("2.csv", "b;a\n4;3\n"), ("3.csv", "a;b\n5;6\n"), ("4.csv", "\nc;b;a\n9;8;7\n")):
+        _write(f"{tmp_dir}/plain", name, text)
+    for name, text in (("1.csv", 'z;"x\ny"\n2;1\n'), ("2.csv", 'z;"x\nz"\n4;3\n')):
+        _write(f"{tmp_dir}/breaks", name, text)
+    for given in ({}, {"sep": ";", "encoding": "utf-8"}):
+        got = RD.read_csv(spark, f"{tmp_dir}/plain", **given)
+        rows = sorted((tuple(r) for r in got.select("a", "b", "c", RD.CORRUPT).collect()), key=str)
+        assert rows == [("1", "2", None, None), ("3", "4", None, None), ("5", "6", None, None), ("7", "8", "9", None)]
+    got = RD.read_csv(spark, f"{tmp_dir}/breaks").drop(RD.CORRUPT)
+    assert sorted((r["x\ny"] or "", r["x\nz"] or "", r["z"]) for r in got.collect()) == [("", "3", "4"), ("1", "", "2")]
+
+
 def test_admission_reads_sizes_and_first_lines(spark, tmp_dir):
     _write(tmp_dir, "a.csv", "a;b\n1;2\n")
     _write(tmp_dir, "b.csv", "")
