@@ -63,6 +63,11 @@ def q_csv_scan_detect(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _write_lines(lines: DataFrame, path: str) -> None:
+    """Lines of text, the only column, as they are; its name heads every file."""
+    lines.write.option("header", True).option("sep", "\x01").option("quote", "").csv(path)
+
+
 @query("corrupt_counts", sql="""
 SELECT 'csv' AS format, CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (WHERE o_orderkey % 7 = 0) AS BIGINT) AS corrupt, true AS hashed FROM orders
 UNION ALL SELECT 'json', CAST(count(*) AS BIGINT), CAST(count(*) FILTER (WHERE o_orderkey % 7 = 0) AS BIGINT), true FROM orders""")
@@ -71,11 +76,7 @@ def q_corrupt_counts(spark, sf_dir):
     silence."""
     od = load(spark, sf_dir, "orders")
     bad, key, base = F.col("o_orderkey") % 7 == 0, F.col("o_orderkey").cast("string"), scratch_path(spark, "broken")
-    head = spark.range(1).select(F.lit("a;b").alias("value"))
-    lines = od.select(F.concat(key, F.lit(";x"), F.when(bad, ";extra").otherwise("")).alias("value"))
-    # one file with its header first: the rows are ordered, so that line comes before them
-    rows = head.withColumn("n", F.lit(-1).cast("long")).unionAll(lines.withColumn("n", F.monotonically_increasing_id()))
-    rows.repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(f"{base}/csv")
+    _write_lines(od.select(F.concat(key, F.lit(";x"), F.when(bad, ";extra").otherwise("")).alias("a;b")), f"{base}/csv")
     od.select(F.concat(F.lit('{"a": '), key, F.when(bad, "").otherwise(', "b": "x"}')).alias("value")).write.text(f"{base}/json")
     reads = {"csv": RD.read_csv(spark, f"{base}/csv"),
              "json": RD.read_json(spark, f"{base}/json", schema=f"a long, b string, {RD.CORRUPT} string")}

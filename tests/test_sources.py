@@ -74,6 +74,19 @@ def test_files_whose_headers_differ_are_united_by_name(spark, tmp_dir):
     assert sorted((r["x\ny"] or "", r["x\nz"] or "", r["z"]) for r in got.collect()) == [("", "3", "4"), ("1", "", "2")]
 
 
+def test_corrupt_lines_are_written_in_parallel_with_a_header_each(spark, tmp_dir):
+    from tablesense.plans.q_ingest import _write_lines
+    lines = spark.range(0, 40, 1, 4).select(F.concat("id", F.lit(';"x'), F.when(F.col("id") % 7 == 0, ";e").otherwise(";"), F.lit('"')).alias("a;b"))
+    _write_lines(lines, tmp_dir)
+    texts = [open(f"{tmp_dir.removeprefix('file:')}/{f}").read().splitlines() for f in os.listdir(tmp_dir.removeprefix("file:")) if f.endswith(".csv")]
+    assert len(texts) == 4 and all(x[0] == "a;b" for x in texts)
+    assert sorted(y for x in texts for y in x[1:]) == sorted(r[0] for r in lines.collect())
+    lines = spark.range(0, 40, 1, 4).select(F.concat("id", F.lit(";x"), F.when(F.col("id") % 7 == 0, ";e").otherwise("")).alias("a;b"))
+    _write_lines(lines, f"{tmp_dir}/more")
+    c = RD.corrupt_count(RD.read_csv(spark, f"{tmp_dir}/more")).first()
+    assert (c["records"], c["corrupt"]) == (40, 6)
+
+
 def test_admission_reads_sizes_and_first_lines(spark, tmp_dir):
     _write(tmp_dir, "a.csv", "a;b\n1;2\n")
     _write(tmp_dir, "b.csv", "")
