@@ -237,6 +237,21 @@ def q_xml_scan(spark, sf_dir):
     return RD.without_corrupt(RD.read_xml(spark, path, "item")).select(*ORDER_COLS)
 
 
+@query("xml_corrupt_counts", sql="""
+SELECT CAST(count(*) + 9 AS BIGINT) AS records, CAST(3 AS BIGINT) AS corrupt, CAST(count(*) + 6 AS BIGINT) AS kept, true AS hashed FROM orders""")
+def q_xml_corrupt_counts(spark, sf_dir):
+    """The orders beside three files of two items and a cut one: what the XML
+    queries leave out (``without_corrupt``) is what is counted."""
+    path = scratch_path(spark, "broken-xml")
+    load(spark, sf_dir, "orders").select(*ORDER_COLS).write.format("xml") \
+        .option("rowTag", "item").option("rootTag", "root").save(path)
+    item = "<item>" + "".join(f"<{c}>0</{c}>" for c in ORDER_COLS) + "</item>"
+    spark.range(0, 3, 1, 3).select(F.lit(f"<root>{item}{item}<item><o_orderkey>1").alias("value")).write.mode("append").text(path)
+    df = RD.read_xml(spark, path, "item")
+    return RD.corrupt_count(df).crossJoin(RD.without_corrupt(df).agg(F.count("o_orderkey").alias("kept"))).select(
+        F.col("records").cast("long").alias("records"), F.col("corrupt").cast("long").alias("corrupt"), "kept", (F.length("content_hash") > 0).alias("hashed"))
+
+
 @query("xml_cadastral", sql=CAD_SQL)
 def q_xml_cadastral(spark, sf_dir):
     cad = RD.cadastral_projection(_cadastral_xml(spark, sf_dir))

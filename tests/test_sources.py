@@ -114,6 +114,15 @@ def test_xml_truncated_file(spark, tmp_dir):
     assert all(r["latitude"] == "55.7" for r in xy)
 
 
+def test_xml_query_counts_broken_items(spark):
+    from tablesense.plans.catalog import load
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    n = load(spark, sf, "orders").count()
+    r = E.queries()["xml_corrupt_counts"](spark, sf).first()
+    assert (r["records"], r["corrupt"], r["kept"]) == (n + 9, 3, n + 6)
+
+
 def test_coordinates_not_a_pair(spark):
     df = spark.createDataFrame([("POINT 1",), ("55.7, 37.6",)], "coordinates string")
     out = {r["coordinates"]: r for r in RD.split_coordinates(df).collect()}
