@@ -1,7 +1,8 @@
 """Exact deduplication with streaming state (operator 9), DataFrames only.
 
 1. Every row is reduced to an arrival: the digest of its (normalised) text,
-   its stable identifier and its content locator (file and place in it).
+   its stable identifier and its content locator (file and row number of the
+   scan, not a place in the file; it is stored but never read).
    Arrivals are written to the shared folder.
 2. A Structured Streaming query reads the arrivals and keeps, per digest, a
    RocksDB-backed state without expiry: the identifier and locator of the row
