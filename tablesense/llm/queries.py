@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesense.llm import bpe, chat, cube, exactdedup, fm, hostrep, langid, patience, plsh, setjoin
+from tablesense.llm import bpe, chat, cube, exactdedup, fm, hostrep, langid, patience, plsh, resample, setjoin, variants, warc
 from tablesense.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,3 +236,91 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text with the public multilingual ranks."""
     path, pattern = bpe.public_vocabulary()
     return bpe.bpe(read(spark, sf_dir, "documents"), path, pattern, keep_ids=False, keep_decoded=False, keep=["doc_id"])
+
+
+# -- 11: WARC ------------------------------------------------------------------------------
+
+
+@query("op11_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT *, strlen(h)::BIGINT AS n, max(page_id) OVER (PARTITION BY h) AS top, count(*) OVER (PARTITION BY h) AS same,
+  row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS r FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN n >= 1000 AND same > 1 AND r > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND same > 1 AND r > 1 THEN top END AS refers_to FROM g""")
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page, read the archives back, and say what each record holds."""
+    pages = read(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    return warc.round_trip(pages).select(
+        F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+# -- 12: importance resampling -----------------------------------------------------------------
+
+# crc32 in SQL: the table of the reflected polynomial, applied byte by byte.
+CRC_TABLE = """crc AS (SELECT list(list_reduce([b, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tab
+  FROM (SELECT range AS b FROM range(256)))"""
+
+
+def _crc(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes; crc.tab must be in scope."""
+    data = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+RESAMPLE_SQL = f"""
+WITH {CRC_TABLE},
+w AS (SELECT 'd' AS side, doc_id AS id, rowid AS row, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM documents_r
+  UNION ALL SELECT 'b', NULL, rowid, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark_r),
+fs AS (SELECT f, {_crc("f")} % 10000 AS b FROM (SELECT DISTINCT f FROM w), crc),
+n AS (SELECT b, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM w JOIN fs USING (f) GROUP BY b),
+sums AS (SELECT sum(s)::DOUBLE AS ss, sum(t)::DOUBLE AS tt FROM n),
+gain AS (SELECT b, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::BIGINT AS g FROM n, sums),
+d AS (SELECT row, count(*) AS n_features, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight
+  FROM w JOIN fs USING (f) JOIN gain USING (b) WHERE side = 'd' GROUP BY row),
+sc AS (SELECT r.doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, r.rowid AS row,
+    ('0x' || substr(sha256('2024:' || coalesce(r.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM documents_r r LEFT JOIN d ON d.row = r.rowid),
+sd AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM sc),
+rk AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, row) AS rank, count(*) OVER () AS n FROM sd WHERE n_features >= 20)
+SELECT sd.doc_id, n_features, weight, score, CASE WHEN rk.rank <= 10 * rk.n // 100 THEN rk.rank END::BIGINT AS rank
+FROM sd LEFT JOIN rk USING (row)""".replace("WITH crc", """WITH documents_r AS (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents),
+benchmark_r AS (SELECT row_number() OVER () AS rowid, text FROM benchmark),
+crc""", 1)
+
+
+@query("op12_resample", RESAMPLE_SQL)
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw 10 % of the documents of 20 words or more, towards the benchmark's words."""
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=10, least_words=20, seed=2024,
+                             buckets=10_000, max_n=1).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# -- 13: spelling variants ---------------------------------------------------------------------
+
+VARIANTS_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT i, run, count(*) AS n FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS i, {LOWER.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} AS run FROM documents) GROUP BY ALL),
+h AS (SELECT run, n, {_crc("x")} AS h FROM (SELECT run, n, i || ':' || run AS x FROM r), crc),
+e AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+k AS MATERIALIZED (SELECT DISTINCT word, n, u.i, substr(word, 1, u.i) || substr(word, u.i + 2) AS cut FROM v, unnest(range(length(word))) AS u(i)),
+p AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT v.word, v.n, k.word, k.n FROM v JOIN k ON k.cut = v.word
+  UNION SELECT k.word, k.n, v.word, v.n FROM v JOIN k ON k.cut = v.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, row(-near_n, near)) AS best, max(near_n) AS best_n FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+  FROM v LEFT JOIN b USING (word)),
+c(word, root) AS (SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.root FROM f JOIN c USING (word) JOIN f AS z ON z.word = c.root AND z.form IS NULL"""
+
+
+@query("op13_spelling_variants", VARIANTS_SQL)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts, one run in 97 cut by a letter, with their near words, forms and roots."""
+    return variants.spelling_variants(read(spark, sf_dir, "documents"), least_length=5, least_count=3, ratio=2, drop_every=97).select(
+        "word", "form", "root", "n", "n_near", "form_n")
