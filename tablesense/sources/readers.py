@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesense.sources import records as RC
+
 # ---------------------------------------------------------------------------
 # Candidate separators and encodings, in the reference's order.
 # ---------------------------------------------------------------------------
@@ -58,22 +60,33 @@ def detect_csv(spark: SparkSession, path: str) -> DataFrame:
                     F.when(F.col("cut"), F.col("path")).otherwise(F.coalesce("head", F.lit(""))).cast("binary").alias("header"))
 
 
+def _cp1251_letters() -> tuple[str, str]:
+    """The characters numbered as cp1251's bytes, and the letters they stand for."""
+    chars = [(chr(b), bytes([b]).decode("cp1251", "ignore")) for b in range(128, 256)]
+    old, new = ("".join(x) for x in zip(*[(a, b) for a, b in chars if b], strict=True))
+    return old, new
+
+
 def _cp1251(df: DataFrame) -> DataFrame:
     """Columns and names of a latin1 read as cp1251: every byte has become the
     character of its number, which a translation turns into the letter."""
-    chars = [(chr(b), bytes([b]).decode("cp1251", "ignore")) for b in range(128, 256)]
-    old, new = ("".join(x) for x in zip(*[(a, b) for a, b in chars if b], strict=True))
+    old, new = _cp1251_letters()
     out = df.select(*[F.translate(F.col(f"`{c}`"), old, new).alias(c) for c in df.columns])
     return out.toDF(*[c.translate(str.maketrans(old, new)) for c in df.columns])
 
 
 def _read_csv(spark: SparkSession, paths: list[str], sep: str, encoding: str, multiline: bool) -> DataFrame:
-    r = (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-              .option("encoding", "UTF-8" if encoding == ENCODINGS[0] else "ISO-8859-1").option("multiLine", multiline)
-              .option("mode", "PERMISSIVE").option("enforceSchema", True).option("columnNameOfCorruptRecord", CORRUPT))
-    names = r.csv(paths[0]).columns  # the header
+    latin = encoding != ENCODINGS[0]
+    fields = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    r = spark.read.options(**fields).option("header", True).option("encoding", "ISO-8859-1" if latin else "UTF-8").option("enforceSchema", True)
+    names = r.option("multiLine", multiline).csv(paths[0]).columns  # the header
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
-    df = r.schema(schema).csv(paths)
+    if multiline:  # line breaks in quotes: records are cut by all tasks that have a split
+        rows = RC.csv_records(spark, paths, "ISO-8859-1" if latin else None).where(~F.col("first"))
+        ddl = ", ".join(f"`{c.replace('`', '``')}` string" for c in schema.names)
+        df = rows.select(F.from_csv("value", ddl, fields).alias("r")).select("r.*")
+    else:
+        df = r.schema(schema).csv(paths)
     return _cp1251(df) if encoding == ENCODINGS[1] else df
 
 
@@ -87,31 +100,49 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None,
     both = sep is not None and encoding is not None
     kinds = (detect_csv(spark, path).groupBy("sep", "encoding", "multiline", "header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
              .drop("header").collect())  # the file listing
+    if not kinds:  # no file has a line
+        return spark.createDataFrame([], T.StructType([T.StructField(CORRUPT, T.StringType())]))
     parts = [_read_csv(spark, k["paths"], sep or k["sep"], encoding or k["encoding"], k["multiline"] and not both)
              for k in sorted(kinds, key=lambda k: k["paths"])]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _parse(records: DataFrame, reader, method: str) -> DataFrame:
+    """Records (one text each) read by Spark's parser of a format, which finds
+    the schema of all of them if none is given."""
+    jvm = records.sparkSession._jvm
+    texts = getattr(records.select("value")._jdf, "as")(jvm.org.apache.spark.sql.Encoders.STRING())
+    return reader._df(getattr(reader._jreader, method)(texts))
+
+
 def read_json(spark: SparkSession, path: str, multiline: bool = False,
               schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON Lines (splittable) or, with ``multiline``, one document per
-    file (an array of objects or one object; one task per file)."""
-    r = spark.read.option("multiLine", multiline).option("mode", "PERMISSIVE")
+    """JSON Lines or, with ``multiline``, files that each hold an array
+    of objects, one object, or objects on end, in any layout. Either way a file
+    is read by as many tasks as it has splits. What is no object goes to
+    ``_corrupt_record``; a file that holds a scalar is an error."""
+    r = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     if schema is not None:
         r = r.schema(schema)
-    return r.json(path)
+    return _parse(RC.json_records(spark, path), r, "json") if multiline else r.json(path)
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str = "item",
-             schema: T.StructType | str | None = None) -> DataFrame:
+             schema: T.StructType | str | None = None, encoding: str = ENCODINGS[0]) -> DataFrame:
     """One row per ``row_tag`` element, attributes as ``_attr``
     fields, repeated children as arrays. Values stay text unless a schema
-    is given; broken records go to ``_corrupt_record``."""
-    r = (spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False)
+    is given. Records are cut out of the text before they are parsed, so a broken
+    one goes to ``_corrupt_record`` and its neighbours are read. Row elements
+    do not nest; an end tag of theirs in a comment or CDATA section breaks its
+    record. ``encoding``: one of ``ENCODINGS``."""
+    r = (spark.read.option("rowTag", row_tag).option("inferSchema", False)
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
     if schema is not None:
         r = r.schema(schema)
-    return r.load(path)
+    records = RC.xml_records(spark, path, row_tag, None if encoding == ENCODINGS[0] else "ISO-8859-1")
+    if encoding == ENCODINGS[1]:
+        records = records.withColumn("value", F.translate("value", *_cp1251_letters()))
+    return _parse(records, r, "xml")
 
 
 def without_corrupt(df: DataFrame) -> DataFrame:
