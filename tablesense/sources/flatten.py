@@ -101,13 +101,22 @@ def json_columns(df: DataFrame, profile: DataFrame, table: str) -> list[str]:
 
 def flatten_all(df: DataFrame, sep: str = "_") -> DataFrame:
     """Structs become columns and arrays of structs rows, at any depth,
-    until only scalars and lists of scalars are left. ``<column>_index`` keeps
-    the place of each exploded element."""
+    until only scalars and lists of scalars are left. Every element of every
+    array is one row: arrays that stand side by side do not multiply, a row of
+    one has nulls for the others. What stands outside the arrays is repeated.
+    ``<column>_index`` keeps the place of each exploded element; a record
+    whose arrays are all empty is one row."""
     while True:
         df = flatten_structs(df, sep)
-        nested = next((f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)
-                       and isinstance(f.dataType.elementType, (T.StructType, T.ArrayType))), None)
-        if nested is None:
+        nested = [f for f in df.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.StructType, T.ArrayType))]
+        if not nested:
             return df
-        others = [F.col(_q(c)) for c in df.columns if c != nested]
-        df = df.select(*others, F.posexplode_outer(F.col(_q(nested))).alias(f"{nested}{sep}index", nested))
+
+        def rows(own: T.StructField):
+            """The elements of one array, in its columns; those of the others are null."""
+            return F.transform(F.coalesce(F.col(_q(own.name)), F.array().cast(own.dataType)), lambda e, i: F.struct(*[c for f in nested for c in (
+                (i if f is own else F.lit(None)).cast("int").alias(f"{f.name}{sep}index"),
+                (e if f is own else F.lit(None).cast(f.dataType.elementType)).alias(f.name))]))
+
+        names = {f.name for f in nested}
+        df = df.select(*[F.col(_q(c)) for c in df.columns if c not in names], F.inline_outer(F.concat(*[rows(f) for f in nested])))

@@ -163,43 +163,65 @@ def corrupt_count(df: DataFrame) -> DataFrame:
                   F.coalesce(F.sum(F.when(~bad, h)), F.lit(0)).cast("string").alias("content_hash"))
 
 
-def find_field(schema: T.StructType, name: str, path: str = "") -> str | None:
-    """SQL path of the first field called ``name`` in document order (a field
-    before its children, children before what follows). Arrays of structs are
-    entered; the path then yields the first element that is there."""
-    for f in schema.fields:
-        p = f"{path}.`{f.name}`" if path else f"`{f.name}`"
-        if f.name == name:
-            return p
-        inner, at = f.dataType, p
-        while isinstance(inner, T.ArrayType):
-            inner, at = inner.elementType, f"get(filter({at}, e -> e IS NOT NULL), 0)"
-        if isinstance(inner, T.StructType) and (hit := find_field(inner, name, at)):
-            return hit
-    return None
+def find_field(schema: T.StructType, name: str) -> Column | None:
+    """Text of the first field called ``name`` that a row holds, wherever it
+    is: all places of the name in the schema are tried, a field before its
+    children, children before what follows, and the elements of an array one
+    after the other; the first that is not null wins. Of an element
+    with attributes or children it is the text among them. None if the schema
+    has no such field."""
+
+    def text(dt: T.DataType, c: Column) -> Column | None:
+        """The text of the named field itself."""
+        if isinstance(dt, T.ArrayType):
+            return first(dt, c, text)
+        if isinstance(dt, T.StructType):
+            return c["_VALUE"].cast("string") if "_VALUE" in dt.names else None
+        return c.cast("string")
+
+    def within(dt: T.DataType, c: Column) -> Column | None:
+        """The named field within a value."""
+        if isinstance(dt, T.ArrayType):
+            return first(dt, c, within)
+        if not isinstance(dt, T.StructType):
+            return None
+        found = [x for f in dt.fields for x in ([text(f.dataType, c.getField(f.name))] if f.name == name else []) + [within(f.dataType, c.getField(f.name))]]
+        found = [x for x in found if x is not None]
+        return F.coalesce(*found) if found else None
+
+    def first(dt: T.ArrayType, c: Column, what) -> Column | None:
+        if what(dt.elementType, F.lit(None)) is None:
+            return None
+        return F.get(F.filter(F.transform(c, lambda e: what(dt.elementType, e)), lambda v: v.isNotNull()), 0)
+
+    tops = [x for f in schema.fields for x in ([text(f.dataType, _col(f.name))] if f.name == name else []) + [within(f.dataType, _col(f.name))]]
+    tops = [x for x in tops if x is not None]
+    return F.coalesce(*tops) if tops else None
+
+
+def _col(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def cadastral_projection(df: DataFrame) -> DataFrame:
-    """The eight cadastral fields wherever they sit; ``area`` as a
+    """The eight cadastral fields wherever a record holds them; ``area`` as a
     number when it parses, with its text kept."""
     cols = []
     for name in CADASTRAL_FIELDS:
-        p = find_field(df.schema, name)
-        c = F.expr(p) if p else F.lit(None)
+        found = find_field(df.schema, name)
+        c = F.lit(None).cast("string") if found is None else found
         if name == "area":
-            cols.append(F.expr(f"try_cast({p} AS DOUBLE)").alias("area") if p
-                        else F.lit(None).cast("double").alias("area"))
-            cols.append(c.cast("string").alias("area_text"))
+            cols += [c.try_cast("double").alias("area"), c.alias("area_text")]
         else:
-            cols.append(c.cast("string").alias(name))
+            cols.append(c.alias(name))
     return df.select(*cols)
 
 
 def split_coordinates(df: DataFrame) -> DataFrame:
-    """The first coordinate-like field; 'a,b' gives latitude and
+    """The first coordinate-like field with a text; 'a,b' gives latitude and
     longitude text, anything else goes to ``coordinates_raw``."""
-    paths = [p for p in (find_field(df.schema, t) for t in COORDINATE_TAGS) if p]
-    raw = F.coalesce(*[F.expr(p).cast("string") for p in paths]) if paths else F.lit(None)
+    found = [F.nullif(c, F.lit("")) for c in (find_field(df.schema, t) for t in COORDINATE_TAGS) if c is not None]
+    raw = F.coalesce(*found) if found else F.lit(None).cast("string")
     pair = raw.contains(",")
     parts = F.split(raw, ",")
     return df.select("*",

@@ -208,7 +208,7 @@ def _json_counts(pieces: DataFrame) -> DataFrame:
 
 def json_records(spark: SparkSession, path) -> DataFrame:
     """path, value: the objects of JSON files, each an array of objects, one
-    object, or objects on end. What stands between them is a record of its own
+    object, or several of either on end. What stands between them is a record of its own
     (which will not parse). A file that holds another value is an error."""
     counted = _json_counts(_pieces(spark, path, "}"))
 
@@ -249,7 +249,7 @@ def json_records(spark: SparkSession, path) -> DataFrame:
     splits = _splits(sums.withColumn("base", F.when(array, 1).otherwise(0)).withColumn("unsure", F.lit(False)), "}")
     cut = _cut(counted, splits, b"}", True, b"}").select("path", F.col("value").cast("string").alias("value"))
     # Around objects stand white space, commas and the brackets of the array.
-    before = F.regexp_replace(F.regexp_extract("value", r"(?s)^([^{]*)", 1), r"^[\s,\x{FEFF}]*\[?[\s,]*", "")
+    before = F.regexp_replace(F.regexp_extract("value", r"(?s)^([^{]*)", 1), r"^[\s,\x{FEFF}]*\]?[\s,]*\[?[\s,]*", "")
     rest = F.regexp_extract("value", r"(?s)^[^{]*(.*)$", 1)
     parts = F.array(F.regexp_replace(before, F.when(rest == "", r"[\s,]*\]?\s*\z").otherwise(r"[\s,]+\z"), F.lit("")), rest)
     return cut.select("path", F.explode(parts).alias("value")).where("value <> ''")

@@ -147,7 +147,7 @@ def test_list_policy_keeps_all_elements(spark):
 
 def test_fields_are_found_in_arrays_and_document_order(spark):
     df = spark.createDataFrame([([(None,), ("7",)], ("8",))], "parts array<struct<cad_number:string>>, late struct<cad_number:string>")
-    assert RD.cadastral_projection(df).first()["cad_number"] is None  # of the first element that is there
+    assert RD.cadastral_projection(df).first()["cad_number"] == "7"  # of the first element that has it
     df = spark.createDataFrame([([None, ("7",)], ("8",))], df.schema)
     assert RD.cadastral_projection(df).first()["cad_number"] == "7"
 
@@ -186,3 +186,45 @@ def test_format_detect_and_first_line(spark):
                                 "f string, l string")
     assert [r[0] for r in chk.select(FL.first_line_ok(F.col("f"), F.col("l"))).collect()] == \
         [True, False, True, False]
+
+
+def test_fields_that_move_from_record_to_record(spark):
+    rows = [((1.5, None), None, None), (None, ("2", None), None), (None, None, [(None,), ("3",), ("4",)]), (None, None, [])]
+    df = spark.createDataFrame(rows, "p struct<area:double, status:string>, q struct<area:string, status:string>, r array<struct<area:string>>")
+    got = RD.cadastral_projection(df).collect()
+    assert [(r["area"], r["area_text"]) for r in got] == [(1.5, "1.5"), (2.0, "2"), (3.0, "3"), (None, None)]
+    df = spark.createDataFrame([("", ("x", ["", "1, 2"])), (None, (None, None))], "coordinates string, location struct<_VALUE:string, coord:array<string>>")
+    got = RD.split_coordinates(df).collect()
+    assert [(r["latitude"], r["coordinates_raw"]) for r in got] == [(None, "x"), (None, None)]  # '' counts as absent; 'coord' begins with ''
+    df = spark.createDataFrame([(("x", [None, "1, 2"]),)], "location struct<_VALUE:string, coord:array<string>>")
+    assert RD.split_coordinates(df).first()["longitude"] == "2"
+
+
+def test_sibling_arrays_do_not_multiply(spark):
+    df = spark.createDataFrame([(1, [(i,) for i in range(4)], [("a", [(j,) for j in range(i)]) for i in range(5)], [7, 8]), (2, None, [], None)],
+                               "k long, a array<struct<x:int>>, b array<struct<y:string, c:array<struct<z:int>>>>, l array<int>")
+    got = FT.flatten_all(df)
+    assert got.columns == ["k", "l", "a_index", "a_x", "b_index", "b_y", "b_c_index", "b_c_z"]
+    rows = [tuple(r) for r in got.collect()]
+    one = [r[2:] for r in rows if r[0] == 1]
+    assert sorted(r for r in one if r[0] is not None) == [(i, i, None, None, None, None) for i in range(4)]
+    b = [r for r in one if r[2] is not None]
+    assert len(one) == 4 + 1 + 1 + 2 + 3 + 4 and sorted(b, key=str) == sorted(
+        [(None, None, 0, "a", None, None)] + [(None, None, i, "a", j, j) for i in range(5) for j in range(i)], key=str)
+    assert [r for r in rows if r[0] == 2] == [(2, None, None, None, None, None, None, None)]
+    assert all(r[1] == [7, 8] for r in rows if r[0] == 1)
+
+
+def test_archive_keeps_days_and_batches(spark, tmp_dir):
+    from tablesense.sources import sinks as SK
+    path = f"{tmp_dir}/archive"
+    put = lambda rows, batch: SK.archive_partitioned(spark.createDataFrame(rows, "ts string, v int").selectExpr("try_cast(ts AS timestamp) AS ts", "v"), "ts", path, batch)
+    put([("2024-01-01", 1), ("2024-01-03", 3), (None, 9)], "a*1")
+    put([("2024-01-02", 2), ("2024-01-01", 4)], "b")
+    put([("2024-01-02", 5)], "a*2")
+    read = lambda: sorted((r["day"] or 0, r["batch"], r["v"]) for r in spark.read.parquet(path).collect())
+    assert read() == [(0, "a*1", 9), (1, "a*1", 1), (1, "b", 4), (2, "a*2", 5), (2, "b", 2), (3, "a*1", 3)]
+    put([("2024-01-02", 2), ("2024-01-01", 4)], "b")  # again
+    assert len(read()) == 6
+    put([("2024-01-01", 1), ("2024-01-04", 6)], "a*1")  # again, corrected
+    assert read() == [(1, "a*1", 1), (1, "b", 4), (2, "a*2", 5), (2, "b", 2), (4, "a*1", 6)]
