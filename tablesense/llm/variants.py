@@ -43,11 +43,13 @@ from pyspark.sql import functions as F
 from tablesense.llm.common import maybe_broadcast, small_batches, written
 
 PATTERN = "[A-Za-zÀ-ÿ]+"
-GROUPS = 16           # letter groups, the levels of the trie
-NODE = 4_000          # words of a top node held by one block
+GROUPS = 12           # letter groups, the levels of the trie
+TOP = 6               # levels of the shuffle key at most (43 questions a word); larger nodes are dealt into blocks
+NODE = 40_000         # words of a top node held by one block
 ASKED = 100_000       # questions put to one block
-LEAF = 12             # a branch of so few words is a leaf
-PAIRS = 200_000       # question-word pairs verified at once
+LEAF = 6              # a branch of so few words is a leaf
+BLOCK = 100_000       # question-branch pairs expanded at once
+PAIRS = 400_000       # question-word pairs verified at once
 TABLE_WORDS = 400_000  # counted words of one task before they are flushed
 WHOLE = 1_000_000     # texts up to so many letters are cut into words at once
 
@@ -125,8 +127,10 @@ def near_keys(vector: list[Column]) -> Column:
 
 
 class Trie:
-    """Words of one block, sorted by frequency vector: the words below a
-    branch are a range of rows, its children the runs of the next count."""
+    """Words of one block, sorted by frequency vector: a branch is a range of
+    rows, and its children are the runs of the next count in it. ``starts[l]``
+    has the first row of every branch at level l, ``keys[l]`` its parent and
+    its count in one number."""
 
     def __init__(self, words: list[str], n: np.ndarray, group_of: np.ndarray, groups: int):
         self.groups, self.group_of = groups, group_of
@@ -134,62 +138,84 @@ class Trie:
         vec = self.vectors(flat, size)
         order = np.lexsort(vec.T[::-1])
         self.flat, self.at, self.size, self.vec, self.n = flat, at[order], size[order], vec[order], n[order]
+        self.edges = edges(self.flat, self.at, self.size)
         self.words = [words[i] for i in order]
         self.rank = np.empty(len(words), np.int64)  # place in code-point order
         self.rank[sorted(range(len(words)), key=self.words.__getitem__)] = np.arange(len(words))
+        self.wide = int(self.vec.max(initial=0)) + 4  # counts of a branch's children, with room on either side
+        self.starts, self.keys = [np.array([0, len(words)])], [np.zeros(0, np.int64)]
+        new = np.zeros(len(words), bool)
+        new[0] = True
+        for level in range(groups):
+            parent = np.cumsum(new) - 1
+            col = self.vec[:, level]
+            new = new | np.concatenate([[False], col[1:] != col[:-1]])
+            first = np.flatnonzero(new)
+            self.starts.append(np.append(first, len(words)))
+            self.keys.append(np.append(parent[first] * self.wide + col[first] + 1, [np.iinfo(np.int64).max] * 3))
 
     def vectors(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
         row = np.repeat(np.arange(len(size)), size)
-        return np.bincount(row * self.groups + self.group_of[flat], minlength=len(size) * self.groups).reshape(len(size), self.groups).astype(np.int32)
+        return np.bincount(row * self.groups + self.group_of[flat], minlength=len(size) * self.groups).reshape(len(size), self.groups)
 
     def ask(self, words: list[str], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each asked word: the number of near words, and count and row of
         the best (largest count, then first in code-point order; row -1: none).
         All words of the block share their first ``depth`` counts."""
-        flat, at, size = letters(words)
-        vec = self.vectors(flat, size)
-        near, best_n, best = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+        asked = letters(words)
+        asked = *asked, edges(*asked)
+        vec = self.vectors(asked[0], asked[2])
+        answer = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
         top = self.vec[0, :depth] - vec[:, :depth]
         up, down = np.maximum(top, 0).sum(1), np.maximum(-top, 0).sum(1)
         q = np.flatnonzero((up <= 1) & (down <= 1))
-        stack = [(depth, 0, len(self.words), q, up[q], down[q])]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        stack = [(depth, q, np.zeros(len(q), np.int64), up[q], down[q])]
         while stack:
-            level, lo, hi, q, up, down = stack.pop()
-            if level == self.groups or hi - lo <= LEAF:
-                step = max(1, PAIRS // (hi - lo))
-                for i in range(0, len(q), step):  # a leaf of equal vectors may be large
-                    for j in range(lo, hi, PAIRS):
-                        rows = np.arange(j, min(hi, j + PAIRS))
-                        qs, ws = np.repeat(q[i:i + step], len(rows)), np.tile(rows, len(q[i:i + step]))
-                        if level < self.groups:  # the budget of the levels not walked
-                            d = self.vec[ws, level:] - vec[qs, level:]
-                            ok = ((np.maximum(d, 0).sum(1) + np.repeat(up[i:i + step], len(rows)) <= 1)
-                                  & (np.maximum(-d, 0).sum(1) + np.repeat(down[i:i + step], len(rows)) <= 1))
-                            qs, ws = qs[ok], ws[ok]
-                        found.append((qs, ws))
-                        held += len(qs)
-                        if held >= PAIRS:
-                            self._settle(found, flat, at, size, near, best_n, best)
-                            found, held = [], 0
+            level, q, node, up, down = stack.pop()
+            if len(q) > BLOCK:  # the later part waits
+                stack.append((level, q[BLOCK:], node[BLOCK:], up[BLOCK:], down[BLOCK:]))
+                q, node, up, down = q[:BLOCK], node[:BLOCK], up[:BLOCK], down[:BLOCK]
+            lo, hi = self.starts[level][node], self.starts[level][node + 1]
+            leaf = (hi - lo <= LEAF) | (level == self.groups)
+            if leaf.any():
+                self._leaves(level, vec, asked, q[leaf], lo[leaf], hi[leaf], up[leaf], down[leaf], answer)
+                go = ~leaf
+                q, node, up, down = q[go], node[go], up[go], down[go]
+            if not len(q):
                 continue
-            col = self.vec[lo:hi, level]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(col)) + 1, [hi - lo]])
-            asked = vec[q, level]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                d = col[a] - asked
-                ok = ((d == 0) | ((d == 1) & (up == 0)) | ((d == -1) & (down == 0)))
-                if ok.any():
-                    stack.append((level + 1, lo + a, lo + b, q[ok], (up + (d == 1))[ok], (down + (d == -1))[ok]))
-        self._settle(found, flat, at, size, near, best_n, best)
-        return near, best_n, best
-
-    def _settle(self, found, flat, at, size, near, best_n, best) -> None:
+            keys = self.keys[level + 1]
+            want = node * self.wide + np.minimum(vec[q, level], self.wide - 2) + 1
+            at = np.searchsorted(keys, want - 1)  # children with one letter less, as many, one more
+            less = keys[at] == want - 1
+            same = keys[at + less] == want
+            more = keys[at + less + same] == want + 1
+            ways = [(less & (down == 0), at, 0, 1), (same, at + less, 0, 0), (more & (up == 0), at + less + same, 1, 0)]
+            stack.append((level + 1, *(np.concatenate(x) for x in zip(*[(q[ok], child[ok], up[ok] + u, down[ok] + d) for ok, child, u, d in ways], strict=True))))
+        return answer
+
+    def _leaves(self, level, vec, asked, q, lo, hi, up, down, answer) -> None:
+        """The words of leaf branches: the budget of the levels not walked, then the letters."""
+        ends = np.cumsum(hi - lo)
+        i = 0
+        while i < len(q):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, side="right")))
+            size = hi[i:j] - lo[i:j]
+            each = np.repeat(np.arange(i, j), size)
+            qs, ws = q[each], np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[each]
+            if level < self.groups:
+                d = self.vec[ws, level:] - vec[qs, level:]
+                total = d.sum(1)  # surplus less deficit
+                gone = np.abs(d).sum(1)  # surplus and deficit
+                ok = (up[each] + (gone + total) // 2 <= 1) & (down[each] + (gone - total) // 2 <= 1)
+                qs, ws = qs[ok], ws[ok]
+            self._settle(qs, ws, asked, *answer)
+            i = j
+
+    def _settle(self, q, w, asked, near, best_n, best) -> None:
         """Verify pairs and add them to the answers."""
-        if not found:
-            return
-        q, w = (np.concatenate(x) for x in zip(*found, strict=True))
+        flat, at, size, edge = asked
+        ok = share_an_end(edge[0][q] ^ self.edges[0][w], edge[1][q] ^ self.edges[1][w], np.minimum(size[q], self.size[w]))
+        q, w = q[ok], w[ok]
         ok = one_apart(flat, at[q], size[q], self.flat, self.at[w], self.size[w])
         q, w = q[ok], w[ok]
         near += np.bincount(q, minlength=len(near))
@@ -209,6 +235,24 @@ def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, np.cumsum(size) - size, size
 
 
+def edges(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first three letters of each word and the last three, from the outer
+    one, as numbers (of shorter words they run into the next)."""
+    first, last = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for k in range(3 if len(flat) else 0):
+        first = (first << np.uint64(16)) | flat[np.minimum(at + k, len(flat) - 1)]
+        last = (last << np.uint64(16)) | flat[np.maximum(at + size - 1 - k, 0)]
+    return first, last
+
+
+def share_an_end(first: np.ndarray, last: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """False only for words more than one edit apart, of the bits that differ in
+    their ends: an edit leaves the first or the last two letters alone if
+    both words have four or more, three if they have six or more."""
+    cut = np.where(short >= 6, 0, 16).astype(np.uint64)
+    return (first >> cut == 0) | (last >> cut == 0) | (short < 4)
+
+
 def one_apart(fa, a, la, fb, b, lb) -> np.ndarray:
     """Whether words (letters fa, beginnings a, lengths la) and (fb, b, lb)
     differ by exactly one inserted, deleted or replaced letter: all but one
@@ -232,29 +276,28 @@ def one_apart(fa, a, la, fb, b, lb) -> np.ndarray:
     return ok & (long - pre - suf == 1)
 
 
-def choose_depth(words: DataFrame, vector: list[Column], node: int) -> int:
+def choose_depth(vectors: DataFrame, groups: int, node: int) -> int:
     """Fewest top levels with which a word shares its node with ``node`` words on average."""
-    own = written(words.groupBy(*[c.alias(f"c{j}") for j, c in enumerate(vector)]).count(), "vectors")
-    total = words.count()
-    for depth in range(1, len(vector)):
+    own = written(vectors.groupBy(*[f"c{j}" for j in range(groups)]).count(), "vector-counts")
+    total = vectors.count()
+    most = min(TOP, groups)
+    for depth in range(1, most):
         sizes = own.groupBy(*[f"c{j}" for j in range(depth)]).agg(F.sum("count").cast("double").alias("n"))
         if (sizes.agg(F.sum(F.col("n") * F.col("n")).alias("s")).first()["s"] or 0.0) <= node * max(total, 1):
             return depth
-    return len(vector)
+    return most
 
 
 def near_words(words: DataFrame, node: int = NODE, asked: int = ASKED, groups: int = GROUPS) -> DataFrame:
     """word, n_near, best (word), best_n of the words (word, n) with a near one."""
     spark = words.sparkSession
     groups_ = letter_groups(words, groups)
-    vector = counts(F.col("word"), groups_)
-    depth = choose_depth(words, vector, node)
-    top = vector[:depth]
+    words = written(words.select("word", "n", *[c.alias(f"c{j}") for j, c in enumerate(counts(F.col("word"), groups_))]), "vectors")
+    depth = choose_depth(words, groups, node)
+    top = [F.col(f"c{j}") for j in range(depth)]
 
     # Top nodes: words, questions, and so the blocks of either.
-    own = words.groupBy(*[c.alias(f"c{j}") for j, c in enumerate(top)]).agg(F.count(F.lit(1)).alias("n"))
-    cols = [F.col(f"c{j}") for j in range(depth)]
-    homes = written(own.withColumn("key", key_of(cols)).withColumn("near", near_keys(cols)), "nodes")
+    homes = written(words.groupBy(*top).agg(F.count(F.lit(1)).alias("n")).withColumn("key", key_of(top)).withColumn("near", near_keys(top)), "nodes")
     heard = homes.select(F.explode("near").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("q"))
     blocks = written(homes.select("key", "n").join(heard, "key").select(
         "key", F.ceil(F.col("n") / node).cast("int").alias("wb"), F.ceil(F.col("q") / asked).cast("int").alias("qb")), "blocks")

@@ -62,7 +62,7 @@ def texts(seed=5):
     return [*rows, (None, rows[0][1]), (7, None), (8, "")] + [rows[3]] * 4
 
 
-@pytest.mark.parametrize("node,asked,every", [(4_000, 100_000, None), (3, 40, 5)])
+@pytest.mark.parametrize("node,asked,every", [(4_000, 100_000, None), (8, 40, 5)])
 def test_equals_brute_force(spark, monkeypatch, node, asked, every):
     monkeypatch.setattr(V, "LEAF", 2)
     monkeypatch.setattr(V, "PAIRS", 500)
