@@ -47,7 +47,9 @@ COLUMN_PROFILE_SCHEMA = (
     "table_name string, ordinal int, column_name string, spark_type string, kind string, "
     "from_struct boolean, row_count long, null_count long, distinct_count long, min_value string, "
     "max_value string, min_num double, max_num double, byte_size long, numeric_hit boolean, "
-    "nested_hit boolean, timestamp_ok boolean, ts_min timestamp_ntz, ts_max timestamp_ntz, f32_err double"
+    "nested_hit boolean, timestamp_ok boolean, ts_min timestamp_ntz, ts_max timestamp_ntz, f32_err double, "
+    # of texts: bits of the date forms that all values have, and the range if days come first
+    "date_forms int, day_min timestamp_ntz, day_max timestamp_ntz"
 )
 _FIELDS = [tuple(f.split()) for f in COLUMN_PROFILE_SCHEMA.split(", ")]
 
@@ -119,7 +121,7 @@ def _sql_lit(v) -> str:
 
 _CHUNK = 8  # columns of one aggregate: its fields stay below the code generation limit
 _NONE = {"min_value": "STRING", "max_value": "STRING", "min_num": "DOUBLE", "max_num": "DOUBLE",
-         "ts_min": "TIMESTAMP_NTZ", "ts_max": "TIMESTAMP_NTZ", "f32_err": "DOUBLE"}
+         "ts_min": "TIMESTAMP_NTZ", "ts_max": "TIMESTAMP_NTZ", "f32_err": "DOUBLE", "date_forms": "INT", "day_min": "TIMESTAMP_NTZ", "day_max": "TIMESTAMP_NTZ"}
 SKETCH_LG = 12  # 1.6 % relative error
 
 
@@ -150,13 +152,15 @@ def _measures(path: str, dt: T.DataType, distinct: str) -> tuple[dict[str, str],
         out |= {"min_value": iso.replace("{}", lo), "max_value": iso.replace("{}", hi), "timestamp_ok": "{n} > 0", "ts_min": lo, "ts_max": hi}
     elif kind == "string":
         num = V.NUMERIC_STRING_PATTERN.replace("\\", "\\\\")
-        parsed, form = f"p_{path}", f"f_{path}"  # of the projection below
+        k, a, b = f"k_{path}", f"a_{path}", f"b_{path}"  # of the projections below
+        form = V.date_forms_sql(path, k, a, b)
         agg |= {"lo": f"min({path})", "hi": f"max({path})",  # a look at the first character spares most texts the patterns
                 "hit": f"bool_or(left({path}, 1) IN ('-', '.', '0', '1', '2', '3', '4', '5', '6', '7', '8', '9') AND {path} RLIKE '{num}')",
                 "js": f"bool_or(contains({path}, '{{') OR contains({path}, '['))",
-                "p": f"count({parsed})", "t0": f"min({parsed})", "t1": f"max({parsed})", "f0": f"min({form})", "f1": f"max({form})"}
+                "t0": f"min({a})", "t1": f"max({a})", "d0": f"min(coalesce({b}, {a}))", "d1": f"max(coalesce({b}, {a}))", "f": f"bit_and({form})"}
         out |= {"min_value": "{lo}", "max_value": "{hi}", "numeric_hit": "coalesce({hit}, false)", "nested_hit": "coalesce({js}, false)",
-                "timestamp_ok": "{n} > 0 AND {p} = {n} AND {f0} = {f1}", "ts_min": "{t0}", "ts_max": "{t1}"}
+                "timestamp_ok": "{n} > 0 AND {f} <> 0", "date_forms": "{f}", "day_min": "{d0}", "day_max": "{d1}",
+                "ts_min": f"if({V.day_first_sql('{f}')}, {{d0}}, {{t0}})", "ts_max": f"if({V.day_first_sql('{f}')}, {{d1}}, {{t1}})"}
     if width is not None:
         out["byte_size"] = f"{{rows}} * {width}"
     elif kind == "string" or isinstance(dt, T.BinaryType):
@@ -177,12 +181,12 @@ def _table_measures(table: str, df: DataFrame, distinct: str) -> list[DataFrame]
     leaves = list(enumerate(leaf_paths(df.schema), 1))
     parts = []
     for lo in range(0, len(leaves), _CHUNK):
-        aggs, rows, cols = ["count(1) AS rows"], [], []
+        aggs, rows, cols, dates = ["count(1) AS rows"], [], [], ["*"]
         for i, (name, path, dt, from_struct) in leaves[lo:lo + _CHUNK]:
             cols.append(f"{path} AS c{i}")
-            if kind_of(dt) == "string":  # texts that begin with no digit are spared the patterns
-                cols += [f"CASE WHEN left({path}, 1) BETWEEN '0' AND '9' THEN {e} END AS {n}_c{i}"
-                         for n, e in (("p", V.parsed_sql(path)), ("f", V.date_form_sql(path)))]
+            if kind_of(dt) == "string":
+                cols.append(f"{V.date_kind_sql(path)} AS k_c{i}")
+                dates += [f"{V.date_sql(f'c{i}', f'k_c{i}')} AS a_c{i}", f"{V.day_first_date_sql(f'c{i}', f'k_c{i}')} AS b_c{i}"]
             agg, out = _measures(f"c{i}", dt, distinct)
             aggs += [f"{e} AS {k}_{i}" for k, e in agg.items()]
             names = {k: f"{k}_{i}" for k in agg} | {"rows": "rows"}
@@ -191,7 +195,7 @@ def _table_measures(table: str, df: DataFrame, distinct: str) -> list[DataFrame]
                  **{k: e.format(**names) for k, e in out.items()}}
             fields = [*_FIELDS, ("sketch", "binary")] if distinct == "sketch" else _FIELDS
             rows.append("named_struct(" + ", ".join(f"'{k}', CAST({f[k]} AS {t})" for k, t in fields) + ")")
-        parts.append(df.selectExpr(*cols).selectExpr(*aggs).selectExpr("inline(array(" + ", ".join(rows) + "))"))
+        parts.append(df.selectExpr(*cols).selectExpr(*dates).selectExpr(*aggs).selectExpr("inline(array(" + ", ".join(rows) + "))"))
     return parts
 
 
@@ -316,6 +320,12 @@ def distinct_ratio() -> Column:
     return F.when(F.col("row_count") > 0, F.col("distinct_count") / F.col("row_count"))
 
 
+def date_form() -> Column:
+    """Name of the form of a text column's dates; of two, if the values fit either reading."""
+    names = [F.when(F.col("date_forms").bitwiseAND(bit) != 0, name) for name, bit in V.FORMS.items()]
+    return F.when(F.col("date_forms").isNotNull(), F.concat_ws(" or ", *names))
+
+
 def column_flags(cp: DataFrame, mode: str = "intended") -> DataFrame:
     """Per-column booleans that the table flags are ``bool_or`` of."""
     cp = with_narrowed(cp)
@@ -355,6 +365,7 @@ def column_flags(cp: DataFrame, mode: str = "intended") -> DataFrame:
               .withColumn("is_unique_id", F.coalesce(id_col, F.lit(False)))
               .withColumn("is_range_candidate", F.coalesce(range_candidate, F.lit(False)))
               .withColumn("is_nested", nested)
+              .withColumn("date_form", F.when(F.col("is_temporal"), date_form()))
               .withColumn("range_min", range_min)
               .withColumn("range_max", range_max)
               .withColumn("lower_name", F.lower(name)))

@@ -345,8 +345,13 @@ SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS IN
   CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total
 FROM orders GROUP BY 1, 2, 3""")
 def q_archive_partitioned(spark, sf_dir):
-    path = scratch_path(spark, "orders-archive")
-    SK.archive_partitioned(load(spark, sf_dir, "orders"), "o_orderdate", path)
+    """Three runs: early orders; a batch with late ones of a day in the archive,
+    with rows and days that do not belong to it; that batch again, corrected."""
+    path, od = scratch_path(spark, "orders-archive"), load(spark, sf_dir, "orders")
+    year, late = F.year("o_orderdate"), (F.year("o_orderdate") == 1994) & (F.col("o_orderkey") % 3 == 2)
+    SK.archive_partitioned(od.where((year <= 1994) & ~late), "o_orderdate", path, "early")
+    SK.archive_partitioned(od.where((year == 1994) | ((year == 1993) & (F.month("o_orderdate") == 5))), "o_orderdate", path, "rest")
+    SK.archive_partitioned(od.where((year > 1994) | late | year.isNull()), "o_orderdate", path, "rest")
     back = spark.read.parquet(path)
     return back.groupBy(*[F.col(c).cast("int").alias(c) for c in ("year", "month", "day")]).agg(
         F.count(F.lit(1)).cast("long").alias("n"), F.sum("o_orderkey").cast("long").alias("keys"),

@@ -264,7 +264,10 @@ def _temporal_inputs(spark, sf_dir) -> dict[str, DataFrame]:
                          .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("o_orderdate"))
     return {"orders_text_dates": od, "events": load(spark, sf_dir, "events"), "orders_dotted": form("dd.MM.yyyy"),
             "orders_slashed": form("yyyy/MM/dd HH:mm"), "orders_offsets": mixed,
-            "orders_two_forms": form("dd.MM.yyyy").unionAll(form("yyyy-MM-dd"))}
+            "orders_two_forms": form("dd.MM.yyyy").unionAll(form("yyyy-MM-dd")), "orders_month_first": form("MM/dd/yyyy"),
+            "orders_day_first": form("dd/MM/yyyy HH:mm"), "orders_dashed": form("dd-MM-yyyy"), "orders_named": form("MMMM d, yyyy").unionAll(form("dd MMM yyyy")),
+            "orders_either": dated.where(F.dayofmonth("o_orderdate") <= 12).select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("o_orderdate")),
+            "orders_neither": form("MM/dd/yyyy").unionAll(form("dd/MM/yyyy"))}
 
 
 _TEMPORAL_SQL_SRC = {
@@ -276,6 +279,12 @@ _TEMPORAL_SQL_SRC = {
                       "ELSE 'Z' END AS o_orderdate FROM orders)",
     "orders_two_forms": "(SELECT strftime(o_orderdate, '%d.%m.%Y') AS o_orderdate FROM orders "
                         "UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders)",
+    "orders_month_first": "(SELECT strftime(o_orderdate, '%m/%d/%Y') AS o_orderdate FROM orders)",
+    "orders_day_first": "(SELECT strftime(o_orderdate, '%d/%m/%Y %H:%M') AS o_orderdate FROM orders)",
+    "orders_dashed": "(SELECT strftime(o_orderdate, '%d-%m-%Y') AS o_orderdate FROM orders)",
+    "orders_named": "(SELECT strftime(o_orderdate, '%B %-d, %Y') AS o_orderdate FROM orders UNION ALL SELECT strftime(o_orderdate, '%d %b %Y') FROM orders)",
+    "orders_either": "(SELECT strftime(o_orderdate, '%d/%m/%Y') AS o_orderdate FROM orders WHERE day(o_orderdate) <= 12)",
+    "orders_neither": "(SELECT strftime(o_orderdate, '%m/%d/%Y') AS o_orderdate FROM orders UNION ALL SELECT strftime(o_orderdate, '%d/%m/%Y') FROM orders)",
 }
 
 
@@ -298,11 +307,11 @@ TEMPORAL_CTES = ("WITH cp0 AS (\n" + _temporal_cp_sql() + "\n), cp AS (" + G.nar
 
 
 @query("temporal_columns", sql=TEMPORAL_CTES + f"""
-SELECT table_name, ordinal, column_name, is_temporal, {sql_iso('ts_min')} AS ts_min,
+SELECT table_name, ordinal, column_name, is_temporal, CASE WHEN is_temporal THEN date_forms END AS date_form, {sql_iso('ts_min')} AS ts_min,
   {sql_iso('ts_max')} AS ts_max FROM cf""")
 def q_temporal_columns(spark, sf_dir):
     cf = P.column_flags(P.catalog_column_profile(_temporal_inputs(spark, sf_dir), "none"))
-    return cf.select("table_name", "ordinal", "column_name", "is_temporal",
+    return cf.select("table_name", "ordinal", "column_name", "is_temporal", "date_form",
                      iso("ts_min").alias("ts_min"), iso("ts_max").alias("ts_max"))
 
 

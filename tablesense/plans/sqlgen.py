@@ -51,17 +51,30 @@ def _column_select(table: str, ordinal: int, col: str, kind: str, width: int | N
                   f"THEN try_cast(regexp_replace({c}, '{off}', '') AS TIMESTAMP) - {away} ELSE try_cast(regexp_replace({c}, 'Z$', '') AS TIMESTAMP) END "
                   f"WHEN regexp_matches({c}, '{DOT_RE}') THEN try_cast(regexp_replace({c}, '{DOT_RE}', '\\3-\\2-\\1\\4') AS TIMESTAMP) "
                   f"WHEN regexp_matches({c}, '{SLASH_RE}') THEN try_cast(regexp_replace({c}, '{SLASH_RE}', '\\1-\\2-\\3\\4') AS TIMESTAMP) END")
-        form = (f"CASE WHEN regexp_matches({c}, '{ISO_RE}') THEN 1 WHEN regexp_matches({c}, '{DOT_RE}') THEN 2 "
-                f"WHEN regexp_matches({c}, '{SLASH_RE}') THEN 3 ELSE 0 END")
+        # All values in one form: each form is tried on the whole column.
+        def tried(guard: str, *days: str) -> str:
+            formats = ", ".join(f"'{d}{t}'" for d in days for t in ("", " %H:%M", " %H:%M:%S"))
+            return f"CASE WHEN regexp_matches({c}, '{guard}') THEN try_strptime({c}, [{formats}]) END"
+        old = lambda pattern: f"CASE WHEN regexp_matches({c}, '{pattern}') THEN {parsed} END"
+        md, dm = tried("^[0-9]{1,2}/", "%m/%d/%Y"), tried("^[0-9]{1,2}/", "%d/%m/%Y")
+        mdd, dmd = tried("^[0-9]{1,2}-", "%m-%d-%Y"), tried("^[0-9]{1,2}-", "%d-%m-%Y")
+        named = tried("[A-Za-z]{3} ?", "%d %b %Y", "%d-%b-%Y", "%b %d, %Y", "%B %d, %Y", "%d %B %Y")
+        month, day = f"coalesce({parsed}, {md}, {mdd}, {named})", f"coalesce({parsed}, {dm}, {dmd}, {named})"
+        every = lambda x: f"count({x}) = count({c})"
         hit = f"coalesce(bool_or(regexp_matches({c}, '{NUM_RE}')), false)"
-        ts_ok = f"(count({c}) > 0 AND count({parsed}) = count({c}) AND count(DISTINCT {form}) FILTER (WHERE {c} IS NOT NULL) = 1)"
-        tmin, tmax = f"min({parsed})", f"max({parsed})"
+        forms = {"y-m-d": old(ISO_RE), "d.m.y": old(DOT_RE), "y/m/d": old(SLASH_RE), "m/d/y": md, "d/m/y": dm, "m-d-y": mdd, "d-m-y": dmd, "month name": named}
+        ts_ok = f"(count({c}) > 0 AND ({' OR '.join(every(x) for x in forms.values())}))"
+        turned = f"(NOT {every(md)} AND {every(dm)} OR NOT {every(mdd)} AND {every(dmd)})"
+        tmin, tmax = (f"CASE WHEN {turned} THEN {f}({day}) ELSE {f}({month}) END" for f in ("min", "max"))
+        names = "concat_ws(' or ', " + ", ".join(f"CASE WHEN {every(x)} THEN '{n}' END" for n, x in forms.items()) + ")"
     elif kind == "timestamp":
         hit, ts_ok = "false", f"(count({c}) > 0)"
         tmin, tmax = f"min({c})", f"max({c})"
     else:
         hit, ts_ok = "false", "false"
         tmin = tmax = "CAST(NULL AS TIMESTAMP)"
+    if kind != "string":
+        names = "CAST(NULL AS VARCHAR)"
     err = (f"max(abs(CAST(CAST({c} AS FLOAT) AS DOUBLE) - CAST({c} AS DOUBLE)))"
            if num else "CAST(NULL AS DOUBLE)")
     return (
@@ -70,7 +83,7 @@ def _column_select(table: str, ordinal: int, col: str, kind: str, width: int | N
         f"CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count, {mn} AS min_value, {mx} AS max_value, "
         f"{mnn} AS min_num, {mxn} AS max_num, CAST({byte_size} AS BIGINT) AS byte_size, "
         f"{hit} AS numeric_hit, {ts_ok} AS timestamp_ok, {tmin} AS ts_min, {tmax} AS ts_max, "
-        f"{err} AS f32_err FROM {q(table)}"
+        f"{err} AS f32_err, {names} AS date_forms FROM {q(table)}"
     )
 
 

@@ -59,10 +59,14 @@ def profile_stream(spark: SparkSession, stream: DataFrame, table: str, out: str,
 def merge_profiles(parts: DataFrame) -> DataFrame:
     """One profile row per column from profiles of disjoint parts of a table."""
     some = F.col("row_count") > F.col("null_count")
+    date_forms = F.bit_and(F.when(some, F.col("date_forms")))  # the forms that the values of all parts have
+    day = (date_forms.bitwiseAND(24) == 16) | (date_forms.bitwiseAND(96) == 64)
     return parts.groupBy("table_name", "ordinal", "column_name", "kind").agg(
         *[F.sum(c).cast("long").alias(c) for c in ("row_count", "null_count", "byte_size")],
         F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch", F.lit(True))), F.lit(0)).alias("distinct_estimate"),
         F.min("min_num").alias("min_num"), F.max("max_num").alias("max_num"),
-        F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"),
+        date_forms.alias("date_forms"), F.min("day_min").alias("day_min"), F.max("day_max").alias("day_max"),
+        F.when(day, F.min("day_min")).otherwise(F.min("ts_min")).alias("ts_min"),
+        F.when(day, F.max("day_max")).otherwise(F.max("ts_max")).alias("ts_max"),
         F.bool_or("numeric_hit").alias("numeric_hit"), F.bool_or("nested_hit").alias("nested_hit"),
-        F.coalesce(F.bool_and(F.when(some, F.col("timestamp_ok"))), F.lit(False)).alias("timestamp_ok"))
+        F.coalesce(F.when(F.col("kind") == "string", date_forms != 0).otherwise(F.bool_and(F.when(some, F.col("timestamp_ok")))), F.lit(False)).alias("timestamp_ok"))

@@ -163,6 +163,30 @@ def test_date_forms_and_offsets(spark):
     assert (got["off"]["ts_min"], got["off"]["ts_max"]) == (dt.datetime(2024, 1, 1, 7), dt.datetime(2024, 1, 1, 8))
 
 
+def test_date_forms_are_decided_by_the_column(spark):
+    import datetime as dt
+    cols = {"us": ["01/31/2024", "02/03/2024"], "eu": ["31/01/2024 10:05", "02/03/2024"], "either": ["01/02/2024", "03/04/2024"], "neither": ["01/31/2024", "31/01/2024"],
+            "dash": ["28-2-2024", "1-2-2024"], "name": ["Jan 31, 2024", "1 february 2024"], "none": ["Jan 32, 2024", "Marc 3, 2024"], "bad": ["02/30/2024", "30/02/2024"]}
+    df = spark.createDataFrame([(*r, None) for r in zip(*cols.values(), strict=True)] + [(None,) * 9], ", ".join(f"{c} string" for c in [*cols, "gone"]))
+    got = {r["column_name"]: r for r in P.column_flags(P.column_profile(df, "t", "none")).collect()}
+    assert {c: r["date_form"] for c, r in got.items()} == {
+        "us": "m/d/y", "eu": "d/m/y", "either": "m/d/y or d/m/y", "neither": None, "dash": "d-m-y", "name": "month name", "none": None, "bad": None, "gone": None}
+    assert got["us"]["ts_max"] == dt.datetime(2024, 2, 3) and got["eu"]["ts_max"] == dt.datetime(2024, 3, 2) and got["eu"]["ts_min"] == dt.datetime(2024, 1, 31, 10, 5)
+    assert got["either"]["ts_max"] == dt.datetime(2024, 3, 4) and got["dash"]["ts_min"] == dt.datetime(2024, 2, 1) and got["name"]["ts_max"] == dt.datetime(2024, 2, 1)
+
+
+def test_parts_agree_on_a_date_form(spark):
+    """A part whose values fit both readings follows one whose values do not."""
+    import datetime as dt
+    from tablesense.streaming.jobs import merge_profiles
+    parts = [["01/02/2024", "05/04/2024"], ["31/12/2023"], [None]]
+    cps = [P.column_profile(spark.createDataFrame([(v,) for v in p], "d string"), "t", "sketch") for p in parts]
+    r = merge_profiles(cps[0].unionByName(cps[1]).unionByName(cps[2])).first()
+    assert r["timestamp_ok"] and (r["ts_min"], r["ts_max"]) == (dt.datetime(2023, 12, 31), dt.datetime(2024, 4, 5))
+    us = P.column_profile(spark.createDataFrame([("12/31/2023",)], "d string"), "t", "sketch")
+    assert not merge_profiles(cps[0].unionByName(cps[1]).unionByName(us)).first()["timestamp_ok"]
+
+
 def test_auto_counts_decide_like_exact_ones(spark):
     """On tables too large for the small-table way: every flag is the same."""
     n = 40_000
