@@ -348,10 +348,12 @@ def q_archive_partitioned(spark, sf_dir):
     """Three runs: early orders; a batch with late ones of a day in the archive,
     with rows and days that do not belong to it; that batch again, corrected."""
     path, od = scratch_path(spark, "orders-archive"), load(spark, sf_dir, "orders")
-    year, late = F.year("o_orderdate"), (F.year("o_orderdate") == 1994) & (F.col("o_orderkey") % 3 == 2)
-    SK.archive_partitioned(od.where((year <= 1994) & ~late), "o_orderdate", path, "early")
-    SK.archive_partitioned(od.where((year == 1994) | ((year == 1993) & (F.month("o_orderdate") == 5))), "o_orderdate", path, "rest")
-    SK.archive_partitioned(od.where((year > 1994) | late | year.isNull()), "o_orderdate", path, "rest")
+    path, od = scratch_path(spark, "orders-archive"), load(spark, sf_dir, "orders")
+    year, month = F.year("o_orderdate"), F.month("o_orderdate")
+    late, last = (year == 2000) & (month == 6) & (F.col("o_orderkey") % 3 == 2), year > 2000
+    SK.archive_partitioned(od.where(~(last | late) | year.isNull()), "o_orderdate", path, "early", tasks=16)
+    SK.archive_partitioned(od.where(last | ((year == 2000) & (month >= 5))), "o_orderdate", path, "rest", tasks=16)
+    SK.archive_partitioned(od.where(last | late), "o_orderdate", path, "rest", tasks=16)
     back = spark.read.parquet(path)
     return back.groupBy(*[F.col(c).cast("int").alias(c) for c in ("year", "month", "day")]).agg(
         F.count(F.lit(1)).cast("long").alias("n"), F.sum("o_orderkey").cast("long").alias("keys"),
