@@ -35,11 +35,17 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by 80 % or more of their five-word shingles the smallest
-    doc_id stays; rows without identifier link with nothing and stay."""
-    classes = setjoin.jaccard_join(docs, k=5, p=80, q=100)
+    """Of texts linked by 80 % or more of their five-word shingles the one with
+    the smallest doc_id stays. Rows are told apart by doc_id; where several
+    rows have one, or none has, by a negative number made from doc_id and text,
+    so each of them is judged on its own text (and stands before the others)."""
+    several = written(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__several"), F.lit(True).alias("__many")), "repeated-ids")
+    own = F.bitwise_not(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))  # below zero
+    row = F.when(F.col("__many"), own).otherwise(F.col("doc_id").cast("long"))
+    told = docs.join(maybe_broadcast(several), docs.doc_id.eqNullSafe(F.col("__several")), "left").withColumn("__row", row)
+    classes = setjoin.jaccard_join(told.select("__row", "text"), k=5, p=80, q=100, id_col="__row")
     gone = written(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
-    return docs.join(maybe_broadcast(gone), docs.doc_id == gone.gone, "left_anti").select(*docs.columns)
+    return told.join(maybe_broadcast(gone), F.col("__row") == F.col("gone"), "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
