@@ -55,3 +55,13 @@ def test_odd_rows_and_empty_table(spark, documents, empty):
     got = C.run(spark, path).collect()
     assert (not got) == empty
     assert all(r.n_tokens == len(r.ids) for r in got)
+
+
+def test_repeated_identifiers_keep_unrelated_texts(spark):
+    """Rows that share an identifier, or have none, are judged each on its text."""
+    a = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, a), (5, a + " end"), (5, "an unrelated text of some length that nothing else is like"), (None, a + " other"), (None, "one more text without any copy among them all"), (9, "plain")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.text for r in C.near_stage(spark, docs, "").collect()]
+    assert len(kept) == 4 and sum(t.startswith("w0 ") for t in kept) == 1
+    assert {t for t in kept if not t.startswith("w0 ")} == {t for _, t in rows if not t.startswith("w0 ")}
