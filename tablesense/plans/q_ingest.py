@@ -125,6 +125,38 @@ def q_json_string_expand(spark, sf_dir):
     return FT.expand_json_string(ev, "props")
 
 
+@query("json_string_rows", sql="""
+SELECT o_orderkey, CAST(i AS INTEGER) AS a_index, CAST(o_custkey + i AS BIGINT) AS a_c, CASE WHEN i = 0 THEN o_orderstatus END AS a_s
+FROM orders, range(0, 2) t(i) WHERE i < o_orderkey % 3
+UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 3 = 0""")
+def q_json_string_rows(spark, sf_dir):
+    """A text column of JSON arrays of objects becomes rows."""
+    od = load(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "to_json(filter(array(named_struct('c', o_custkey, 's', o_orderstatus, 'i', 0), named_struct('c', o_custkey + 1, 's', CAST(NULL AS STRING), 'i', 1)), "
+        "x -> x.i < o_orderkey % 3)) AS a")
+    return FT.expand_json_string(od, "a").select("o_orderkey", "a_index", "a_c", "a_s")
+
+
+@query("json_string_map", sql="""
+SELECT o_orderkey, 'k' || o_orderkey AS key, o_orderstatus AS value FROM orders""")
+def q_json_string_map(spark, sf_dir):
+    """A text column of JSON objects whose keys are values becomes a map."""
+    od = load(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.create_map(F.concat(F.lit("k"), "o_orderkey"), "o_orderstatus")).alias("a"))
+    return FT.expand_json_string(od, "a").select("o_orderkey", F.explode("a").alias("key", "value"))
+
+
+@query("json_array_scan", sql="""
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment FROM customer""")
+def q_json_array_scan(spark, sf_dir):
+    """Customers as JSON arrays of a hundred, several in a file, laid out over
+    lines; read by all tasks that have a split."""
+    path = scratch_path(spark, "customer-arrays")
+    one = F.regexp_replace(F.to_json(F.struct("c_custkey", "c_name", "c_nationkey", "c_mktsegment")), '","', '",\n  "')
+    arrays = load(spark, sf_dir, "customer").groupBy((F.col("c_custkey") / 100).cast("long")).agg(F.collect_list(one).alias("l"))
+    arrays.select(F.concat(F.lit("[\n"), F.array_join("l", " ,\n"), F.lit("]"))).write.text(path)
+    return RD.read_json(spark, path, multiline=True).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
 @query("array_explode", sql="""
 SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos,
   unnest(embedding) AS value FROM embeddings""")
@@ -165,13 +197,15 @@ def q_list_policy(spark, sf_dir):
 
 
 @query("flatten_all", sql="""
-SELECT o_orderkey, CAST(i AS INTEGER) AS s_index, CAST(i AS INTEGER) AS s_n, CAST(j AS INTEGER) AS s_t_index, CAST(i * 10 + j AS INTEGER) AS s_t_v, o_orderstatus AS h_st
-FROM orders, range(0, 2) a(i), range(0, 2) b(j)""")
+SELECT o_orderkey, CAST(i AS INTEGER) AS s_index, CAST(i AS INTEGER) AS s_n, CAST(j AS INTEGER) AS s_t_index, CAST(i * 10 + j AS INTEGER) AS s_t_v, o_orderstatus AS h_st,
+  CAST(NULL AS INTEGER) AS u_index, CAST(NULL AS VARCHAR) AS u_w FROM orders, range(0, 2) a(i), range(0, 2) b(j)
+UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, o_orderstatus, CAST(i AS INTEGER), o_orderpriority FROM orders, range(0, 3) c(i)""")
 def q_flatten_all(spark, sf_dir):
-    """A struct beside arrays of structs within arrays of structs."""
+    """A struct beside arrays of structs within arrays of structs, and an array beside those."""
     od = load(spark, sf_dir, "orders").selectExpr(
         "o_orderkey", "named_struct('st', o_orderstatus) AS h",
-        "transform(array(0, 1), i -> named_struct('n', i, 't', transform(array(0, 1), j -> named_struct('v', i * 10 + j)))) AS s")
+        "transform(array(0, 1), i -> named_struct('n', i, 't', transform(array(0, 1), j -> named_struct('v', i * 10 + j)))) AS s",
+        "array_repeat(named_struct('w', o_orderpriority), 3) AS u")
     return FT.flatten_all(od)
 
 
@@ -204,8 +238,9 @@ def _cadastral_source(spark, sf_dir) -> DataFrame:
         "CAST(c_custkey AS STRING)) ELSE concat(CAST(c_nationkey AS STRING), ', ', "
         "CAST(c_custkey % 90 AS STRING)) END) AS location_info",
         "'parcel' AS object_type",
-        "named_struct('area', CAST(c_acctbal AS STRING), 'purpose', "
+        "named_struct('area', CASE WHEN c_custkey % 3 > 0 THEN CAST(c_acctbal AS STRING) END, 'purpose', "  # every third area elsewhere
         "CASE WHEN c_nationkey % 2 = 0 THEN 'living' ELSE 'office' END) AS params",
+        "CASE WHEN c_custkey % 3 = 0 THEN named_struct('land', named_struct('area', CAST(c_acctbal AS STRING))) END AS use",
         "named_struct('ordinate', transform(sequence(0, CAST(c_custkey % 3 + 1 AS INT)), "
         "i -> named_struct('x', c_nationkey, 'y', i))) AS ordinates")
 
@@ -240,16 +275,17 @@ def q_xml_scan(spark, sf_dir):
 @query("xml_corrupt_counts", sql="""
 SELECT CAST(count(*) + 9 AS BIGINT) AS records, CAST(3 AS BIGINT) AS corrupt, CAST(count(*) + 6 AS BIGINT) AS kept, true AS hashed FROM orders""")
 def q_xml_corrupt_counts(spark, sf_dir):
-    """The orders beside three files of two items and a cut one: what the XML
-    queries leave out (``without_corrupt``) is what is counted."""
+    """The orders beside three files of two items with a cut one between them:
+    what the XML queries leave out (``without_corrupt``) is what is counted."""
     path = scratch_path(spark, "broken-xml")
     load(spark, sf_dir, "orders").select(*ORDER_COLS).write.format("xml") \
         .option("rowTag", "item").option("rootTag", "root").save(path)
     item = "<item>" + "".join(f"<{c}>0</{c}>" for c in ORDER_COLS) + "</item>"
-    spark.range(0, 3, 1, 3).select(F.lit(f"<root>{item}{item}<item><o_orderkey>1").alias("value")).write.mode("append").text(path)
+    spark.range(0, 3, 1, 3).select(F.lit(f"<root>{item}<item><o_orderkey>1{item}</root>").alias("value")).write.mode("append").text(path)
     df = RD.read_xml(spark, path, "item")
-    return RD.corrupt_count(df).crossJoin(RD.without_corrupt(df).agg(F.count("o_orderkey").alias("kept"))).select(
-        F.col("records").cast("long").alias("records"), F.col("corrupt").cast("long").alias("corrupt"), "kept", (F.length("content_hash") > 0).alias("hashed"))
+    return RD.corrupt_count(df).select(
+        F.col("records").cast("long").alias("records"), F.col("corrupt").cast("long").alias("corrupt"),
+        (F.col("records") - F.col("corrupt")).cast("long").alias("kept"), (F.length("content_hash") > 0).alias("hashed"))
 
 
 @query("xml_cadastral", sql=CAD_SQL)

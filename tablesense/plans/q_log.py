@@ -31,12 +31,23 @@ SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS total,
   CAST(count(*) / nullif(epoch(max(ts)) - epoch(min(ts)), 0) AS DECIMAL(38,6)) AS rps,
   CAST(avg(value) FILTER (WHERE {OK_SQL}) AS DECIMAL(38,6)) AS mean_rt,
   CAST(min(value) FILTER (WHERE {OK_SQL}) AS DECIMAL(38,6)) AS min_rt,
-  CAST(max(value) FILTER (WHERE {OK_SQL}) AS DECIMAL(38,6)) AS max_rt
-FROM events GROUP BY 1"""
+  CAST(max(value) FILTER (WHERE {OK_SQL}) AS DECIMAL(38,6)) AS max_rt,
+  CAST(avg(CAST(json_extract(props, '$.k') AS DOUBLE) / 100) FILTER (WHERE {OK_SQL}) AS DECIMAL(38,6)) AS mean_confidence,
+  any_value(p95_rt) AS p95_rt
+FROM events LEFT JOIN ({{p95}}) p ON p.pday = strftime(ts, '%Y-%m-%d') GROUP BY 1"""
+P95_SQL = f"""
+SELECT pday, CAST(CASE WHEN any_value(n) < 2 THEN max(value) ELSE
+    (max(value) FILTER (WHERE rn = j) * (20 - (19 * (n + 1) - j * 20)) + max(value) FILTER (WHERE rn = j + 1) * (19 * (n + 1) - j * 20)) / 20 END AS DECIMAL(38,6)) AS p95_rt
+FROM (SELECT *, least(greatest((19 * (n + 1)) // 20, 1), greatest(n - 1, 1)) AS j FROM (
+  SELECT strftime(ts, '%Y-%m-%d') AS pday, value, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY value) AS rn,
+    count(*) OVER (PARTITION BY strftime(ts, '%Y-%m-%d')) AS n FROM events WHERE {OK_SQL} AND value IS NOT NULL)) GROUP BY pday, n, j"""
+SUMMARY_SQL = SUMMARY_SQL.replace("{p95}", P95_SQL)
 
 
 def _summary(spark, sf_dir):
-    return L.latency_summary(_log(spark, sf_dir), ["day"], "ts", ok(), "value")
+    """The number in an event's JSON stands for the confidence, in percent."""
+    confidence = F.get_json_object("props", "$.k").cast("double") / 100
+    return L.latency_summary(_log(spark, sf_dir), ["day"], "ts", ok(), "value", confidence)
 
 
 @query("latency_summary", sql=SUMMARY_SQL)
@@ -44,7 +55,7 @@ def q_latency_summary(spark, sf_dir):
     s = _summary(spark, sf_dir)
     return s.select("day", F.col("total").cast("long"), F.col("successes").cast("long"),
                     *[dec(c).alias(c) for c in ["success_pct", "error_pct", "rps", "mean_rt",
-                                                "min_rt", "max_rt"]])
+                                                "min_rt", "max_rt", "mean_confidence", "p95_rt"]])
 
 
 @query("p95_exclusive", sql=f"""

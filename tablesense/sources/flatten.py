@@ -35,8 +35,18 @@ def flatten_structs(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*cols)
 
 
-def json_string_schema(df: DataFrame, col: str) -> str:
-    """DDL schema of the JSON held in a string column, merged over all rows."""
+MOST_KEYS = 1_000  # an object column with more different keys is a map, not a struct
+
+
+def json_string_schema(df: DataFrame, col: str, most_keys: int = MOST_KEYS) -> str | None:
+    """DDL schema of the JSON held in a string column, merged over all rows.
+    Keys of the outer objects are counted by a sketch first: if there are more than
+    ``most_keys`` they are values, and the schema is a map of texts, so it does
+    not grow with the data. (Keys of inner objects are not counted.)"""
+    text = F.col(_q(col))
+    keys = df.select(F.explode(F.json_object_keys(F.when(F.ltrim(text).startswith("{"), text))).alias("k"))
+    if keys.agg(F.approx_count_distinct("k", 0.02).alias("n")).first()["n"] > most_keys:
+        return "MAP<STRING, STRING>"
     s = df.agg(F.expr(f"schema_of_variant_agg(try_parse_json({_q(col)}))").alias("s")).first()["s"]
     if s is None:
         return None
@@ -45,14 +55,26 @@ def json_string_schema(df: DataFrame, col: str) -> str:
 
 def expand_json_string(df: DataFrame, col: str, schema: str | None = None, sep: str = "_"
                        ) -> DataFrame:
-    """A string column holding JSON objects is parsed and its fields
-    become columns ``col<sep>field`` next to the other columns."""
+    """A string column of JSON is parsed: of objects the fields become
+    columns ``col<sep>field`` next to the other columns, or ``col`` a map if the
+    keys are values; of arrays every element is a row, its place in
+    ``col<sep>index`` (a text without elements is one row)."""
     schema = schema or json_string_schema(df, col)
-    if schema is None or not schema.startswith("STRUCT<"):
+    if schema is None:
         return df
+    others = [F.col(_q(c)) for c in df.columns if c != col]
     parsed = F.from_json(F.col(_q(col)), schema)
+    if schema.startswith("ARRAY<"):
+        rows = df.select(*others, F.posexplode_outer(parsed).alias(f"{col}{sep}index", col))
+        element = rows.schema[col].dataType
+        if not isinstance(element, T.StructType):
+            return rows
+        return rows.select(*others, F.col(_q(f"{col}{sep}index")), *[F.col(_q(col)).getField(f.name).alias(f"{col}{sep}{f.name}") for f in element.fields])
+    if schema.startswith("MAP<"):
+        return df.select(*others, parsed.alias(col))
+    if not schema.startswith("STRUCT<"):
+        return df
     st = T._parse_datatype_string(schema)
-    others = [F.col(_q(c)) for c in df.columns if c != col]
     return df.select(*others, *[parsed.getField(f.name).alias(f"{col}{sep}{f.name}")
                                 for f in st.fields])
 

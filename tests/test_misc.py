@@ -191,3 +191,38 @@ def test_contract_imports_without_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     r = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=300)
     assert r.returncode == 0, r.stderr.decode()[-2000:]
+
+
+def test_order_statistics_in_passes(spark):
+    """Brackets narrowed until few values are left: exact at any size, with
+    ties, nulls, infinities and tiny groups."""
+    import math
+    from pyspark.sql import functions as F
+    from tablesense.operators import requestlog as L
+    df = spark.range(60_000).select((F.col("id") % 4).alias("g"), F.when(F.col("id") % 97 > 0, (F.col("id") * 7919 % 30_011) / 7.0).alias("v"))
+    df = df.unionAll(spark.createDataFrame([(None, 1.0), (None, 3.0), (5, 2.5), (6, math.inf), (6, -math.inf), (7, None)], "g long, v double"))
+    df = df.unionAll(spark.range(9_000).select(F.lit(8).cast("long"), (F.col("id") % 2).cast("double")))
+    groups = {}
+    for r in df.where("v IS NOT NULL").collect():
+        groups.setdefault(r.g, []).append(r.v)
+    for share in (0.5, 0.95, 1.0, 0.0):
+        got = {r.g: (r.n, r.lo, r.hi) for r in L.order_statistics(df, "v", ["g"], lambda n: n * share, ranked=20).collect()}
+        want = {}
+        for g, vs in groups.items():
+            vs.sort()
+            k = max(1, min(len(vs), math.floor(len(vs) * share)))
+            want[g] = (len(vs), vs[k - 1], vs[min(k, len(vs) - 1)])
+        assert got == want, share
+
+
+def test_json_strings_of_arrays_and_of_many_keys(spark):
+    from pyspark.sql import functions as F
+    from tablesense.sources import flatten as FT
+    df = spark.createDataFrame([(1, '[{"a": 1}, {"a": 2, "b": "x"}]'), (2, "[]"), (3, None), (4, "broken")], "k long, j string")
+    got = [tuple(r) for r in FT.expand_json_string(df, "j").orderBy("k", "j_index").collect()]
+    assert got == [(1, 0, 1, None), (1, 1, 2, "x"), (2, None, None, None), (3, None, None, None), (4, None, None, None)]
+    many = spark.range(100_000).select("id", F.concat(F.lit('{"k'), "id", F.lit('": {"v": '), "id", F.lit("}}")).alias("j"))
+    assert FT.json_string_schema(many, "j") == "MAP<STRING, STRING>"
+    assert FT.expand_json_string(many, "j").where("id = 77").first()["j"] == {"k77": '{"v":77}'}
+    numbers = spark.createDataFrame([("[1, 2]",), ("[3]",)], "j string")
+    assert sorted(tuple(r) for r in FT.expand_json_string(numbers, "j").collect()) == [(0, 1), (0, 3), (1, 2)]
