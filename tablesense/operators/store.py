@@ -96,19 +96,28 @@ def stats(store: DataFrame, now: int, ttl: int = DEFAULT_TTL_SEC) -> DataFrame:
                      .alias("payload_mb"))
 
 
-def parse_facts(spark, paths: dict[str, str], cp: DataFrame, cap: int = 50000,
-                streamed: frozenset[str] = frozenset()) -> DataFrame:
-    """Per table the stored size in MB (sizes from the file listing, no
-    content is read), the parse strategy the reference would use ('streaming'
-    for the tables in ``streamed``, 'chunked' when rows reach the cap) and the
-    XML structure ('cadastral' when a cad_number column exists)."""
+# ---------------------------------------------------------------------------
+# Rows from which the reference's parsers stop reading whole files.
+# ---------------------------------------------------------------------------
+CSV_WHOLE_ROWS = 50000
+XML_WHOLE_ROWS = 10000
+# end of fixed values
+
+
+def parse_facts(spark, paths: dict[str, str], cp: DataFrame) -> DataFrame:
+    """Per table the stored size in MB (from the file listing, no content
+    is read), the format its file names tell, the parse strategy the reference
+    would use (long CSV 'chunked', long XML 'streaming', else 'full') and the structure
+    of XML ('cadastral' when it has a cad_number column, null for other formats)."""
+    from tablesense.sources.files import detect_format
     sizes = reduce(DataFrame.unionByName, [
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(p).select("length")
-        .agg(F.lit(t).alias("table_name"), (F.sum("length") / 1048576.0).alias("file_mb")) for t, p in paths.items()])
+        spark.read.format("binaryFile").load(p).select("length", detect_format(F.element_at(F.split("path", "/"), -1)).alias("format"))
+        .agg(F.lit(t).alias("table_name"), (F.sum("length") / 1048576.0).alias("file_mb"), F.max("format").alias("format")) for t, p in paths.items()])
     facts = cp.groupBy("table_name").agg(
         F.max("row_count").alias("record_count"),
         F.bool_or(F.col("column_name").endswith("cad_number")).alias("_cad"))
+    rows, fmt = F.col("record_count"), F.col("format")
     return sizes.join(facts, "table_name").select(
-        "table_name", "file_mb",
-        F.when(F.col("table_name").isin(*streamed), "streaming").when(F.col("record_count") >= cap, "chunked").otherwise("full").alias("strategy"),
-        F.when(F.col("_cad"), "cadastral").otherwise("generic").alias("xml_structure"))
+        "table_name", "file_mb", "format",
+        F.when((fmt == "xml") & (rows >= XML_WHOLE_ROWS), "streaming").when((fmt == "csv") & (rows >= CSV_WHOLE_ROWS), "chunked").otherwise("full").alias("strategy"),
+        F.when(fmt == "xml", F.when(F.col("_cad"), "cadastral").otherwise("generic")).alias("xml_structure"))

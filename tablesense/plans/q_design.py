@@ -186,8 +186,8 @@ SELECT table_name, CAST(scale AS BIGINT) AS scale, fmt AS file_format,
     AS partitioning,
   CASE WHEN temporal THEN hdfs_partition_column END AS partition_column,
   CASE WHEN temporal THEN '{D.PARTITION_SIZE_TEXT}' END AS partition_size,
-  CASE WHEN NOT has_temporal AND big THEN CAST(least({D.HASH_PARTS_MAX}, greatest({D.HASH_PARTS_MIN},
-    ceil(estimated_size_mb / {D.MB_PER_HASH_PART}))) AS INTEGER) END AS hash_partitions,
+  CASE WHEN NOT has_temporal AND big THEN CAST(greatest(10, ceil(estimated_size_mb / 256)) AS INTEGER) END AS hash_partitions,
+  CASE WHEN NOT has_temporal AND big THEN '10-20 partitions' END AS hash_advice,
   '/data/' || table_name || CASE WHEN has_temporal THEN '/year={{YYYY}}/month={{MM}}/day={{DD}}/'
     ELSE '/data/' END AS path_layout
 FROM x""")

@@ -5,6 +5,9 @@ the hash itself out."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesense.operators import profile as P
@@ -13,6 +16,7 @@ from tablesense.plans.catalog import TABLES, load, load_all
 from tablesense.plans.registry import query
 from tablesense.session import materialize, scratch_path
 from tablesense.sources import files as FL
+from tablesense.sources import readers as RD
 
 NOW = 1_767_225_600  # 2026-01-01T00:00:00Z
 
@@ -81,11 +85,32 @@ def q_store_stats(spark, sf_dir):
                      F.col("expired").cast("long"), (F.col("payload_mb") > 0).alias("has_payload"))
 
 
+FACT_FORMATS = {"customer": "xml", "orders": "xml", "supplier": "xml", "lineitem": "csv", "events": "csv", "part": "json"}
+
+
+XML_STRUCTURE = {"customer": "'cadastral'", "orders": "'generic'", "supplier": "'generic'"}
+
+
 @query("parse_facts", sql="\nUNION ALL\n".join(
-    f"SELECT '{t}' AS table_name, CASE WHEN '{t}' = 'events' THEN 'streaming' WHEN count(*) >= 50000 THEN 'chunked' ELSE 'full' END AS strategy, "
-    f"'generic' AS xml_structure, true AS has_size FROM {t}" for t in TABLES))
+    f"SELECT '{t}' AS table_name, '{f}' AS format, CASE WHEN '{f}' = 'xml' AND count(*) >= 10000 THEN 'streaming' WHEN '{f}' = 'csv' AND count(*) >= 50000 "
+    f"THEN 'chunked' ELSE 'full' END AS strategy, {XML_STRUCTURE.get(t, 'NULL')} AS xml_structure, true AS has_size FROM {t}"
+    for t, f in FACT_FORMATS.items()))
 def q_parse_facts(spark, sf_dir):
-    tables = load_all(spark, sf_dir)
-    cp = P.catalog_column_profile(tables, "none")
-    facts = S.parse_facts(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES}, cp, streamed=frozenset({"events"}))
-    return facts.select("table_name", "strategy", "xml_structure", (F.col("file_mb") > 0).alias("has_size"))
+    """Tables written as files of several formats, customers as cadastral records."""
+    base, tables, paths = scratch_path(spark, "facts"), {}, {}
+    for t, fmt in FACT_FORMATS.items():
+        df, paths[t] = load(spark, sf_dir, t), f"{base}/{t}"
+        if t == "customer":
+            df = df.select(F.struct(F.col("c_custkey").alias("cad_number")).alias("data"), "c_name")
+        if fmt == "xml":
+            df.write.format("xml").option("rowTag", "item").option("rootTag", "root").save(paths[t])
+            tables[t] = RD.read_xml(spark, paths[t], "item")
+        elif fmt == "csv":
+            df.write.option("header", True).csv(paths[t])
+            tables[t] = RD.read_csv(spark, paths[t])
+        else:
+            df.write.json(paths[t])
+            tables[t] = RD.read_json(spark, paths[t])
+    rows = reduce(DataFrame.unionByName, [df.agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("row_count")) for t, df in tables.items()])
+    facts = S.parse_facts(spark, {t: f"{p}/part-*" for t, p in paths.items()}, P.column_names(tables).join(rows, "table_name"))
+    return facts.select("table_name", "format", "strategy", "xml_structure", (F.col("file_mb") > 0).alias("has_size"))

@@ -119,17 +119,23 @@ def test_content_that_returns_is_found_and_old_rows_expire(spark, tmp_dir):
     assert [r["written_at"] for r in kept.collect()] == [200]
 
 
-def test_parse_facts(spark):
+def test_parse_facts(spark, tmp_dir, monkeypatch):
+    """Format, strategy and structure follow from the files and their rows."""
     from tablesense.operators import profile as P
     from tablesense.operators import store as S
-    li = spark.read.parquet(f"{SF001}/lineitem.parquet")
-    paths = {t: f"{SF001}/lineitem.parquet" for t in ("a", "b", "c")}
-    cp = P.catalog_column_profile({"a": li, "b": li.withColumnRenamed("l_tax", "x_cad_number"), "c": li}, "none")
-    got = {r["table_name"]: r for r in S.parse_facts(spark, paths, cp, cap=li.count(), streamed=frozenset({"c"})).collect()}
-    assert [got[t]["strategy"] for t in "abc"] == ["chunked", "chunked", "streaming"]
-    assert [got[t]["xml_structure"] for t in "abc"] == ["generic", "cadastral", "generic"]
-    import os
-    assert got["a"]["file_mb"] == pytest.approx(os.path.getsize(paths["a"]) / 1048576)
+    from tablesense.sources import readers as RD
+    monkeypatch.setattr(S, "XML_WHOLE_ROWS", 20)
+    monkeypatch.setattr(S, "CSV_WHOLE_ROWS", 30)
+    put = lambda df, name: df.write.format("xml").option("rowTag", "item").option("rootTag", "root").save(f"{tmp_dir}/{name}")
+    put(spark.range(25).selectExpr("named_struct('cad_number', id) AS d"), "cad")
+    put(spark.range(5).selectExpr("id AS v"), "small")
+    for n, name in ((29, "short"), (31, "long")):
+        spark.range(n).selectExpr("id AS a", "id AS b").write.option("header", True).csv(f"{tmp_dir}/{name}")
+    tables = {t: RD.read_xml(spark, f"{tmp_dir}/{t}") for t in ("cad", "small")} | {t: RD.read_csv(spark, f"{tmp_dir}/{t}") for t in ("short", "long")}
+    got = S.parse_facts(spark, {t: f"{tmp_dir}/{t}/part-*" for t in tables}, P.catalog_column_profile(tables, "none")).collect()
+    assert {r["table_name"]: (r["format"], r["strategy"], r["xml_structure"]) for r in got} == {
+        "cad": ("xml", "streaming", "cadastral"), "small": ("xml", "full", "generic"), "short": ("csv", "full", None), "long": ("csv", "chunked", None)}
+    assert all(r["file_mb"] > 0 for r in got)
 
 
 def test_one_request_and_null_flags(spark):
