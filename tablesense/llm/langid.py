@@ -5,7 +5,10 @@ Training counts n-grams of all labelled rows: every task sums its texts into one
 count table per language, and one grouping adds the tables up. The model is a
 matrix languages x ``BUCKETS`` of log probabilities (its size does not depend on
 the corpus); it is broadcast, and batches are scored in numpy from their sparse
-counts.
+counts. The language is the argmax of the plain sums, whatever the text's length.
+Its score is the posterior, cooled for texts of more than ``EVIDENCE`` n-grams:
+logarithms, prior included, are divided by n / ``EVIDENCE``, so that long texts do
+not all score 1; this keeps the order of the languages.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 as is every text if no row is labelled; ties go to the least language by code
@@ -30,17 +33,18 @@ from tablesense.llm.common import small_batches
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 ALPHA = 0.5         # added to every count
-EVIDENCE = 60.0     # n-grams a long text counts as, so that scores grade
+EVIDENCE = 60.0     # n-grams above which a score is cooled, so that scores grade
 CHUNK = 1 << 19     # characters worked on at once
 MOST_LANGUAGES = 1000  # languages whose counts a task holds before it passes them on
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every n-gram of the lower-cased texts."""
-    low = [(t or "").lower() for t in texts]
+def grams(low: list[str], own: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every n-gram of lower-cased texts that begins in the
+    first ``own`` characters of its text."""
     size = np.array([len(t) for t in low], dtype=np.int64)
     c = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     row = np.repeat(np.arange(len(low)), size)
+    mine = np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(size if own is None else np.array(own, dtype=np.int64), size)
     rows, buckets = [], []
     for n in ORDERS:
         m = len(c) - n + 1
@@ -50,7 +54,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         for j in range(n):
             h = (h ^ c[j:j + m]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        inside = row[:m] == row[n - 1:]
+        inside = mine[:m] & (row[:m] == row[n - 1:])
         rows.append(row[:m][inside])
         buckets.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
     if not rows:
@@ -58,16 +62,24 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(buckets)
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``CHUNK`` characters, and one run per 128."""
-    lo, n = 0, 0
+def counted(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of every n-gram of the texts, about ``CHUNK`` characters at
+    a time. A longer text comes in pieces that overlap by less than an n-gram."""
+    part, own, at, n = [], [], [], 0
     for i, t in enumerate(texts):
-        n += len(t or "")
-        if n >= CHUNK or i - lo >= 127:
-            yield lo, i + 1
-            lo, n = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+        low = (t or "").lower()
+        for lo in range(0, len(low), CHUNK):
+            part.append(low[lo:lo + CHUNK + max(ORDERS) - 1])
+            own.append(CHUNK)
+            at.append(i)
+            n += len(part[-1])
+            if n >= CHUNK:
+                row, bucket = grams(part, own)
+                yield np.array(at)[row], bucket
+                part, own, at, n = [], [], [], 0
+    if part:
+        row, bucket = grams(part, own)
+        yield np.array(at)[row], bucket
 
 
 @dataclass(frozen=True)
@@ -77,28 +89,24 @@ class Model:
     matrix: np.ndarray  # BUCKETS x languages
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        best, score = [], []
-        for lo, hi in chunks(texts):
-            part = texts[lo:hi]
-            row, bucket = grams(part)
-            cells = np.bincount(row * BUCKETS + bucket, minlength=len(part) * BUCKETS)
-            at = np.flatnonzero(cells)  # the sparse counts, by row
+        """The likeliest language of every text and its probability, graded."""
+        total = np.zeros((len(texts), len(self.languages)))
+        n = np.zeros(len(texts))
+        for row, bucket in counted(texts):
+            cells = np.sort(row * BUCKETS + bucket)
+            start = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            at, count = cells[start], np.diff(np.append(start, len(cells)))  # the sparse counts, by row
             owner = at // BUCKETS
-            value = cells[at][:, None] * self.matrix[at % BUCKETS]
-            total = np.zeros((len(part), len(self.languages)))
-            if len(at):
-                start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                total[owner[start]] = np.add.reduceat(value, start, axis=0)
-            n = np.bincount(row, minlength=len(part))
-            total = total * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None] + self.prior
-            p = np.exp(total - total.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            top = p.argmax(axis=1)
-            for i, t in enumerate(part):
-                known = t is not None and any(map(str.isalpha, t))
-                best.append(self.languages[top[i]] if known else "und")
-                score.append(float(p[i, top[i]]) if known else 0.0)
-        return best, np.array(score)
+            value = count[:, None] * self.matrix[at % BUCKETS]
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            total[owner[first]] += np.add.reduceat(value, first, axis=0)
+            n[owner[first]] += np.add.reduceat(count, first)
+        total += self.prior
+        top = total.argmax(axis=1)
+        known = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], dtype=bool)
+        graded = np.exp((total - total.max(axis=1, keepdims=True)) / np.maximum(1.0, n / EVIDENCE)[:, None])
+        return ([self.languages[x] if k else "und" for x, k in zip(top, known, strict=True)],
+                np.where(known, 1 / graded.sum(axis=1), 0.0))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
@@ -126,8 +134,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                     counts, seen = {}, {}
                 seen[x] = seen.get(x, 0) + len(texts)
                 c = counts.setdefault(x, np.zeros(BUCKETS, dtype=np.int64))
-                for lo, hi in chunks(texts):
-                    c += np.bincount(grams(texts[lo:hi])[1], minlength=BUCKETS)
+                for _, bucket in counted(texts):
+                    c += np.bincount(bucket, minlength=BUCKETS)
         yield from out(counts, seen)
 
     sums = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
