@@ -380,8 +380,10 @@ def _comparable(df: DataFrame) -> list[str]:
     return [canonical("`" + f.name.replace("`", "``") + "`", f.dataType) for f in df.schema.fields]
 
 
-def row_hash(df: DataFrame) -> Column:
-    return F.expr(f"xxhash64({', '.join(_comparable(df))})")
+def row_hash(df: DataFrame, seed: int | None = None) -> Column:
+    """64-bit hash of a row; another one for every ``seed``."""
+    first = [] if seed is None else [str(seed)]
+    return F.expr(f"xxhash64({', '.join(first + _comparable(df))})")
 
 
 def catalog_duplicate_rows(tables: dict[str, DataFrame]) -> DataFrame:

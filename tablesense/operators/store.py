@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesense.operators import profile as P
@@ -35,9 +35,21 @@ def fingerprints(tables: dict[str, DataFrame], mode: str = "intended") -> DataFr
         parts.append(df.agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("_n"),
                             F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).alias("_s")))
     u = reduce(DataFrame.unionByName, parts)
-    return u.select("table_name", F.lit(mode).alias("mode"), F.md5(F.concat_ws(
-        ":", "table_name", F.lit(mode), F.col("_n").cast("string"), F.col("_s").cast("string")))
-        .alias("content_hash"))
+    return u.select("table_name", F.lit(mode).alias("mode"), _content_hash(mode))
+
+
+def _content_hash(mode: str) -> Column:
+    """Of table_name, row count ``_n`` and sum of row hashes ``_s``."""
+    return F.md5(F.concat_ws(":", "table_name", F.lit(mode), F.col("_n").cast("string"), F.col("_s").cast("string"))).alias("content_hash")
+
+
+def counted_fingerprint(counts: DataFrame, table: str, mode: str = "intended") -> DataFrame:
+    """The fingerprint of a table from its row hashes (h) and how often each
+    occurs (count): the same as ``fingerprints`` of the rows."""
+    one = F.col("h").cast("decimal(19,0)") * F.col("count").cast("decimal(18,0)")
+    u = counts.agg(F.lit(table).alias("table_name"), F.coalesce(F.sum("count"), F.lit(0)).alias("_n"),
+                   F.coalesce(F.sum(one.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("_s"))
+    return u.select("table_name", F.lit(mode).alias("mode"), _content_hash(mode))
 
 
 def entries(results: DataFrame, fps: DataFrame, analysis_type: str, now: int) -> DataFrame:

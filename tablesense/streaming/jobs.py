@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tablesense.operators import design as D
 from tablesense.operators import profile as P
+from tablesense.operators import store as S
+from tablesense.session import materialize
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str, schema, max_files: int | None = None
@@ -53,9 +55,57 @@ def profile_stream(spark: SparkSession, stream: DataFrame, table: str, out: str,
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
     q.awaitTermination()
+    if not _exists(spark, f"{out}/batch=*"):  # no file has come yet
+        return merge_profiles(P.catalog_column_profile({table: spark.createDataFrame([], stream.schema)}, "sketch"))
     return merge_profiles(spark.read.parquet(out))
 
 
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
+
+def row_counts_stream(spark: SparkSession, stream: DataFrame, checkpoint: str) -> DataFrame:
+    """How often every distinct row was seen: (h, h2, count), a 128-bit hash of
+    the row and its count. The counts are the state of a streaming aggregation,
+    so a run touches only the keys of its new files; no row is kept, and the
+    result is read from the state as the last batch committed it."""
+    rows = stream.select(P.row_hash(stream).alias("h"), P.row_hash(stream, seed=7).alias("h2"))
+    q = (rows.groupBy("h", "h2").count().writeStream.format("noop").outputMode("update")
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if not _exists(spark, f"{checkpoint}/commits/[0-9]*"):
+        return spark.createDataFrame([], "h long, h2 long, count long")
+    return spark.read.format("statestore").load(checkpoint).select("key.h", "key.h2", "value.count")
+
+
+def table_profile_stream(spark: SparkSession, stream: DataFrame, table: str, out: str, checkpoint: str,
+                         store: str | None = None, now: int | None = None) -> DataFrame:
+    """The table profile of all files so far, with duplicate rows and quality
+    score (those of the batch profile) and the content's fingerprint. With
+    ``store`` and ``now`` it is also added to the profile store, where a
+    batch job over the same rows finds it within its time to live.
+
+    Measures and row counts are two streams over the same files; a file that
+    comes between their runs is in the second only, so both run until they
+    agree on the number of rows."""
+    for _ in range(5):
+        counts = row_counts_stream(spark, stream, f"{checkpoint}/rows")
+        cp = materialize(profile_stream(spark, stream, table, out, f"{checkpoint}/measures"))
+        facts = materialize(counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"),
+                                       F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows")))
+        if facts.first().rows == cp.first().row_count:
+            break
+    else:
+        raise RuntimeError("files keep coming between the two runs")
+    fp = materialize(S.counted_fingerprint(counts, table))
+    tp = P.table_profile(cp.withColumn("distinct_count", F.col("distinct_estimate")),
+                         facts.select(F.lit(table).alias("table_name"), "duplicate_rows"))
+    if store is not None:
+        S.write(S.entries(tp, fp, "table_profile", now), store)
+    return tp.join(F.broadcast(fp.select("table_name", "content_hash")), "table_name")  # one row
+
+
 def merge_profiles(parts: DataFrame) -> DataFrame:
     """One profile row per column from profiles of disjoint parts of a table."""
     some = F.col("row_count") > F.col("null_count")
@@ -69,4 +119,5 @@ def merge_profiles(parts: DataFrame) -> DataFrame:
         F.when(day, F.min("day_min")).otherwise(F.min("ts_min")).alias("ts_min"),
         F.when(day, F.max("day_max")).otherwise(F.max("ts_max")).alias("ts_max"),
         F.bool_or("numeric_hit").alias("numeric_hit"), F.bool_or("nested_hit").alias("nested_hit"),
+        F.bool_or("from_struct").alias("from_struct"), F.max("f32_err").alias("f32_err"),
         F.coalesce(F.when(F.col("kind") == "string", date_forms != 0).otherwise(F.bool_and(F.when(some, F.col("timestamp_ok")))), F.lit(False)).alias("timestamp_ok"))

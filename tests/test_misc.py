@@ -107,6 +107,33 @@ def test_stream_profiles_merge(spark, tmp_dir):
         assert abs(m["distinct_estimate"] - r["distinct_count"]) <= max(2, 0.1 * r["distinct_count"])
 
 
+def test_streamed_duplicates_quality_and_fingerprint(spark, tmp_dir):
+    """Files out of order, a restart, a run without files, maps and nulls: the
+    streamed table profile is the batch one."""
+    from tablesense.operators import profile as P
+    from tablesense.operators import store as S
+    from tablesense.streaming import jobs as J
+    rows = spark.createDataFrame([(i % 5 if i % 4 else None, f"x{i % 3}" if i % 7 else None, {"a": i % 2}) for i in range(60)],
+                                 "a long, b string, m map<string,int>")
+    run = lambda: J.table_profile_stream(
+        spark, J.file_stream(spark, f"{tmp_dir}/in", "*.parquet", rows.schema, max_files=1), "t", f"{tmp_dir}/out", f"{tmp_dir}/ckpt", f"{tmp_dir}/store", 50).first()
+    import os
+    os.makedirs(f"{tmp_dir}/in")
+    assert run().record_count == 0
+    for part in ("b = 'x2'", "b = 'x0' OR b IS NULL", "b = 'x1'"):
+        rows.where(part).repartition(2).write.mode("append").parquet(f"{tmp_dir}/in")
+        got = run()
+    again = run()  # nothing new
+    want = P.table_profile(P.column_profile(rows, "t"), P.duplicate_rows(rows, "t")).first()
+    for c in ("record_count", "field_count", "null_cells", "duplicate_rows", "null_ratio", "quality_score", "estimated_size_mb", "has_nested", "has_text"):
+        assert got[c] == want[c] == again[c], c
+    assert got.duplicate_rows > 0
+    fp = S.fingerprints({"t": rows})
+    assert fp.first().content_hash == got.content_hash == again.content_hash
+    latest = S.read_latest(spark, f"{tmp_dir}/store")
+    assert S.hits(fp, latest, 60).count() == 1 and S.hits(S.fingerprints({"t": rows.limit(59)}), latest, 60).count() == 0
+
+
 def test_content_that_returns_is_found_and_old_rows_expire(spark, tmp_dir):
     from tablesense.operators import store as S
     a, b = (spark.createDataFrame([(i,)], "a long") for i in (1, 2))
