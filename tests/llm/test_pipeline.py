@@ -19,7 +19,8 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
     rows = docs.collect()
     langs = [(r.text, r.lang) for r in rows if r.lang is not None]
     one = C.language_stage(spark, docs, "")
-    kept = [r for r in rows if (x := language(langs, r.text))[0] != "und" and x[1] >= C.LEAST_SCORE]
+    judged = language(langs, [r.text for r in rows])
+    kept = [r for r, (x, p) in zip(rows, judged, strict=True) if x != "und" and p >= C.LEAST_SCORE]
     assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == sorted(r.doc_id for r in kept)
 
     two = C.exact_stage(spark, one, "")
