@@ -1,5 +1,5 @@
 """Streaming queries (T1, T2) run to completion with availableNow. Their input is
-written as several files, one per micro-batch, out of time order."""
+written as several files, out of time order, and comes in several micro-batches."""
 
 from __future__ import annotations
 
@@ -15,17 +15,24 @@ from tablesense.streaming import jobs as J
 FILES = 5
 
 
-def _files(df, key: str, name: str, spark) -> str:
-    path = scratch_path(spark, name)
-    df.repartition(FILES, F.pmod(F.xxhash64(key), F.lit(FILES))).write.parquet(path)
-    return path
+def _files(df, name: str, spark) -> tuple[str, int]:
+    """Folder of about equal files that each hold rows of the whole table, and
+    how many of them make one of ``FILES`` micro-batches. Their number follows
+    that of the input's partitions, so a file stays as small as one of these."""
+    path, each = scratch_path(spark, name), -(-df.rdd.getNumPartitions() // FILES)
+    df.repartition(FILES * max(1, each)).write.parquet(path)
+    return path, max(1, each)
+
+
+def _stream(df, name: str, spark):
+    path, each = _files(df, name, spark)
+    return J.file_stream(spark, path, "*.parquet", df.schema, max_files=each)
 
 
 @query("daily_rollup_stream", sql="SELECT * FROM (" + _rollup_sql() + ") r WHERE table_name = 'events'")
 def q_daily_rollup_stream(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
-    stream = J.file_stream(spark, _files(ev, "event_id", "rollup-in", spark), "*.parquet", ev.schema, max_files=1)
-    return J.daily_rollup_stream(spark, stream, "events", scratch_path(spark, "rollup-out"),
+    return J.daily_rollup_stream(spark, _stream(ev, "rollup-in", spark), "events", scratch_path(spark, "rollup-out"),
                                  scratch_path(spark, "rollup-ckpt"))
 
 
@@ -41,7 +48,7 @@ def q_profile_store_stream(spark, sf_dir):
     """The profile merged from micro-batches; near: the merged distinct sketch
     is within 10 % of the exact count."""
     docs = load(spark, sf_dir, "documents")
-    stream = J.file_stream(spark, _files(docs, "doc_id", "profile-in", spark), "*.parquet", docs.schema, max_files=1)
+    stream = _stream(docs, "profile-in", spark)
     out = J.profile_stream(spark, stream, "documents", scratch_path(spark, "profile-parts"), scratch_path(spark, "profile-ckpt"))
     exact = J.P.exact_distinct({"documents": docs})
     near = F.abs(F.col("distinct_estimate") - F.col("exact")) <= F.greatest(F.lit(2), F.col("exact") * 0.1)

@@ -259,3 +259,13 @@ def test_json_strings_of_arrays_and_of_many_keys(spark):
     assert FT.expand_json_string(many, "j").where("id = 77").first()["j"] == {"k77": '{"v":77}'}
     numbers = spark.createDataFrame([("[1, 2]",), ("[3]",)], "j string")
     assert sorted(tuple(r) for r in FT.expand_json_string(numbers, "j").collect()) == [(0, 1), (0, 3), (1, 2)]
+
+
+def test_stream_files_follow_the_size_of_the_table(spark, tmp_dir):
+    import glob
+
+    from tablesense.plans import q_stream as Q
+    path, each = Q._files(spark.range(0, 2300, 1, 23).withColumn("id", F.lit(1)), "files", spark)
+    sizes = [spark.read.parquet(f).count() for f in glob.glob(f"{path}/*.parquet")]
+    assert each == 5 and len(sizes) == 25 and sum(sizes) == 2300 and max(sizes) <= 2 * 2300 / 25
+    assert Q._files(spark.range(0), "none", spark)[1] >= 1
