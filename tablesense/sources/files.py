@@ -8,6 +8,10 @@ of a whole table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +53,20 @@ def first_line_ok(fmt: Column, first_line: Column) -> Column:
 
 def first_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, first_line) of every file, by the splittable text reader: the
-    line of least block start, then first in its block."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), "value",
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
-    return lines.groupBy("path").agg(F.min_by("value", "at").alias("first_line"))
+    first line of the block at its start, which one task reads in order. So no
+    line is sorted or held beyond its batch."""
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            at = batch.column(0).dictionary_encode()
+            for n, name in enumerate(at.dictionary.to_pylist()):
+                if name not in seen:
+                    seen.add(name)
+                    yield batch.slice(pc.index(at.indices, n).as_py(), 1)
+
+    lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("first_line")).mapInArrow(
+        first, "path string, first_line string")
 
 
 def admission(spark: SparkSession, path: str, declared: str | None = None) -> DataFrame:

@@ -228,3 +228,21 @@ def test_archive_keeps_days_and_batches(spark, tmp_dir):
     assert len(read()) == 6
     put([("2024-01-01", 1), ("2024-01-04", 6)], "a*1")  # again, corrected
     assert read() == [(1, "a*1", 1), (1, "b", 4), (2, "a*2", 5), (2, "b", 2), (4, "a*1", 6)]
+
+
+def test_first_lines_sort_no_lines_and_keep_their_order(spark, tmp_dir):
+    """Files of several blocks, of one line, and many in one task."""
+    _write(tmp_dir, "a.csv", "z;first\n" + "".join(f"{i};a\n" for i in range(60_000)))
+    _write(tmp_dir, "b.csv", "\nsecond\n")
+    for i in range(30):
+        _write(tmp_dir, f"c{i:02d}.csv", f"{99 - i};c\nnext\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        df = FL.first_lines(spark, tmp_dir)
+        got = {r.path[-7:].lstrip("/").split("/")[-1]: r.first_line for r in df.collect()}
+        assert df.count() == 32 and got["a.csv"] == "z;first" and got["b.csv"] == ""
+        assert all(got[f"c{i:02d}.csv"] == f"{99 - i};c" for i in range(30))
+        assert "Sort" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
