@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import maybe_broadcast, small_batches, word_count, written
+from tablesense.llm.common import discard, maybe_broadcast, small_batches, word_count, written
 from tablesense.llm.components import connected_components
 
 CHECK_COST = 60.0   # checking a candidate, in index rows
@@ -332,53 +332,151 @@ def blocks(member: DataFrame) -> DataFrame:
                        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
 
 
+def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[list]]]:
+    """(label, its rows as columns) of rows sorted by label, the first column."""
+    label, held = None, []
+    for batch in batches:
+        labels = batch.column(0).to_pylist()
+        cols = [c.to_pylist() for c in batch.columns[1:]]
+        lo = 0
+        for at in [i for i in range(1, len(labels)) if labels[i] != labels[i - 1]] + [len(labels)]:
+            if at == lo:
+                continue
+            if labels[lo] != label:
+                if label is not None:
+                    yield label, held
+                label, held = labels[lo], [[] for _ in cols]
+            for h, c in zip(held, cols, strict=True):
+                h += c[lo:at]
+            lo = at
+    if label is not None:
+        yield label, held
+
+
+class Forest(dict):
+    """Union-find over components."""
+
+    def root(self, i: int) -> int:
+        while (up := self.setdefault(i, i)) != i:
+            self[i] = self[up]
+            i = up
+        return i
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def near_pairs(side: np.ndarray, node: np.ndarray, role: np.ndarray, g: np.ndarray, n: np.ndarray, x: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Indexes (i, j), most alike first, of the members of one label that belong
+    to different components and whose sketches (rows of x) allow the similarity."""
+    spare, left, right = [], [], []
+    for i in np.flatnonzero(side < 2):
+        other = (g != g[i]) & ((role & role[i]) == 0) & (node != node[i])
+        other &= (side == 2) if side[i] == 1 else (np.arange(len(node)) > i)
+        at = np.flatnonzero(other)
+        if len(at):
+            over = (x[at] != x[i]).sum(axis=1) - (q - p) * (n[at] + n[i]) // (q + p)
+            spare.append(over[over <= 0])
+            right.append(at[over <= 0])
+            left.append(np.full(len(right[-1]), i))
+    if not spare:
+        return np.empty((0, 2), dtype=np.int64)
+    order = np.argsort(np.concatenate(spare), kind="stable")
+    return np.stack([np.concatenate(left)[order], np.concatenate(right)[order]], axis=1)
+
+
 def near_by_sketch(rows: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b) of members that meet in a label, belong to different
-    components and whose sketches allow the similarity. Rows (label, side, node,
-    role, g, n, sketch) of a label are held together; their pairs are compared in
-    numpy and only the near ones become rows."""
-    def compare(cols: list) -> list[tuple[int, int]]:
+    """Rows (label, side, node, role, g, n, sketch) of a label are held together
+    and their pairs compared in numpy. Of the near ones of different components
+    a spanning forest is returned, (a, b, null): no more rows than members,
+    however many pairs are near. A tree that leaves out near pairs is returned
+    too, as rows (node, tree, label) of its members: if all its pairs prove to
+    be links the rest does not matter, else ``exact_links`` goes on from there."""
+    def compare(label: str, cols: list) -> tuple[list, list]:
         side, node, role, g, n = (np.array(c) for c in cols[:5])
         x = np.frombuffer(b"".join(cols[5]), dtype=np.uint8).reshape(len(node), -1)
-        out = []
-        for i in np.flatnonzero(side < 2):
-            other = (g != g[i]) & ((role & role[i]) == 0) & (node != node[i])
-            other &= (side == 2) if side[i] == 1 else (np.arange(len(node)) > i)
-            at = np.flatnonzero(other)
-            if len(at):
-                at = at[(x[at] != x[i]).sum(axis=1) <= (q - p) * (n[at] + n[i]) // (q + p)]
-                out += [(min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for j in at]
-        return out
+        forest, pairs, seen = Forest(), [], set()
+        at = near_pairs(side, node, role, g, n, x, p, q)
+        for i, j, gi, gj in zip(*(c.tolist() for c in (node[at[:, 0]], node[at[:, 1]], g[at[:, 0]], g[at[:, 1]])), strict=True):
+            pair = (min(i, j), max(i, j))
+            if pair not in seen and forest.join(gi, gj):
+                pairs.append(pair)
+            seen.add(pair)
+        more = {forest.root(int(c)) for c in g[at[:, 0]]} if len(seen) > len(pairs) else set()
+        count = dict.fromkeys(more, 0)  # near pairs less those returned, by tree
+        comp = dict(zip(node.tolist(), g.tolist(), strict=True))
+        for a, _ in seen if more else ():
+            count[forest.root(comp[a])] += 1
+        for a, _ in pairs if more else ():
+            count[forest.root(comp[a])] -= 1
+        rest = {(i, r) for i in {i for pair in seen for i in pair} if count.get(r := forest.root(comp[i]))}
+        return pairs, [(i, r, label) for i, r in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label, held = None, [[] for _ in range(6)]  # the rows of one label
-        for batch in batches:
-            out: set[tuple[int, int]] = set()
-            labels = batch.column(0).to_pylist()
-            cols = [c.to_pylist() for c in batch.columns[1:]]
-            lo = 0
-            for at in [i for i in range(len(labels)) if i and labels[i] != labels[i - 1]] + [len(labels)]:
-                if at == lo:
-                    continue
-                if labels[lo] != label:
-                    if label is not None:
-                        out.update(compare(held))
-                    label, held = labels[lo], [[] for _ in range(6)]
-                for h, c in zip(held, cols, strict=True):
-                    h += c[lo:at]
-                lo = at
-            yield result(out)
-        if label is not None:
-            yield result(set(compare(held)))
-
-    def result(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        pairs, rest = set(), []
+        for label, cols in by_label(batches):
+            got = compare(label, cols)
+            pairs.update(got[0])
+            rest += got[1]
+            if len(pairs) + len(rest) > 10_000:
+                yield result(pairs, rest)
+                pairs, rest = set(), []
+        yield result(pairs, rest)
+
+    def result(pairs: set, rest: list) -> pa.RecordBatch:
+        cols = zip(*([(a, b, None) for a, b in pairs] + rest), strict=True) if pairs or rest else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["a", "b", "label"])
 
     together = rows.select("label", "side", "node", "role", "g", "n", "sketch").repartition("label").sortWithinPartitions("label")
+    return together.mapInArrow(run, "a long, b long, label string")
+
+
+def set_table(found: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of fetched texts: the whole set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(k)
+        for batch in batches:
+            sets = [(w, shingles(t)) for t, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            rows = [(w, s.tobytes()) for w, s in sets if digest(s, 1) == w]  # an identifier may repeat with another text
+            cols = zip(*rows, strict=True) if rows else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary()), strict=True)], names=["node", "shingles"])
+    return found.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def exact_links(rows: DataFrame, p: int, q: int) -> DataFrame:
+    """Links (a, b) that connect the components of each label as all its links
+    would. Rows (label, node, g, shingles) of a label, at most two blocks, are
+    held together; whole sets are compared until two components are linked."""
+    def compare(node: list, g: list, raw: list) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(r, dtype=U) for r in raw]
+        n = np.array([len(s) for s in sets])
+        x = np.stack([sketch(s, int(n.min()) * 3 // 2 + 8) for s in sets])
+        zero, forest, out = np.zeros(len(n), dtype=np.int8), Forest(), []
+        for i, j in near_pairs(zero, np.array(node), zero, np.array(g), n, x, p, q).tolist():
+            if forest.root(g[i]) != forest.root(g[j]):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if q * both >= p * (n[i] + n[j] - both):
+                    forest.join(g[i], g[j])
+                    out.append((node[i], node[j]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cols in by_label(batches):
+            pairs = compare(*cols)
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    together = rows.select("label", "node", "g", "shingles").repartition("label").sortWithinPartitions("label")
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
+def content(*cols: str) -> list:
+    """A 128-bit digest of a group of distinct rows, whatever their order."""
+    return [F.bit_xor(F.xxhash64(F.lit(seed), *cols)).alias(name) for seed, name in ((1, "x1"), (2, "x2"))]
+
+
 def stars_by_sketch(stars: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
     """Of pairs (pivot, node, guest: the node visits the pivot's band) those
     (a, b) whose sizes and sketches allow the similarity."""
@@ -413,7 +511,9 @@ def links_of(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, p: int,
     one = written(found.mapInArrow(own, "node long, text string").dropDuplicates(["node"]), "texts")
     both = (pairs.join(one.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
             .join(one.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
-    return written(check(both, k, p, q), "links")
+    links = written(check(both, k, p, q), "links")
+    discard(one)
+    return links
 
 
 def jaccard_join(docs: DataFrame, k: int, p: int, q: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -432,7 +532,7 @@ def jaccard_join(docs: DataFrame, k: int, p: int, q: int, id_col: str = "doc_id"
                             for lo, c in zip(edges, counts, strict=True)))
 
     rows = written(index_table(docs, k, plan), "index")
-    sets = rows.where("role = -1").select(F.col("key").alias("doc_id"), "node", "node2", "n")
+    sets = written(rows.where("role = -1").select(F.col("key").alias("doc_id"), "node", "node2", "n"), "sets")
     index = rows.where("role >= 0").select("key", "node", "role")
     same = F.min("node2") == F.max("node2")
     reps = written(sets.where("node IS NOT NULL").groupBy("node").agg(
@@ -440,28 +540,44 @@ def jaccard_join(docs: DataFrame, k: int, p: int, q: int, id_col: str = "doc_id"
         F.when(same, 0).otherwise(F.raise_error(F.lit("two sets share a 64-bit digest")).cast("int")).alias("sound")), "nodes")
     often = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "often")
     held = written(index.join(maybe_broadcast(often, limit=BROADCAST_KEYS), "key").distinct(), "held")
-    pivot = F.min(F.when(F.col("role") == 0, F.col("node")))
-    pivots = written(held.groupBy("key").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1"), "pivots")
+    discard(rows, often)
+    pivot = F.min(F.when(F.col("role") == 0, F.col("node"))).alias("pivot")
+    buckets = held.groupBy("key").agg(pivot, F.count(F.lit(1)).alias("c"), *content("node", "role")).where("c > 1")
+    # Texts that share a passage share many buckets: one of those with the same members stands for all.
+    pivots = written(buckets.groupBy("x1", "x2", "c").agg(F.min("key").alias("key"), F.min("pivot").alias("pivot")).drop("x1", "x2"), "pivots")
     guest = F.col("role").bitwiseAND(F.lit(VISITOR)).cast("tinyint")
     stars = written(held.join(pivots.where("pivot IS NOT NULL").select("key", "pivot"), "key").where("node <> pivot").select(
         "pivot", "node", guest.alias("guest")).distinct(), "stars")
     nodes = stars.select("node").unionByName(stars.select(F.col("pivot").alias("node")))
     sketches = written(sketch_table(fetch(docs, reps, nodes), k, plan), "star-sketches")
     tried = written(stars_by_sketch(stars, sketches, p, q), "tried")
+    discard(stars, sketches)
     links = links_of(tried, docs, reps, k, p, q)
 
     group = written(connected_components(links), "groups")
     # The pivot has met all others: two sets are done with, three may not be.
-    more = held.join(pivots.where("c > 2 OR pivot IS NULL").select("key"), "key")
-    member = more.join(group, more.node == group.id, "left").select(
-        "key", "node", "role", F.coalesce("component", "node").alias("g"))
-    member = written(member, "members")
+    more = held.join(pivots.where("c > 2 OR pivot IS NULL").select("key", "pivot"), "key").where("pivot IS NULL OR node <> pivot")
+    member = written(more.join(group, more.node == group.id, "left").select(
+        "key", "node", "role", F.coalesce("component", "node").alias("g")), "members")
     rest = written(blocks(member), "rest")
+    discard(held, pivots, member)
     sketches = written(sketch_table(fetch(docs, reps, rest.select("node")), k, plan), "sketches")
-    rest = rest.join(sketches.withColumnRenamed("node", "sn"), (F.col("node") == F.col("sn")) & (F.col("role").bitwiseAND(F.lit(VISITOR)) == F.col("guest")))
-    pairs = written(near_by_sketch(rest, p, q).join(tried, ["a", "b"], "left_anti"), "pairs")
+    met = rest.join(sketches.withColumnRenamed("node", "sn"), (F.col("node") == F.col("sn")) & (F.col("role").bitwiseAND(F.lit(VISITOR)) == F.col("guest")))
+    near = written(near_by_sketch(met, p, q), "near")
+    discard(rest, sketches)
+    pairs = written(near.where("label IS NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(links_of(pairs, docs, reps, k, p, q))
 
+    trees = near.where("label IS NOT NULL").select(F.concat_ws("|", "label", F.col("b").cast("string")).alias("label"), F.col("a").alias("node"))
+    group = written(connected_components(links), "groups")
+    trees = written(trees.join(group, trees.node == group.id, "left").select("label", "node", F.coalesce("component", "node").alias("g")), "trees")
+    torn = trees.groupBy("label").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), *content("node")).where("lo < hi")
+    torn = written(torn.groupBy("x1", "x2").agg(F.min("label").alias("label")).select("label"), "torn")
+    trees = written(trees.join(torn, "label"), "torn-trees")
+    whole = written(set_table(fetch(docs, reps, trees.select("node")), k), "whole-sets")
+    links = links.unionByName(written(exact_links(trees.join(whole, "node"), p, q), "links"))
+    discard(near, whole)
+
     name = reps.select(F.col("node").alias("id"), "rep")
     named = (links.join(name.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a")
              .join(name.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")

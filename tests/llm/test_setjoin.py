@@ -1,8 +1,10 @@
+import time
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablesense.llm import setjoin as S
 from tablesense.llm.components import connected_components
@@ -138,3 +140,57 @@ def test_components_of_stars_chains_and_cycles(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: u.root(i) for i in list(u)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def met(rng, n, gone):
+    """One label of n sets that share most shingles: node, own component, set."""
+    base = np.unique(rng.integers(0, 2**63, 120).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) > gone], rng.integers(0, 2**63, 2).astype(np.uint64)])) for _ in range(n)]
+    return [(i + 1, s) for i, s in enumerate(sets)]
+
+
+def test_near_group_gives_a_tree_not_all_its_pairs(spark):
+    sets = met(np.random.default_rng(1), 60, 0.02)
+    rows = spark.createDataFrame([("x", 0, i, 0, i, len(s), S.sketch(s, 128).tobytes()) for i, s in sets],
+                                 "label string, side int, node long, role tinyint, g long, n long, sketch binary")
+    got = S.near_by_sketch(rows, 80, 100).collect()
+    pairs, rest = [r for r in got if r.label is None], [r for r in got if r.label is not None]
+    assert len(pairs) == 59 and len(rest) == 60 and len({r.b for r in rest}) == 1
+
+
+@pytest.mark.parametrize("gone", [0.05, 0.1, 0.12, 0.2])
+def test_whole_sets_connect_what_all_links_would(spark, gone):
+    """Many pairs just above and below the limit, a few members linked already."""
+    sets = met(np.random.default_rng(int(gone * 100)), 70, gone)
+    g = {i: 1 if i % 9 == 0 else i for i, _ in sets}
+    rows = spark.createDataFrame([(f"x{i % 2}", i, g[i], s.tobytes()) for i, s in sets], "label string, node long, g long, shingles binary")
+    size, want, have = dict(sets), Union(), Union()
+    for i, c in g.items():
+        for u in (want, have):
+            u.join(i, c)
+    for i, j in combinations(size, 2):
+        both = len(np.intersect1d(size[i], size[j]))
+        if i % 2 == j % 2 and 100 * both >= 80 * (len(size[i]) + len(size[j]) - both):
+            want.join(i, j)
+    links = S.exact_links(rows, 80, 100).collect()
+    for r in links:
+        have.join(r.a, r.b)
+    assert len(links) < len(sets) and [have.root(i) for i in size] == [want.root(i) for i in size]
+
+
+def test_written_frees_its_shuffles_and_discard_its_files(spark):
+    import glob
+    import os
+
+    from tablesense.llm.common import discard, written
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = {str(b) for b in local.getAllFiles().mkString("|").split("|")}
+    out = written(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+    for _ in range(50):  # files go in the background
+        left = {f for f in local.getAllFiles().mkString("|").split("|") if "shuffle_" in f} - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 7 and glob.glob(f"{out.written_to}/*.parquet")
+    discard(out)
+    assert not os.path.exists(out.written_to)
