@@ -293,8 +293,9 @@ def fetch(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(maybe_broadcast(wanted), "doc_id").select("doc_id", "text", "want")
 
 
-def sketch_table(found: DataFrame, k: int, plan: Plan) -> DataFrame:
-    """(node, guest, n, sketch) of fetched texts, for each band of a set."""
+def sketch_table(found: DataFrame, k: int, plan: Plan, fine: float = 1.5) -> DataFrame:
+    """(node, guest, n, sketch) of fetched texts, for each band of a set:
+    ``fine`` bytes per shingle of the band's smallest set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(k)
         for batch in batches:
@@ -302,7 +303,7 @@ def sketch_table(found: DataFrame, k: int, plan: Plan) -> DataFrame:
             for text, want in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 s = shingles(text)
                 if digest(s, 1) == want:  # an identifier may repeat with another text
-                    rows += [(want, role, len(s), sketch(s, plan.bands[b].lo * 3 // 2 + 8).tobytes()) for b, role in plan.of(len(s))]
+                    rows += [(want, role, len(s), sketch(s, int(plan.bands[b].lo * fine) + 8).tobytes()) for b, role in plan.of(len(s))]
             cols = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int8(), pa.int64(), pa.binary()), strict=True)],
                                              names=["node", "guest", "n", "sketch"])
@@ -561,7 +562,7 @@ def jaccard_join(docs: DataFrame, k: int, p: int, q: int, id_col: str = "doc_id"
         "key", "node", "role", F.coalesce("component", "node").alias("g")), "members")
     rest = written(blocks(member), "rest")
     discard(held, pivots, member)
-    sketches = written(sketch_table(fetch(docs, reps, rest.select("node")), k, plan), "sketches")
+    sketches = written(sketch_table(fetch(docs, reps, rest.select("node")), k, plan, fine=0.75), "sketches")  # a copy goes to every block met
     met = rest.join(sketches.withColumnRenamed("node", "sn"), (F.col("node") == F.col("sn")) & (F.col("role").bitwiseAND(F.lit(VISITOR)) == F.col("guest")))
     near = written(near_by_sketch(met, p, q), "near")
     discard(rest, sketches)
