@@ -20,6 +20,9 @@ ARROW_ROWS = 1000
 BROADCAST_ROWS = 1_000_000
 BROADCAST_NAMES = 50_000  # the same for rows that hold a host or source name
 
+# Partitions for texts that make one of rows without them.
+NARROW = 8
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -76,6 +79,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """Fewer partitions, so fewer files, for rows without their texts: the
+    session's partitions are meant for texts, which are some ten times as wide.
+    For frames that come out of a shuffle; what is before it keeps its tasks."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, n // NARROW))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete written tables when all that is made of them is written too."""
     for df in frames:
@@ -97,5 +109,8 @@ def fold(col: str, mod: int, keep: int):
 
 
 def word_count(col):
-    """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null counts 0."""
-    return F.coalesce(F.regexp_count(col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null counts 0. Each word,
+    with the space behind it, becomes one letter: regexp_count would hold all
+    words of a text at once, a string each."""
+    letters = F.regexp_replace(col, r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "w")
+    return F.coalesce(F.length(F.ltrim(letters, F.lit(" \t\n\x0b\x0c\r"))), F.lit(0)).cast("long")

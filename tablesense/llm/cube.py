@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import BROADCAST_NAMES, maybe_broadcast, small_batches, word_count, written
+from tablesense.llm.common import BROADCAST_NAMES, maybe_broadcast, narrow, small_batches, word_count, written
 
 BLOCK = 512       # documents of one flight, about
 SPARE = 32        # the smallest documents of a block, left open to the next level
@@ -109,7 +109,8 @@ def _seed(*parts) -> int:
 def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """source, n (rows), source_size, target: one row per source. Sources are numbered by
     code point, null last; ``sized`` has source and size."""
-    totals = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    totals = written(narrow(totals), "sources")
     order = Window.orderBy(F.col("source").asc_nulls_last())  # one row per source
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]),
                      ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
@@ -159,7 +160,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     src = F.col(source).cast("string")
     rows = docs.withColumn("size", word_count(F.col(text).cast("string")))
     rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), src, F.col("size")))
-    slim = written(rows.groupBy(F.col("__h").alias("h"), src.alias("source")).agg(F.sum("size").alias("size")), "sizes")
+    slim = written(narrow(rows.groupBy(F.col("__h").alias("h"), src.alias("source")).agg(F.sum("size").alias("size"))), "sizes")
     targets = written(source_targets(slim.select("source", "size"), tuple(weights), share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rates = maybe_broadcast(targets.select(F.col("source").alias("s"), "n", rate.alias("rate")), limit=BROADCAST_NAMES)
@@ -170,7 +171,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     n = targets.agg(F.max("n")).first()[0] or 0
     while True:
         last = n <= BLOCK
-        now = written(_fly(now, seed, level, last), f"flight{level}")
+        now = written(narrow(_fly(now, seed, level, last)), f"flight{level}")
         decided.append(now.where("pi = 1").select(F.col("h").alias("eh"), F.col("source").alias("es")))
         if last:
             break

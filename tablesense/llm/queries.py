@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesense.llm import bpe, chat, cube, exactdedup, fm, hostrep, langid, patience, plsh, resample, setjoin, variants, warc
-from tablesense.llm.common import fold, read
+from tablesense.llm.common import fold, narrow, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -173,7 +173,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document in a mix of 150 % of all words."""
     out = cube.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return narrow(out.select("doc_id", "size", "source_size", "target", "taken"))
 
 
 # -- 8: chat formatting ------------------------------------------------------------

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tablesense.llm import cube
+from tablesense.llm import common, cube, queries
+from tablesense.llm.common import word_count
 from tablesense.plans.catalog import load
 
 
@@ -92,3 +94,43 @@ def test_blocks_and_levels(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for t, want, _ in check(cube.mix_sources(df).collect(), df.collect()).values():
         assert abs(t - want) < 0.02 * want
+
+
+def test_word_count_holds_no_words(spark):
+    """Equal to regexp_count, without an array of a text's words."""
+    ends = ["", " ", "\t", "\n", "\x0b", "\x0c", "\r", " \r\n ", "\x00", "\x1c", "\x85", "\xa0", "　", "$1", "\\"]
+    texts = [None, *ends, *[f"{a}w{b}über \U0001f642{c}" for a in ends for b in ends for c in ends], "\n" * 5000 + "x" + " " * 5000, "a b\n" * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", word_count(F.col("text")).alias("n"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("want"))
+    assert [(r.text, r.n) for r in df.collect()] == [(r.text, r.want) for r in df.collect()]
+    assert "regexp_extract_all" not in df.select("n")._jdf.queryExecution().toString()
+
+
+def test_files_stay_few_at_many_partitions(spark, tmp_dir, monkeypatch):
+    """Narrow tables are written in fewer files than there are partitions for
+    texts: each file costs an executor processes of its own (chmod)."""
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', CAST(id % 50 AS INT))").alias("text"),
+                             F.concat(F.lit("s"), (F.col("id") % 20).cast("string")).alias("source")).write.parquet(f"{tmp_dir}/documents.parquet")
+    files = []
+
+    def counting(df, name):
+        out = common.written(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(cube, "written", counting)
+    keys = {"spark.sql.shuffle.partitions": "160", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        out = queries.op7_source_mix(spark, tmp_dir)
+        out.write.parquet(f"{tmp_dir}/out")
+        files.append(len(spark.read.parquet(f"{tmp_dir}/out").inputFiles()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(files) <= 160 // common.NARROW
+    check = spark.read.parquet(f"{tmp_dir}/out").groupBy(F.col("doc_id") % 20).agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect()
+    assert len(check) == 20 and all(abs(r.taken - r.target) <= 2 * r.most for r in check)
